@@ -12,7 +12,8 @@ def C(v) -> Column:
 
 
 def clamp(v: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), v))
+    # least and greatest skip nulls, so a null has to be kept by hand
+    return F.when(v.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), v)))
 
 
 def dist(x1, y1, x2, y2, scale: float = 1.0) -> Column:

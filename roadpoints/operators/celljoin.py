@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roadpoints.functions.geom import dist
-from roadpoints.session import cut
+from roadpoints.session import cut, cut_counting
 
 KEYS = ("layer_id",)
 RING = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
@@ -138,14 +138,15 @@ def nearest(sites: DataFrame, data: DataFrame, cap: float | None = None, keys: S
         served = heap.groupBy(*keys).agg(F.sum("w").alias("_n"))
         if skip_self:
             served = served.where("_n > 1")
-        todo, edge, parts = cut(spots.join(served, list(keys), "left_semi")), first_edge, []
-        while True:
-            part = cut(attempt(todo, edge))
+        todo, left = cut_counting(spots.join(served, list(keys), "left_semi"))
+        edge, parts = first_edge, []
+        while left or not parts:
+            part, got = cut_counting(attempt(todo, edge))
             parts.append(part)
-            todo = cut(todo.join(part, [*keys, "x", "y"], "left_anti"))
+            left -= got
+            if left:
+                todo = todo.join(part, [*keys, "x", "y"], "left_anti")
             edge *= 2
-            if todo.isEmpty():
-                break
         found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)
@@ -162,17 +163,17 @@ def k_nearest(sites: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = K
     on = [*keys, "x", "y"]
     heap = cut(fold_copies(data, keys))
     total = heap.groupBy(*keys).agg(F.sum("w").alias("_all"))
-    todo = cut(sites.select(*on).distinct().join(total, list(keys)))
+    todo, left = cut_counting(sites.select(*on).distinct().join(total, list(keys)))
     edge, parts = first_edge, []
-    while not todo.isEmpty():
+    while left:
         hits = near_join(todo, heap, edge, keys)
         w = Window.partitionBy(*on).orderBy("d", "r_ord")
         few = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
         copies = few.withColumn("_i", F.explode(F.sequence(F.lit(1), F.least(F.col("r_w"), F.lit(k)))))
         got = copies.groupBy(*on).agg(F.slice(F.array_sort(F.collect_list("d")), 1, k).alias("near_d"))
-        got = cut(got.join(todo, on).where((F.size("near_d") >= k) | (F.size("near_d") >= F.col("_all"))).drop("_all"))
+        got, n = cut_counting(got.join(todo, on).where((F.size("near_d") >= k) | (F.size("near_d") >= F.col("_all"))).drop("_all"))
         parts.append(got)
-        todo = cut(todo.join(got, on, "left_anti"))
+        todo, left = todo.join(got, on, "left_anti"), left - n
         edge *= 2
     out = sites
     if parts:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from roadpoints.functions.geom import dist
 from roadpoints.operators.celljoin import KEYS, cell, near_join, spread
-from roadpoints.session import cut
+from roadpoints.session import cut, cut_counting
 
 
 def _stop(name: str, limit: int):
@@ -28,32 +28,35 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS, l
     doubling, and contracts the edges; live edges shrink geometrically.
     """
     k = list(keys)
-    live = cut(edges.where("u <> v").select(*k, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    root = nodes.select(*k, "node", F.col("node").alias("root"))
-    for turn in range(limit):
-        if live.isEmpty():
-            break
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))
-        both = live.unionByName(live.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = (both.groupBy(*k, "u").agg(F.min(rank("v")).alias("m"))
-                .select(*k, "u", F.least(F.col("m"), rank("u"))["n"].alias("to")))
-        hook = cut(hook)
-        for _ in range(limit):
-            up = hook.select(*k, F.col("u").alias("to"), F.col("to").alias("top"))
-            hook2 = cut(hook.join(up, [*k, "to"]).select(*k, "u", F.col("top").alias("to"), (F.col("to") != F.col("top")).alias("moved")))
-            hook = hook2.select(*k, "u", "to")
-            if hook2.where("moved").isEmpty():
-                break
-        else:
+    live, left = cut_counting(edges.where("u <> v").select(*k, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    maps = []
+    while left:
+        if len(maps) == limit:
             _stop("components", limit)
-        root = cut(root.join(hook.select(*k, F.col("u").alias("root"), "to"), [*k, "root"], "left")
-                   .select(*k, "node", F.coalesce("to", "root").alias("root")))
-        a = hook.select(*k, "u", F.col("to").alias("ru"))
-        b = hook.select(*k, F.col("u").alias("v"), F.col("to").alias("rv"))
-        live = cut(live.join(a, [*k, "u"]).join(b, [*k, "v"]).where("ru <> rv")
-                   .select(*k, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
-    else:
-        _stop("components", limit)
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(maps)), F.col(c)).alias("h"), F.col(c).alias("n"))
+        both = live.unionByName(live.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
+        hook = cut(both.groupBy(*k, "u").agg(F.min(rank("v")).alias("m"))
+                   .select(*k, "u", F.least(F.col("m"), rank("u"))["n"].alias("to")))
+
+        def follow(a: DataFrame, b: DataFrame) -> DataFrame:
+            return a.join(b.select(*k, F.col("u").alias("to"), F.col("to").alias("top")), [*k, "to"]).select(*k, "u", F.col("top").alias("to"))
+
+        # hooks lead to ever smaller hashes, so the chains are short; four steps per pass, until all end at a root
+        roots, moving = hook, 1
+        while moving:
+            twice = follow(roots, roots)
+            ends = hook.select(*k, F.col("u").alias("to"), (F.col("to") != F.col("u")).alias("on"))
+            roots, moving = cut_counting(follow(twice, twice).join(ends, [*k, "to"]), F.sum(F.col("on").cast("int")))
+            roots = roots.select(*k, "u", "to")
+        maps.append(roots)
+        a = roots.select(*k, "u", F.col("to").alias("ru"))
+        b = roots.select(*k, F.col("u").alias("v"), F.col("to").alias("rv"))
+        live, left = cut_counting(live.join(a, [*k, "u"]).join(b, [*k, "v"]).where("ru <> rv")
+                                  .select(*k, F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+    root = nodes.select(*k, "node", F.col("node").alias("root"))
+    for m in maps:
+        root = root.join(m.select(*k, F.col("u").alias("root"), "to"), [*k, "root"], "left").select(*k, "node", F.coalesce("to", "root").alias("root"))
+    root = cut(root)
     name = root.groupBy(*k, "root").agg(F.min("node").alias("component"))
     return root.join(name, [*k, "root"]).select(*k, "node", "component")
 
@@ -139,8 +142,8 @@ def spaced(points: DataFrame, gap: float, keys: Sequence[str] = KEYS, order: Seq
         cond = near(dist("a.x", "a.y", "b.fx", "b.fy"))
         for c in (*k, "mx", "my"):
             cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-        live = cut(a.join(b, cond, "left_anti"))
-        if live.isEmpty():
+        live, left = cut_counting(a.join(b, cond, "left_anti"))
+        if not left:
             break
     else:
         _stop("spaced", limit)
@@ -172,10 +175,10 @@ def thin_pairs(points: DataFrame, radius: float, keys: Sequence[str] = KEYS, lat
     k, edge = list(keys), 2 * radius / 1.5
     cols = [*k, "ord", "x", "y"]
     near_any = near_join(points.select(*cols), points.select(*cols), radius, keys).where("ord <> r_ord")
-    open_ = cut(near_any.select(*cols).distinct().withColumns({"mx": cell("x", edge), "my": cell("y", edge)}))
+    open_, left = cut_counting(near_any.select(*cols).distinct().withColumns({"mx": cell("x", edge), "my": cell("y", edge)}))
     gone = []
     for _ in range(limit):
-        if open_.isEmpty():
+        if not left:
             break
         first = open_.groupBy(*k, "mx", "my").agg(F.min(F.struct("ord", "x", "y")).alias("f")).select(*k, "f.ord", "f.x", "f.y")
         fan = spread(first, edge, reach=2).select(*k, F.col("cx").alias("mx"), F.col("cy").alias("my"),
@@ -192,7 +195,7 @@ def thin_pairs(points: DataFrame, radius: float, keys: Sequence[str] = KEYS, lat
         gone.append(acts.where("ord is not null").select(*k, "ord"))
         used = acts.select(*k, F.col("actor").alias("ord")).unionByName(gone[-1])
         rest = open_.join(used, [*k, "ord"], "left_anti")
-        open_ = cut(rest)
+        open_, left = cut_counting(rest)
     else:
         _stop("thin_pairs", limit)
     if not gone:
@@ -223,10 +226,10 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, bound: float | None = N
             step = step.where(F.col("dist") <= bound)
         step = step.groupBy(*k, "source", "node").agg(F.min(F.struct("dist", "prev", "hops")).alias("c"))
         old = best.select(*k, "source", "node", F.struct("dist", "prev", "hops").alias("o"))
-        front = cut(step.join(old, [*k, "source", "node"], "left")
+        front, left = cut_counting(step.join(old, [*k, "source", "node"], "left")
                     .where("o is null or c.dist < o.dist or (c.dist = o.dist and c.prev < o.prev)")
                     .select(*k, "source", "node", "c.dist", "c.prev", "c.hops"))
-        if front.isEmpty():
+        if not left:
             break
         best = cut(best.join(front, [*k, "source", "node"], "left_anti").unionByName(front))
     else:

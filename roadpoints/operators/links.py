@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from roadpoints.functions.geom import (dist, foot, measure_ratio, same_box, seg_dist, with_band_interval,
                                        with_disc_interval)
 from roadpoints.operators.celljoin import KEYS, around, pairs_within, renamed, segment_cells, with_cell
-from roadpoints.session import cut
+from roadpoints.session import cut, cut_counting
 
 EDGE = 50.0
 PAIR = ("ord1", "ord2")
@@ -55,11 +55,12 @@ def nearest_segment(sites: DataFrame, segs: DataFrame, cap: float | None = None,
     if cap is not None:
         found = attempt(spots, cap)
     else:
-        todo = cut(spots.join(segs.select(*keys).distinct(), list(keys), "left_semi"))
+        todo, left = cut_counting(spots.join(segs.select(*keys).distinct(), list(keys), "left_semi"))
         parts, edge = [], first_edge
-        while not todo.isEmpty():
-            parts.append(cut(attempt(todo, edge)))
-            todo = cut(todo.join(parts[-1], on, "left_anti"))
+        while left:
+            part, got = cut_counting(attempt(todo, edge))
+            parts.append(part)
+            todo, left = todo.join(part, on, "left_anti"), left - got
             edge *= 2
         found = parts[0] if parts else attempt(spots, first_edge)
         for p in parts[1:]:

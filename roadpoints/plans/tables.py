@@ -56,6 +56,11 @@ def skeleton(spark, sf_dir) -> DataFrame:
                     F.when(flat, F.col("y1")).otherwise(F.col("j") * 10.0).alias("y"))
 
 
+def waves(spark, sf_dir) -> DataFrame:
+    """Winding roads: the level streets bent to 50 sin(x / 50)."""
+    return skeleton(spark, sf_dir).where("road_id < 100").withColumn("y", F.col("y") + 50 * F.sin(F.col("x") / 50))
+
+
 def districts(spark, sf_dir) -> DataFrame:
     return layers(spark, sf_dir).select("layer_id", F.lit(100.0).alias("minx"), F.lit(100.0).alias("miny"),
                                         F.lit(1900.0).alias("maxx"), F.lit(1900.0).alias("maxy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def local_session(cores: int | str = 8, memory: str = "12g", app: str = "roadpoints") -> SparkSession:
@@ -45,3 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_counting(df: DataFrame, count: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut`` that also returns the number of rows (or another aggregate) observed while writing."""
+    seen = Observation()
+    out = cut(df.observe(seen, (F.count(F.lit(1)) if count is None else count).alias("n")))
+    return out, int(seen.get["n"] or 0)
