@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from roadpoints.functions.geom import dist
+from roadpoints.functions.geom import clamp, dist
 from roadpoints.session import cut, cut_counting
 
 KEYS = ("layer_id",)
@@ -189,22 +189,17 @@ def k_nearest(sites: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = K
 
 def segment_cells(df: DataFrame, edge: float, reach: float | Column = 0.0,
                   ends: Sequence[str] = ("x1", "y1", "x2", "y2")) -> DataFrame:
-    """One row per cell that a segment, widened by ``reach``, may touch.
+    """One row per cell that a segment, widened by ``reach``, may touch; no cell is met twice.
 
-    Long segments are first cut into pieces no longer than ``edge``; the cells of a
-    piece are those of its box. A segment's cells are gathered in one array, so that
-    each is met once.
+    For each column of cells the segment is clipped to that column's strip, which gives the rows.
     """
     x1, y1, x2, y2 = map(F.col, ends)
-    n = F.greatest(F.lit(1), F.ceil(dist(x1, y1, x2, y2) / edge)).cast("int")
-
-    def box(k):
-        at = lambda a, b, i: a + (b - a) * i / n
-        ax, bx, ay, by = at(x1, x2, k), at(x1, x2, k + 1), at(y1, y2, k), at(y1, y2, k + 1)
-        lo = lambda a, b: F.floor((F.least(a, b) - reach) / edge)
-        hi = lambda a, b: F.floor((F.greatest(a, b) + reach) / edge)
-        return F.flatten(F.transform(F.sequence(lo(ax, bx), hi(ax, bx)), lambda i: F.transform(
-            F.sequence(lo(ay, by), hi(ay, by)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
-
-    cells_ = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), box)))
-    return df.withColumn("_c", F.explode(cells_)).withColumns({"cx": F.col("_c.cx"), "cy": F.col("_c.cy")}).drop("_c")
+    floor = lambda v: F.floor(v / edge)
+    cols = df.withColumn("cx", F.explode(F.sequence(floor(F.least(x1, x2) - reach), floor(F.greatest(x1, x2) + reach))))
+    run = F.nullif(x2 - x1, F.lit(0.0))
+    ta, tb = (F.col("cx") * edge - reach - x1) / run, ((F.col("cx") + 1) * edge + reach - x1) / run
+    t0 = F.coalesce(clamp(F.least(ta, tb), 0.0, 1.0), F.lit(0.0))
+    t1 = F.coalesce(clamp(F.greatest(ta, tb), 0.0, 1.0), F.lit(1.0))
+    cols = cols.withColumns({"_ya": y1 + t0 * (y2 - y1), "_yb": y1 + t1 * (y2 - y1)})
+    return cols.withColumn("cy", F.explode(F.sequence(
+        floor(F.least("_ya", "_yb") - reach), floor(F.greatest("_ya", "_yb") + reach)))).drop("_ya", "_yb")

@@ -41,12 +41,13 @@ def nearest_segment(sites: DataFrame, segs: DataFrame, cap: float | None = None,
     lines = segs.select(*keys, F.col(line_id).alias("line"), F.col("x1").alias("ax"), F.col("y1").alias("ay"),
                         F.col("x2").alias("bx"), F.col("y2").alias("by"))
 
-    def attempt(todo, edge):
-        cells = segment_cells(lines, edge, edge, ("ax", "ay", "bx", "by"))
+    def attempt(todo, reach):
+        edge = max(reach, EDGE)
+        cells = segment_cells(lines, edge, reach, ("ax", "ay", "bx", "by"))
         fx, fy = foot("x", "y", "ax", "ay", "bx", "by")
         hit = (with_cell(todo, edge).join(cells, [*keys, "cx", "cy"])
                .withColumn("d", seg_dist("x", "y", "ax", "ay", "bx", "by"))
-               .where(F.col("d") < edge if strict and cap is not None else F.col("d") <= edge))
+               .where(F.col("d") < reach if strict and cap is not None else F.col("d") <= reach))
         along = measure_ratio("x", "y", "ax", "ay", "bx", "by") * dist("ax", "ay", "bx", "by")
         return hit.groupBy(*on).agg(F.min(F.struct(
             "d", "line", fx.alias("fx"), fy.alias("fy"), along.alias("m"))).alias("near"))
@@ -75,9 +76,10 @@ def lines_near(sites: DataFrame, segs: DataFrame, radius: float, keys: Sequence[
     """(site, line) rows within ``radius`` with distance ``d`` and position ``measure`` along the line."""
     lines = segs.select(*keys, F.col(line_id).alias("line"), F.col("x1").alias("ax"), F.col("y1").alias("ay"),
                         F.col("x2").alias("bx"), F.col("y2").alias("by"))
-    cells = segment_cells(lines, radius, radius, ("ax", "ay", "bx", "by"))
+    edge = max(radius, EDGE)
+    cells = segment_cells(lines, edge, radius, ("ax", "ay", "bx", "by"))
     near = F.col("d") < radius if strict else F.col("d") <= radius
-    return (with_cell(sites, radius).join(cells, [*keys, "cx", "cy"])
+    return (with_cell(sites, edge).join(cells, [*keys, "cx", "cy"])
             .withColumn("d", seg_dist("x", "y", "ax", "ay", "bx", "by")).where(near)
             .withColumn("measure", measure_ratio("x", "y", "ax", "ay", "bx", "by") * dist("ax", "ay", "bx", "by"))
             .drop("cx", "cy"))
@@ -118,10 +120,16 @@ def best_share(iv: DataFrame, name: str, keys: Sequence[str] = KEYS) -> DataFram
 def union_share(iv: DataFrame, name: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Part of a link inside the union of the roads: intervals merged in order of their start."""
     w = Window.partitionBy(*keys, *PAIR).orderBy("t0", "t1")
-    return (iv.select(*keys, *PAIR, F.col(f"{name}_t0").alias("t0"), F.col(f"{name}_t1").alias("t1")).where("t0 is not null")
+    # empty intervals stay as nulls: a filter here would be pushed below the steps that build them
+    add = F.when(F.col("t0").isNotNull(), F.greatest(F.lit(0.0), F.col("t1") - F.greatest("t0", F.coalesce("seen", F.lit(0.0)))))
+    return (iv.select(*keys, *PAIR, F.col(f"{name}_t0").alias("t0"), F.col(f"{name}_t1").alias("t1"))
             .withColumn("seen", F.max("t1").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-            .withColumn("add", F.greatest(F.lit(0.0), F.col("t1") - F.greatest("t0", F.coalesce("seen", F.lit(0.0)))))
-            .groupBy(*keys, *PAIR).agg(F.sum("add").alias("share")))
+            .withColumn("add", add).groupBy(*keys, *PAIR).agg(F.sum("add").alias("share")).where("share is not null"))
+
+
+def touched(iv: DataFrame, name: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Links that meet at least one widened road."""
+    return iv.groupBy(*keys, *PAIR).agg(F.count(f"{name}_t0").alias("_n")).where("_n > 0").drop("_n")
 
 
 def _mask(t0: Column, t1: Column, n: int = 10) -> Column:

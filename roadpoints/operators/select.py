@@ -10,7 +10,7 @@ from roadpoints.functions.geom import dist, seg_dist
 from roadpoints.operators import curves as K, stats as S
 from roadpoints.operators.celljoin import KEYS, around, near_join, pairs_within
 from roadpoints.operators.fixpoint import cluster, components, leaders, spaced, thin_pairs
-from roadpoints.operators.links import PAIR, link_intervals, lines_near, rows_near_links, union_share, with_share
+from roadpoints.operators.links import PAIR, link_intervals, lines_near, rows_near_links, touched, union_share
 from roadpoints.session import cut, cut_counting
 
 DUP_RANK = {"endpoint": 3, "intersection": 2, "curve": 1}
@@ -70,7 +70,7 @@ def collinear_curve(points: DataFrame, roads: DataFrame | None, near: float = 5.
         live = points.join(todo.select(*k), k, "left_semi")
         links = pairs_within(live, lo, hi, keys=keys)
         if roads is not None:
-            touch = link_intervals(links, roads, {"b": 0.0}, keys).where("b_t0 is not null").select(*k, *PAIR).distinct()
+            touch = touched(link_intervals(links, roads, {"b": 0.0}, keys), "b", keys)
             links = links.join(touch, [*k, *PAIR], "left_semi")
         curves = live.where("category = 'curve'")
         hit = rows_near_links(links, curves, near, keys).where(F.col("line_d") < near)
