@@ -112,7 +112,21 @@ def file_names(spark, sf_dir) -> DataFrame:
                     F.col("s_acctbal").alias("acct")))
 
 
+def shapes(spark, sf_dir) -> DataFrame:
+    """Polygons of mixed quality, one per customer: closed, unclosed, with a repeated vertex, triangles, and too short."""
+    c = read(spark, sf_dir, "customer")
+    x, y, s = F.col("x"), F.col("y"), F.col("side")
+    v = lambda *p: F.array(*[F.struct((x + a * s).alias("x"), (y + b * s).alias("y")) for a, b in p])
+    kind = F.pmod("c_custkey", F.lit(5))
+    ring = (F.when(kind == 0, v((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))).when(kind == 1, v((0, 0), (1, 0), (1, 1), (0, 1)))
+            .when(kind == 2, v((0, 0), (1, 0), (1, 0), (1, 1), (0, 1), (0, 0))).when(kind == 3, v((0, 0), (1, 0), (0, 1))).otherwise(v((0, 0), (1, 0))))
+    return (c.withColumns({"x": F.pmod(F.col("c_custkey") * 37, F.lit(1000)).cast("double"), "y": F.pmod(F.col("c_custkey") * 91, F.lit(1000)).cast("double"),
+                           "side": F.abs("c_acctbal") / 100})
+            .select(F.col("c_nationkey").cast("long").alias("layer_id"), F.col("c_custkey").alias("shape_id"), F.col("c_mktsegment").alias("geom_type"), "side", kind.alias("kind"), ring.alias("ring")))
+
+
 SQL = {
+    "shapes": """SELECT c_nationkey AS layer_id, c_custkey AS shape_id, c_mktsegment AS geom_type, abs(c_acctbal) / 100 AS side, c_custkey % 5 AS kind FROM customer""",
     "points": """SELECT event_id // 1000 AS layer_id, event_id AS ord, ((event_id * 7919) % 20011) / 10.0::DOUBLE AS x,
         (epoch_us(ts) % 20011) / 10.0::DOUBLE AS y,
         CASE WHEN event_type IN ('purchase', 'error') THEN 'intersection' WHEN event_type = 'signup' THEN 'endpoint' ELSE 'curve' END AS category,
