@@ -15,7 +15,7 @@ from roadpoints.plans.registry import query
 from roadpoints.plans.tables import sql
 
 R6 = lambda c: F.round(c, 6)
-N = F.count(F.lit(1))
+N = lambda: F.count(F.lit(1))
 
 
 @query("p01_geometry_audit", sql("shapes", """SELECT layer_id, geom_type, count(*) AS total, 0 AS empty, count_if(kind IN (3, 4))::BIGINT AS short, count_if(kind IN (1, 3, 4) AND side > 0)::BIGINT AS unclosed FROM shapes GROUP BY ALL"""))
@@ -42,12 +42,12 @@ def p04(spark, sf):
 
 @query("p05_split_by_type", sql("shapes", "SELECT geom_type, count(*) AS n FROM shapes GROUP BY ALL"))
 def p05(spark, sf):
-    return T.shapes(spark, sf).select(F.explode_outer(F.array("geom_type")).alias("geom_type")).groupBy("geom_type").agg(N.alias("n"))
+    return T.shapes(spark, sf).select(F.explode_outer(F.array("geom_type")).alias("geom_type")).groupBy("geom_type").agg(N().alias("n"))
 
 
 @query("p06_ring_lines", sql("shapes", "SELECT layer_id, sum(CASE kind WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 5 WHEN 3 THEN 2 ELSE 1 END)::BIGINT AS edges, round(sum(CASE kind WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 1 + sqrt(2) ELSE 1 END * side), 4) AS length FROM shapes GROUP BY ALL"))
 def p06(spark, sf):
-    return P.ring_lines(T.shapes(spark, sf)).groupBy("layer_id").agg(N.alias("edges"), F.round(F.sum(dist("x1", "y1", "x2", "y2")), 4).alias("length"))
+    return P.ring_lines(T.shapes(spark, sf)).groupBy("layer_id").agg(N().alias("edges"), F.round(F.sum(dist("x1", "y1", "x2", "y2")), 4).alias("length"))
 
 
 VALID = "valid AS (SELECT layer_id, shape_id, round(CASE WHEN kind = 3 THEN side * side / 2 ELSE side * side END, 4) AS area FROM shapes WHERE kind < 4 AND side > 0)"
@@ -99,7 +99,7 @@ def p13(spark, sf):
 @query("e37_name_histogram", sql("file_names", """SELECT split_part(file_name, ' ', 1) AS province, split_part(file_name, ' ', 2) AS county, count(*) AS files FROM file_names GROUP BY ROLLUP (1, 2)"""))
 def e37(spark, sf):
     p = T.file_names(spark, sf).select(X.name_parts(F.col("file_name")).alias("p")).select("p.*")
-    return p.rollup("province", "county").agg(N.alias("files"))
+    return p.rollup("province", "county").agg(N().alias("files"))
 
 
 @query("s03_j13_catalogue_match", sql("file_names road_catalog", """SELECT file_id, path, 1 AS priority FROM file_names JOIN road_catalog ON split_part(file_name, ' ', 1) = sido AND split_part(file_name, ' ', 2) = sigungu"""))
@@ -183,14 +183,14 @@ def u03(spark, sf):
 
 @query("u04_distinct_places", sql("skeleton", "SELECT layer_id, count(*) AS places FROM (SELECT DISTINCT layer_id, x, y FROM skeleton) GROUP BY ALL"))
 def u04(spark, sf):
-    return T.skeleton(spark, sf).dropDuplicates(["layer_id", "x", "y"]).groupBy("layer_id").agg(N.alias("places"))
+    return T.skeleton(spark, sf).dropDuplicates(["layer_id", "x", "y"]).groupBy("layer_id").agg(N().alias("places"))
 
 
 @query("e32_filter_statistics", sql("labels_before points", """n AS (SELECT layer_id, count(*) AS original FROM points GROUP BY ALL), m AS (SELECT layer_id, count(*) AS kept FROM labels_before GROUP BY ALL)
     SELECT layer_id, original, kept, original - kept AS removed, round((original - kept) / original, 6) AS removal_rate, round(kept / original, 6) AS retention_rate FROM n JOIN m USING (layer_id)"""))
 def e32(spark, sf):
-    n = T.points(spark, sf).groupBy("layer_id").agg(N.alias("original"))
-    m = T.labels_before(spark, sf).groupBy("layer_id").agg(N.alias("kept"))
+    n = T.points(spark, sf).groupBy("layer_id").agg(N().alias("original"))
+    m = T.labels_before(spark, sf).groupBy("layer_id").agg(N().alias("kept"))
     rate = lambda c: R6(F.coalesce(c / F.nullif("original", F.lit(0)), F.lit(0.0)))
     j = n.join(m, "layer_id", "left").fillna({"kept": 0}).withColumn("removed", F.col("original") - F.col("kept"))
     return j.withColumns({"removal_rate": rate(F.col("removed")), "retention_rate": rate(F.col("kept"))})
@@ -199,7 +199,7 @@ def e32(spark, sf):
 @query("e27_layer_summary", sql("points", """SELECT layer_id, count_if(category = 'intersection')::BIGINT AS intersection, count_if(category = 'curve')::BIGINT AS curve, count_if(category = 'endpoint')::BIGINT AS endpoint,
     count(*) AS total, round(avg(count(*)) OVER (), 6) AS batch_mean FROM points GROUP BY ALL"""))
 def e27(spark, sf):
-    p = T.points(spark, sf).groupBy("layer_id").pivot("category", ["intersection", "curve", "endpoint"]).agg(N).fillna(0)
+    p = T.points(spark, sf).groupBy("layer_id").pivot("category", ["intersection", "curve", "endpoint"]).agg(N()).fillna(0)
     p = p.withColumn("total", F.col("intersection") + F.col("curve") + F.col("endpoint"))
     mean = p.agg(R6(F.avg("total")).alias("batch_mean"))
     return p.crossJoin(F.broadcast(mean))  # one row
@@ -209,13 +209,13 @@ def e27(spark, sf):
     SELECT layer_id, category, coalesce(ai, 0) AS ai, coalesce(edited, 0) AS edited, coalesce(edited, 0) - coalesce(ai, 0) AS difference, round(abs(coalesce(edited, 0) - coalesce(ai, 0)) / nullif(ai, 0), 6) AS rate FROM a FULL JOIN u USING (layer_id, category)"""))
 def e38(spark, sf):
     both = T.labels_before(spark, sf).withColumn("s", F.lit("ai")).unionByName(T.labels_after(spark, sf).withColumn("s", F.lit("edited")))
-    p = both.groupBy("layer_id", "category").pivot("s", ["ai", "edited"]).agg(N).fillna(0).withColumn("difference", F.col("edited") - F.col("ai"))
+    p = both.groupBy("layer_id", "category").pivot("s", ["ai", "edited"]).agg(N()).fillna(0).withColumn("difference", F.col("edited") - F.col("ai"))
     return p.withColumn("rate", R6(F.abs("difference") / F.nullif("ai", F.lit(0))))
 
 
 @query("e29_action_distribution", sql("actions", "SELECT action, category, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM actions GROUP BY ALL"))
 def e29(spark, sf):
-    c = T.actions(spark, sf).groupBy("action", "category").agg(N.alias("n"))
+    c = T.actions(spark, sf).groupBy("action", "category").agg(N().alias("n"))
     # the window is over one row per action and category
     return c.withColumn("percent", R6(100 * F.col("n") / F.sum("n").over(Window.partitionBy())))
 
@@ -234,18 +234,18 @@ def s05(spark, sf):
     docs = Z.from_points(T.points(spark, sf)).select("layer_id", F.to_json(F.struct(*Z.SESSION.fieldNames())).alias("doc"))
     back = docs.select("layer_id", F.from_json("doc", Z.SESSION).alias("s"))
     rows = back.select("layer_id", F.explode("s.labels").alias("category", "pts")).select("layer_id", "category", F.explode("pts").alias("p"))
-    return rows.groupBy("layer_id", "category").agg(N.alias("n"), F.round(F.sum(F.col("p")[0]), 4).alias("sum_x"))
+    return rows.groupBy("layer_id", "category").agg(N().alias("n"), F.round(F.sum(F.col("p")[0]), 4).alias("sum_x"))
 
 
 @query("e33_prediction_statistics", sql("predictions", "SELECT action, count(*) AS n, round(avg(confidence), 6) AS mean_c, round(stddev_pop(confidence), 6) AS std_c, round(min(confidence), 6) AS min_c, round(max(confidence), 6) AS max_c FROM predictions GROUP BY ALL"))
 def e33(spark, sf):
     c = F.col("confidence")
-    return T.predictions(spark, sf).groupBy("action").agg(N.alias("n"), R6(F.avg(c)).alias("mean_c"), R6(F.stddev_pop(c)).alias("std_c"), R6(F.min(c)).alias("min_c"), R6(F.max(c)).alias("max_c"))
+    return T.predictions(spark, sf).groupBy("action").agg(N().alias("n"), R6(F.avg(c)).alias("mean_c"), R6(F.stddev_pop(c)).alias("std_c"), R6(F.min(c)).alias("min_c"), R6(F.max(c)).alias("max_c"))
 
 
 @query("e34_accuracy", sql("predictions", "SELECT truth, count(*) AS n, round(avg((action = truth)::INT), 6) AS accuracy FROM predictions GROUP BY ROLLUP (truth)"))
 def e34(spark, sf):
-    return T.predictions(spark, sf).rollup("truth").agg(N.alias("n"), R6(F.avg((F.col("action") == F.col("truth")).cast("int"))).alias("accuracy"))
+    return T.predictions(spark, sf).rollup("truth").agg(N().alias("n"), R6(F.avg((F.col("action") == F.col("truth")).cast("int"))).alias("accuracy"))
 
 
 @query("e35_metric_summary", sql("actions", "SELECT session_id, round(min(x), 6) AS min_v, round(arg_max(x, ord), 6) AS last_v, round(avg(x), 6) AS mean_v FROM actions GROUP BY ALL"))
@@ -256,20 +256,20 @@ def e35(spark, sf):
 @query("e36_outcome_report", sql("file_names", "SELECT CASE WHEN acct < 0 THEN 'error' WHEN acct < 1000 THEN 'skip' ELSE 'success' END AS status, count(*) AS n FROM file_names GROUP BY ALL"))
 def e36(spark, sf):
     s = F.when(F.col("acct") < 0, "error").when(F.col("acct") < 1000, "skip").otherwise("success")
-    return T.file_names(spark, sf).groupBy(s.alias("status")).agg(N.alias("n")).orderBy(F.desc("n"))
+    return T.file_names(spark, sf).groupBy(s.alias("status")).agg(N().alias("n")).orderBy(F.desc("n"))
 
 
 @query("l03_top_histogram", sql("actions", "SELECT session_id, count(*) AS n FROM actions GROUP BY ALL ORDER BY n DESC, session_id LIMIT 20"))
 def l03(spark, sf):
-    return T.actions(spark, sf).groupBy("session_id").agg(N.alias("n")).orderBy(F.desc("n"), "session_id").limit(20)
+    return T.actions(spark, sf).groupBy("session_id").agg(N().alias("n")).orderBy(F.desc("n"), "session_id").limit(20)
 
 
 @query("j31_predicted_vs_table", sql("points labels_before", """p AS (SELECT layer_id, count(*) AS predicted FROM points WHERE category <> 'endpoint' GROUP BY ALL), t AS (SELECT layer_id, count(*) AS expected FROM labels_before WHERE category = 'intersection' GROUP BY ALL)
     SELECT layer_id, predicted, expected, predicted - expected AS difference, CASE WHEN expected IS NULL THEN 'no table' ELSE 'ok' END AS status FROM p LEFT JOIN t USING (layer_id)"""))
 def j31(spark, sf):
     from roadpoints.operators.clip import compare_counts
-    p = T.points(spark, sf).where("category <> 'endpoint'").groupBy("layer_id").agg(N.alias("predicted"))
-    t = T.labels_before(spark, sf).where("category = 'intersection'").groupBy("layer_id").agg(N.alias("expected"))
+    p = T.points(spark, sf).where("category <> 'endpoint'").groupBy("layer_id").agg(N().alias("predicted"))
+    t = T.labels_before(spark, sf).where("category = 'intersection'").groupBy("layer_id").agg(N().alias("expected"))
     return compare_counts(p, t)
 
 
@@ -280,13 +280,13 @@ def e43(spark, sf):
     e = both_ways(pairs_within(T.points(spark, sf), 0.0, 30.0))
     w = Window.partitionBy("layer_id", "ord").orderBy("other")
     few = e.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("layer_id", "ord").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("other")), lambda v: v.cast("string"))).alias("first_three"))
-    return e.groupBy("layer_id", "ord").agg(N.alias("connections")).join(few, ["layer_id", "ord"])
+    return e.groupBy("layer_id", "ord").agg(N().alias("connections")).join(few, ["layer_id", "ord"])
 
 
 @query("e44_f07_distance_label", sql("points", f"{pair_sql(0.0, 20.0)} SELECT layer_id, count(*) AS links, printf('%.1fm', avg(d)) AS mean_label, printf('%.1fm', min(d)) AS min_label, printf('%.1fm', max(d)) AS max_label FROM pairs GROUP BY ALL"))
 def e44(spark, sf):
     d = F.col("d")
-    return pairs_within(T.points(spark, sf), 0.0, 20.0).groupBy("layer_id").agg(N.alias("links"), X.distance_label(F.avg(d)).alias("mean_label"), X.distance_label(F.min(d)).alias("min_label"), X.distance_label(F.max(d)).alias("max_label"))
+    return pairs_within(T.points(spark, sf), 0.0, 20.0).groupBy("layer_id").agg(N().alias("links"), X.distance_label(F.avg(d)).alias("mean_label"), X.distance_label(F.min(d)).alias("min_label"), X.distance_label(F.max(d)).alias("max_label"))
 
 
 @query("e30_skeleton_spacing", sql("skeleton", """s AS (SELECT layer_id, x, y, count(*) AS w FROM skeleton GROUP BY ALL), p AS (SELECT a.layer_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.w * b.w AS k FROM s a JOIN s b ON a.layer_id = b.layer_id AND (a.x, a.y) < (b.x, b.y)
@@ -355,7 +355,7 @@ def t02(spark, sf):
     s AS (SELECT *, sum(n) OVER (PARTITION BY session_id ORDER BY ts, ord) AS k FROM g) SELECT session_id, min(epoch_us(ts)) AS start_us, count(*) AS edits FROM s GROUP BY session_id, k"""))
 def t03(spark, sf):
     a = T.actions(spark, sf)
-    return a.groupBy("session_id", F.session_window("ts", "6 hours").alias("w")).agg(N.alias("edits")).select("session_id", F.unix_micros("w.start").alias("start_us"), "edits")
+    return a.groupBy("session_id", F.session_window("ts", "6 hours").alias("w")).agg(N().alias("edits")).select("session_id", F.unix_micros("w.start").alias("start_us"), "edits")
 
 
 @query("t05_action_classes", sql("actions", "SELECT ord, CASE WHEN action = 'remove' THEN 2 WHEN category = 'curve' THEN 1 ELSE 0 END AS label FROM actions"))
@@ -373,4 +373,4 @@ def t06(spark, sf):
 @query("t08_edit_activity", sql("actions", "SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS start_us, action, count(*) AS n FROM actions GROUP BY ALL"))
 def t08(spark, sf):
     a = T.actions(spark, sf)
-    return a.groupBy(F.window("ts", "5 minutes").alias("w"), "action").agg(N.alias("n")).select(F.unix_micros("w.start").alias("start_us"), "action", "n")
+    return a.groupBy(F.window("ts", "5 minutes").alias("w"), "action").agg(N().alias("n")).select(F.unix_micros("w.start").alias("start_us"), "action", "n")

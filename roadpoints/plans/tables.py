@@ -100,7 +100,7 @@ def predictions(spark, sf_dir) -> DataFrame:
 def road_catalog(spark, sf_dir) -> DataFrame:
     r, n = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(
-        F.col("r_name").alias("sido"), F.col("n_name").alias("sigungu"),
+        F.replace("r_name", F.lit(" "), F.lit("_")).alias("sido"), F.col("n_name").alias("sigungu"),
         F.concat_ws("/", "r_name", F.concat("n_name", F.lit(".shp"))).alias("path"))
 
 
@@ -108,7 +108,7 @@ def file_names(spark, sf_dir) -> DataFrame:
     """One district file per supplier: region_nation plus a running name."""
     s, n, r = (read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     return (s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-            .select(F.col("s_suppkey").alias("file_id"), F.concat_ws(" ", "r_name", "n_name", "s_name").alias("file_name"),
+            .select(F.col("s_suppkey").alias("file_id"), F.concat_ws(" ", F.replace("r_name", F.lit(" "), F.lit("_")), "n_name", "s_name").alias("file_name"),
                     F.col("s_acctbal").alias("acct")))
 
 
@@ -147,9 +147,9 @@ SQL = {
     "predictions": """SELECT vec_id, label % 3 AS truth, q, list_position(q, list_max(q)) - 1 AS action,
         list_sort(q, 'DESC')[1] - list_sort(q, 'DESC')[2] AS confidence
         FROM (SELECT vec_id, label, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS q FROM embeddings)""",
-    "road_catalog": """SELECT r_name AS sido, n_name AS sigungu, r_name || '/' || n_name || '.shp' AS path
+    "road_catalog": """SELECT replace(r_name, ' ', '_') AS sido, n_name AS sigungu, r_name || '/' || n_name || '.shp' AS path
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "file_names": """SELECT s_suppkey AS file_id, r_name || ' ' || n_name || ' ' || s_name AS file_name, s_acctbal AS acct
+    "file_names": """SELECT s_suppkey AS file_id, replace(r_name, ' ', '_') || ' ' || n_name || ' ' || s_name AS file_name, s_acctbal AS acct
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 }
 
