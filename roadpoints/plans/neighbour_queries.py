@@ -38,17 +38,17 @@ def j02_wide(spark, sf):
         F.count(F.lit(1)).alias("pairs"), R6(F.avg("d")).alias("mean_d"), R6(F.min("d")).alias("min_d"), R6(F.max("d")).alias("max_d"))
 
 
-NEAR_SKEL = f"""near AS MATERIALIZED (SELECT p.layer_id, p.ord, p.x, p.y, p.category, min({{'d': {D('p', 's')}, 'ord': s.ord}}) AS m
+NEAR_SKEL = f"""nskel AS MATERIALIZED (SELECT p.layer_id, p.ord, p.x, p.y, p.category, min({{'d': {D('p', 's')}, 'ord': s.ord}}) AS m
     FROM points p JOIN skeleton s USING (layer_id) GROUP BY ALL)"""
 
 
-@query("j03_nearest_skeleton", sql("points skeleton", f"{NEAR_SKEL} SELECT layer_id, ord, m.ord AS skeleton_ord, round(m.d, 6) AS distance FROM near"))
+@query("j03_nearest_skeleton", sql("points skeleton", f"{NEAR_SKEL} SELECT layer_id, ord, m.ord AS skeleton_ord, round(m.d, 6) AS distance FROM nskel"))
 def j03(spark, sf):
     n = nearest(T.points(spark, sf), T.skeleton(spark, sf))
     return n.select("layer_id", "ord", F.col("near_ord").alias("skeleton_ord"), R6("near_d").alias("distance"))
 
 
-@query("j03_nearest_skeleton_capped", sql("points skeleton", f"{NEAR_SKEL} SELECT layer_id, ord, CASE WHEN m.d <= 50 THEN m.ord END AS skeleton_ord FROM near"))
+@query("j03_nearest_skeleton_capped", sql("points skeleton", f"{NEAR_SKEL} SELECT layer_id, ord, CASE WHEN m.d <= 50 THEN m.ord END AS skeleton_ord FROM nskel"))
 def j03_cap(spark, sf):
     n = nearest(T.points(spark, sf), T.skeleton(spark, sf), cap=50.0)
     return n.select("layer_id", "ord", F.col("near_ord").alias("skeleton_ord"))
@@ -202,7 +202,7 @@ def e03(spark, sf):
 
 POINTIMP = f"""{NEAR_SKEL}, {SKELIMP}, importance AS MATERIALIZED (SELECT n.layer_id, n.ord, least(1.0, CASE n.category WHEN 'intersection' THEN 1.0 WHEN 'curve' THEN 0.7 ELSE 0.5 END * 0.4
       + (connectivity * 0.4 + road_width * 0.3 + centrality * 0.3) * 0.4 + greatest(0, 1 - n.m.d / 50.0) * 0.2) AS importance
-    FROM near n JOIN skeleton s ON s.layer_id = n.layer_id AND s.ord = n.m.ord JOIN imp i ON i.layer_id = s.layer_id AND i.x = s.x AND i.y = s.y)"""
+    FROM nskel n JOIN skeleton s ON s.layer_id = n.layer_id AND s.ord = n.m.ord JOIN imp i ON i.layer_id = s.layer_id AND i.x = s.x AND i.y = s.y)"""
 
 
 @query("e04_point_importance", sql("points skeleton", f"{POINTIMP} SELECT layer_id, ord, round(importance, 6) AS importance FROM importance"))
