@@ -33,8 +33,9 @@ def repair_ring(ring: Column) -> Column:
 
 def valid_shapes(shapes: DataFrame, min_area: float = 1e-10) -> DataFrame:
     """Rows whose repaired ring has an area; ``ring`` is the repaired one and ``area`` is added."""
-    r = shapes.withColumn("ring", repair_ring(F.col("ring"))).where("ring is not null").withColumn("area", ring_area(F.col("ring")))
-    return r.where(F.col("area") >= min_area)
+    # generators keep the optimizer from copying the nested expressions into every filter below
+    fixed = shapes.withColumn("_r", F.explode(F.array_compact(F.array(repair_ring(F.col("ring")))))).drop("ring").withColumnRenamed("_r", "ring")
+    return fixed.withColumn("area", F.explode(F.filter(F.array(ring_area(F.col("ring"))), lambda a: a >= min_area)))
 
 
 def rejects(shapes: DataFrame) -> DataFrame:

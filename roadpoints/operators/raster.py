@@ -92,14 +92,35 @@ def skeleton_edges(skel: DataFrame, px: float = 1.0, keys: Sequence[str] = KEYS)
     return to.join(p.withColumnRenamed("ord", "v"), [*keys, "row", "col"]).select(*keys, "u", "v", "w")
 
 
-def skeleton_lines(skel: DataFrame, px: float = 1.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Skeleton pixels by line: seg and step along it from its first end (the sound order, unlike the scan order)."""
-    from roadpoints.operators.fixpoint import shortest_paths
+def skeleton_lines(skel: DataFrame, px: float = 1.0, keys: Sequence[str] = KEYS, limit: int = 60) -> DataFrame:
+    """Skeleton pixels by line: seg and step along it from its start (the sound order, unlike the scan order).
+
+    Each directed edge knows the one after it; doubling gives its distance to the line's end in log(length) rounds.
+    """
     from roadpoints.operators.graph import segment_table, segments
+    k = [*keys, "seg"]
     nodes = cut(pixel_points(skel, px))
     segs = segments(nodes, cut(skeleton_edges(skel, px, keys)), keys)
-    starts = segment_table(nodes, segs, keys).select(*keys, "seg", F.coalesce("start", F.lit(None).cast("long")).alias("source"))
-    rings = segs.groupBy(*keys, "seg").agg(F.min("u").alias("_u"))
-    starts = starts.join(rings, [*keys, "seg"]).select(*keys, "seg", F.coalesce("source", "_u").alias("source"))
-    walk = shortest_paths(segs, starts, keys=[*keys, "seg"])
-    return walk.join(nodes.select(*keys, F.col("ord").alias("node"), "x", "y"), [*keys, "node"]).select(*keys, "seg", F.col("hops").alias("step"), F.col("node").alias("ord"), "x", "y")
+    low = segs.groupBy(*k).agg(F.min("u").alias("_u"))
+    tips = cut(segment_table(nodes, segs, keys).join(low, k).select(*k, "edges", F.coalesce("start", "_u").alias("start"), F.coalesce("end", "_u").alias("end")))
+    arcs = segs.select(*k, "u", "v").unionByName(segs.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
+    on = arcs.join(tips, k).where("v <> start and v <> end").select(*k, "u", "v")
+    nxt = on.join(arcs.select(*k, F.col("u").alias("v"), F.col("v").alias("w")), [*k, "v"]).where("w <> u").select(*k, "u", "v", F.col("v").alias("nu"), F.col("w").alias("nv"))
+    # an edge without a next one is its line's last; it points at itself
+    walk, moving = cut_counting(arcs.join(nxt, [*k, "u", "v"], "left").select(
+        *k, "u", "v", F.when(F.col("nu").isNull(), 0).otherwise(1).cast("long").alias("left"), F.coalesce("nu", "u").alias("nu"), F.coalesce("nv", "v").alias("nv")), F.sum("left"))
+    for _ in range(limit):
+        ahead = walk.select(*k, F.col("u").alias("nu"), F.col("v").alias("nv"), F.col("left").alias("more"), F.col("nu").alias("fu"), F.col("nv").alias("fv"))
+        before = moving
+        walk, moving = cut_counting(walk.join(ahead, [*k, "nu", "nv"]).select(*k, "u", "v", (F.col("left") + F.col("more")).alias("left"), F.col("fu").alias("nu"), F.col("fv").alias("nv")), F.sum("left"))
+        if moving == before:
+            break
+    else:
+        raise RuntimeError(f"skeleton_lines: no fixpoint after {limit} rounds")
+    # one direction per line: towards its end; a loop ends where it starts, so there the smaller last step decides
+    way = walk.join(tips, k).where(F.col("nv") == F.col("end"))
+    pick = way.groupBy(*k).agg(F.min("nu").alias("_n"))
+    way = way.join(pick, k).where("start <> end or nu = _n")
+    head = tips.select(*k, F.col("start").alias("ord"), F.lit(0).cast("long").alias("step"))
+    rest = way.where("start <> end or v <> end").select(*k, F.col("v").alias("ord"), (F.col("edges") - F.col("left")).alias("step"))
+    return head.unionByName(rest).join(nodes.select(*keys, "ord", "x", "y"), [*keys, "ord"])

@@ -83,10 +83,10 @@ def g17(spark, sf):
     return G.degrees(n, e).where("degree >= 3").select("layer_id", "ord", "degree")
 
 
-@query("g05_shortest_paths", sql("layers", f"{NODES} SELECT layer_id, 100 AS source, ord AS node, (h + v) * 200.0 AS dist, h + v AS hops FROM jn"))
+@query("g05_shortest_paths", sql("layers", f"{NODES} SELECT a.layer_id, a.ord AS source, b.ord AS node, (abs(a.h - b.h) + abs(a.v - b.v)) * 200.0 AS dist, abs(a.h - b.h) + abs(a.v - b.v) AS hops FROM jn a JOIN jn b USING (layer_id)"))
 def g05(spark, sf):
     n, e = network(spark, sf)
-    return shortest_paths(e, n.where("ord = 100").select("layer_id", F.col("ord").alias("source"))).select("layer_id", "source", "node", R6("dist").alias("dist"), "hops")
+    return shortest_paths(e, n.select("layer_id", F.col("ord").alias("source"))).select("layer_id", "source", "node", R6("dist").alias("dist"), "hops")
 
 
 @query("g08_bounded_paths", sql("layers", f"{NODES} SELECT a.layer_id, a.ord AS source, b.ord AS node, (abs(a.h - b.h) + abs(a.v - b.v)) * 200.0 AS dist FROM jn a JOIN jn b ON a.layer_id = b.layer_id AND abs(a.h - b.h) + abs(a.v - b.v) <= 2"))
@@ -107,11 +107,12 @@ def g06(spark, sf):
     return G.site_distances(s, n, e, 200.0).select("layer_id", "ord1", "ord2", R6("distance").alias("distance"))
 
 
-@query("g10_path_straightness", sql("layers", f"""{NODES} SELECT layer_id, 100 AS source, ord AS target, (h + v) * 200.0 AS length,
-    round(CASE WHEN h + v = 0 THEN 1.0 ELSE sqrt(h * h + v * v) / (h + v) END, 6) AS ratio, CASE WHEN h + v = 0 THEN TRUE ELSE sqrt(h * h + v * v) / (h + v) >= 0.92 END AS straight_strict FROM jn"""))
+@query("g10_path_straightness", sql("layers", f"""{NODES}, p AS (SELECT a.layer_id, a.ord AS source, b.ord AS target, abs(a.h - b.h) AS h, abs(a.v - b.v) AS v FROM jn a JOIN jn b USING (layer_id) WHERE abs(a.h - b.h) + abs(a.v - b.v) <= 3)
+    SELECT layer_id, source, target, (h + v) * 200.0 AS length, round(CASE WHEN h + v = 0 THEN 1.0 ELSE sqrt(h * h + v * v) / (h + v) END, 6) AS ratio,
+      CASE WHEN h + v = 0 THEN TRUE ELSE sqrt(h * h + v * v) / (h + v) >= 0.92 END AS straight_strict FROM p"""))
 def g10(spark, sf):
     n, e = network(spark, sf)
-    paths = cut(shortest_paths(e, n.where("ord = 100").select("layer_id", F.col("ord").alias("source"))))
+    paths = cut(shortest_paths(e, n.select("layer_id", F.col("ord").alias("source")), bound=600.0))
     steps = G.path_nodes(paths, paths.select("layer_id", "source", F.col("node").alias("target")))
     return G.path_straightness(steps, n).select("layer_id", "source", "target", R6("length").alias("length"), R6("ratio").alias("ratio"), "straight_strict")
 
@@ -169,10 +170,10 @@ def g23(spark, sf):
     return G.centrality(n, e).select("layer_id", "ord", R6("degree_centrality").alias("degree_centrality"), F.round("closeness", 8).alias("closeness"))
 
 
-@query("g23_betweenness_from_corner")
+@query("g23_betweenness")
 def g23_between(spark, sf):
     n, e = network(spark, sf)
-    return G.betweenness(n, e, n.where("ord = 100").select("layer_id", F.col("ord").alias("source"))).select("layer_id", "ord", R6("betweenness").alias("betweenness"))
+    return G.betweenness(n, e, n.select("layer_id", F.col("ord").alias("source"))).select("layer_id", "ord", R6("betweenness").alias("betweenness"))
 
 
 @query("g24_segment_adjacency", sql("layers", f"""{NODES}, d AS (SELECT layer_id, 4 - (h = 0)::INT - (h = 10)::INT - (v = 0)::INT - (v = 10)::INT AS d FROM jn)

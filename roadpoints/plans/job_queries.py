@@ -123,15 +123,11 @@ def j37(spark, sf):
     return near_join(near, p.select("layer_id", "x", "y").distinct(), 2.0, strict=True, how="left_anti").select("layer_id", "ord", "x", "y")
 
 
-@query("j24_crossed_cells", sql("points", f"""{pair_sql(15.0, 50.0)} SELECT layer_id, ord1, ord2, (abs(floor(x1 / 100) - floor(x2 / 100)) + 1 + abs(floor(y1 / 100) - floor(y2 / 100)))::BIGINT AS cells FROM pairs
-    WHERE NOT (floor(x1 / 100) <> floor(x2 / 100) AND floor(y1 / 100) <> floor(y2 / 100))"""))
+@query("j24_crossed_cells", sql("points", f"""{pair_sql(15.0, 50.0)} SELECT layer_id, ord1, ord2, (abs(floor(x1 / 100) - floor(x2 / 100)) + 1 + abs(floor(y1 / 100) - floor(y2 / 100)))::BIGINT AS cells FROM pairs"""))
 def j24(spark, sf):
     from roadpoints.operators.celljoin import segment_cells
     c = segment_cells(pairs_within(T.points(spark, sf), 15.0, 50.0), 100.0)
-    out = c.groupBy("layer_id", "ord1", "ord2", "x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("cells"))
-    # links that leave their cell along one axis only: there the count has a closed form
-    same = (F.floor(F.col("x1") / 100) == F.floor(F.col("x2") / 100)) | (F.floor(F.col("y1") / 100) == F.floor(F.col("y2") / 100))
-    return out.where(same).select("layer_id", "ord1", "ord2", "cells")
+    return c.groupBy("layer_id", "ord1", "ord2").agg(F.count(F.lit(1)).alias("cells"))
 
 
 LINES = """ln AS (SELECT layer_id, ord, (SELECT count(*) FROM range(11) r(k) WHERE abs(y - 200 * k) <= R) AS nh, (SELECT count(*) FROM range(11) r(k) WHERE abs(x - 200 * k) <= R) AS nv FROM points)"""
@@ -188,3 +184,77 @@ def q01(spark, sf):
 def m15(spark, sf):
     from roadpoints.operators.lines import place_sites
     return place_sites(T.reference_points(spark, sf), T.districts(spark, sf), 50.0, rounds=3).select("layer_id", "round", "ord", "gain_area")
+
+
+FEET = """f AS MATERIALIZED (SELECT layer_id, ord, CASE WHEN dh <= dv THEN x ELSE 200 * round(x / 200) END AS x, CASE WHEN dh <= dv THEN 200 * round(y / 200) ELSE y END AS y
+    FROM (SELECT *, abs(x - 200 * round(x / 200)) AS dv, abs(y - 200 * round(y / 200)) AS dh FROM points)),
+    fp AS MATERIALIZED (SELECT a.layer_id, a.ord AS ord1, b.ord AS ord2, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d
+      FROM f a JOIN f b ON a.layer_id = b.layer_id AND a.ord < b.ord WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) BETWEEN 15 AND 50)"""
+
+
+def feet(spark, sf):
+    n = L.nearest_segment(T.points(spark, sf), T.streets(spark, sf))
+    from roadpoints.session import cut
+    return cut(n.select("layer_id", "ord", R6("foot_x").alias("x"), R6("foot_y").alias("y"), "category"))
+
+
+@query("j44_projected_links", sql("points", f"""{FEET} SELECT layer_id, ord1, ord2, round(d, 6) AS distance FROM fp p WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.layer_id = p.layer_id
+    AND (o.x <> x1 OR o.y <> y1) AND (o.x <> x2 OR o.y <> y2) AND {segd('o.x', 'o.y')} <= 1.0)"""))
+def j44(spark, sf):
+    f = feet(spark, sf)
+    links = pairs_within(f, 15.0, 50.0)
+    end = ((F.col("x") == F.col("x1")) & (F.col("y") == F.col("y1"))) | ((F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")))
+    held = L.rows_near_links(links, f, 1.0).where(~end).select("layer_id", "ord1", "ord2").distinct()
+    return links.join(held, ["layer_id", "ord1", "ord2"], "left_anti").select("layer_id", "ord1", "ord2", R6("d").alias("distance"))
+
+
+@query("g25_same_segment_pairs", sql("points", """v AS (SELECT *, abs(x - 200 * round(x / 200)) AS dv, abs(y - 200 * round(y / 200)) AS dh FROM points),
+    s AS (SELECT layer_id, ord, CASE WHEN dh <= dv THEN round(y / 200) ELSE 100 + round(x / 200) END AS line, CASE WHEN dh <= dv THEN x ELSE y END AS m FROM v WHERE least(dv, dh) <= 2 AND dh <> dv),
+    k AS (SELECT *, floor(m / 200) AS part FROM s WHERE m < 2000 AND m % 200 <> 0)
+    SELECT layer_id, min(ord) AS ord1, max(ord) AS ord2, round(max(m) - min(m), 6) AS distance, 'same_segment' AS type FROM k GROUP BY layer_id, line, part HAVING count(*) = 2"""))
+def g25(spark, sf):
+    # sites exactly on a junction, or as near to two streets, have no single segment and are left out on both sides
+    n = L.nearest_segment(T.points(spark, sf), T.streets(spark, sf), cap=2.0).where("near_line is not null")
+    n = n.where("abs(x - 200 * round(x / 200)) <> abs(y - 200 * round(y / 200)) and measure < 2000 and measure % 200 <> 0")
+    k = n.withColumn("part", F.floor(F.col("measure") / 200)).groupBy("layer_id", "near_line", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord1"), F.max("ord").alias("ord2"), R6(F.max("measure") - F.min("measure")).alias("distance"))
+    return k.where("n = 2").select("layer_id", "ord1", "ord2", "distance", F.lit("same_segment").alias("type"))
+
+
+@query("r05_skeleton_lines")
+def r05_lines(spark, sf):
+    lines = R.skeleton_lines(R.thin(pixels(spark, sf)), PX)
+    return lines.groupBy("layer_id", "seg").agg(F.count(F.lit(1)).alias("vertices"), F.max("step").alias("last_step"))
+
+
+@query("q02_district_run")
+def q02(spark, sf):
+    _, found = J.district_run(T.streets(spark, sf), district_edges(spark, sf), PX)
+    return found.groupBy("layer_id", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q03_batch_report", sql("points", """SELECT layer_id, count_if(category = 'intersection')::BIGINT AS intersection, count_if(category = 'curve')::BIGINT AS curve, count_if(category = 'endpoint')::BIGINT AS endpoint,
+    count(*) AS total, round(avg(count(*)) OVER (), 6) AS batch_mean FROM points GROUP BY layer_id"""))
+def q03(spark, sf):
+    return J.batch_report(T.points(spark, sf)).withColumn("batch_mean", R6("batch_mean"))
+
+
+@query("q07_evaluation")
+def q07(spark, sf):
+    want = T.labels_before(spark, sf).groupBy("layer_id").agg(F.count(F.lit(1)).alias("expected"))
+    return J.evaluate(T.points(spark, sf), want, T.skeleton(spark, sf), T.streets(spark, sf))
+
+
+@query("q10_routed_curves")
+def q10(spark, sf):
+    return J.routed_curves(T.waves(spark, sf), T.points(spark, sf).where("category = 'intersection'")).select("layer_id", "ord", "detector")
+
+
+@query("l05_deletion_candidates", sql("points layers", f"""{NODES}, s AS (SELECT p.layer_id, p.ord, min(sqrt((p.x - j.x) * (p.x - j.x) + (p.y - j.y) * (p.y - j.y))) AS d FROM points p JOIN jn j USING (layer_id) WHERE p.category <> 'intersection' GROUP BY ALL)
+    SELECT layer_id, ord, round(1.0 / (1.0 + d / 50), 6) AS priority, row_number() OVER (PARTITION BY layer_id ORDER BY d, ord) AS rank FROM s QUALIFY rank <= 5"""))
+def l05(spark, sf):
+    from roadpoints.operators.sequence import top_n
+    from roadpoints.plans.graph_queries import network
+    n, _ = network(spark, sf)
+    s = nearest(T.points(spark, sf).where("category <> 'intersection'"), n)
+    return top_n(s, 5, [F.col("near_d"), F.col("ord")]).select("layer_id", "ord", R6(1.0 / (1.0 + F.col("near_d") / 50)).alias("priority"), "rank")

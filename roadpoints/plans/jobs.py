@@ -38,3 +38,56 @@ def detection_report(roads: DataFrame, px: float = 4.0, keys: Sequence[str] = KE
     """Detected points per layer and category."""
     _, found = detect(roads, px, keys)
     return found.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def district_run(roads: DataFrame, outlines: DataFrame, px: float = 4.0, ladder: Sequence[float] = (10.0, 100.0, 200.0, 500.0),
+                 keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """Roads clipped by their district's outline (edges), then detected. Key by file and polygon to run all polygons at once."""
+    from roadpoints.operators.clip import clip_with_ladder
+    half = roads.select(*keys, "road_id", "half_width")
+    cut_roads = clip_with_ladder(roads, outlines, ladder, keys).join(half, [*keys, "road_id"]).select(
+        *keys, "road_id", F.col("cx1").alias("x1"), F.col("cy1").alias("y1"), F.col("cx2").alias("x2"), F.col("cy2").alias("y2"), "half_width")
+    return detect(cut(cut_roads), px, keys)
+
+
+def road_run(roads: DataFrame, deletes: DataFrame | None = None, px: float = 4.0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Detected points, less the nearest point of each scored deletion, thinned by the skeleton degree filter."""
+    _, found = detect(roads, px, keys)
+    rank = S.choose("category", S.CATEGORY_ORDER, 9)
+    found = cut(found.withColumn("ord", F.xxhash64(rank, "ord")))
+    if deletes is not None:
+        found = cut(D.nearest_deletions(found, deletes, keys=keys))
+    return D.skeleton_degree_filter(found, roads, 15.0, 50.0, keys)
+
+
+def batch_report(points: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Totals per layer and category with the batch mean of the layer totals."""
+    per = points.groupBy(*keys).agg(*[F.count_if(F.col("category") == c).alias(c) for c in S.CATEGORY_ORDER], F.count(F.lit(1)).alias("total"))
+    return per.crossJoin(F.broadcast(per.agg(F.avg("total").alias("batch_mean"))))  # one row
+
+
+def evaluate(found: DataFrame, expected: DataFrame, skel: DataFrame, roads: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Detected points through the selection chain, counted per layer and compared with the expected table."""
+    from roadpoints.operators.clip import compare_counts
+    last = D.optimisation_stages(found, skel, roads, keys)[-1][1]
+    return compare_counts(last.groupBy(*keys).agg(F.count(F.lit(1)).alias("predicted")), expected)
+
+
+def flagged(found: DataFrame, scored: DataFrame, threshold: float = 0.7, delete: int = 2, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Detected points plus the sites a scorer is sure to delete, as a fourth category."""
+    sure = scored.where((F.col("action") == delete) & (F.col("confidence") >= threshold))
+    return found.select(*keys, "ord", "x", "y", "category").unionByName(sure.select(*keys, "ord", "x", "y", F.lit("delete").alias("category")))
+
+
+def routed_curves(skel: DataFrame, junctions: DataFrame, many: int = 2000, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Curves by layer size: the five-point stencil on a 20 m resampled line above ``many`` skeleton points, else the edge
+    rule (threshold 0.25, 25 m off junctions). Each detector sees only its own layers."""
+    size = skel.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    big = cut(skel.join(size.where(F.col("_n") > many).select(*keys), list(keys), "left_semi"))
+    small = cut(skel.join(size.where(F.col("_n") <= many).select(*keys), list(keys), "left_semi"))
+    from roadpoints.operators.sequence import with_position
+    thin = cut(with_position(K.resample(big, 20.0, keys).drop("pos", "n"), keys))
+    one = K.stencil_turns(thin, 0.4, keys).select(*keys, "ord", "x", "y", F.lit("stencil").alias("detector"))
+    two = K.edge_curves(small, 20.0, 0.25, keys=keys).select(*keys, "ord", "x", "y")
+    two = near_join(two, junctions.select(*keys, "x", "y").distinct(), 25.0, keys, how="left_anti").withColumn("detector", F.lit("edge"))
+    return one.unionByName(two)

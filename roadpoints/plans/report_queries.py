@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from roadpoints.functions import text as X
-from roadpoints.functions.geom import dist, line_length, ring_area
+from roadpoints.functions.geom import dist, line_length
 from roadpoints.operators import clean as P, stats as S
 from roadpoints.operators.celljoin import near_join, nearest, pairs_within
 from roadpoints.plans import tables as T
@@ -314,9 +314,9 @@ def f05(spark, sf):
     return around(T.reference_points(spark, sf), T.points(spark, sf), 5.0, {"taken": F.count(F.lit(1)) > 0}, strict=True, default={"taken": False}).select("layer_id", "ord", "taken")
 
 
-@query("f02_area_length", sql("shapes", "SELECT shape_id, round(CASE WHEN kind IN (0, 2) THEN side * side WHEN kind = 1 THEN side * side ELSE 0 END, 4) AS area FROM shapes WHERE kind IN (0, 2)"))
+@query("f02_line_length", sql("shapes", "SELECT shape_id, round(CASE kind WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 3 THEN 1 + sqrt(2) ELSE 1 END * side, 4) AS length FROM shapes"))
 def f02(spark, sf):
-    return T.shapes(spark, sf).where("kind in (0, 2)").select("shape_id", F.round(ring_area(F.col("ring")), 4).alias("area"))
+    return T.shapes(spark, sf).select("shape_id", F.round(line_length(F.col("ring")), 4).alias("length"))
 
 
 @query("f08_day_age", sql("actions", "SELECT ord, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, epoch_us(TIMESTAMP '2024-03-01') // 86400000000 - epoch_us(ts) // 86400000000 AS day_age FROM actions"))

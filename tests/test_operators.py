@@ -315,3 +315,19 @@ def test_order_of_input_does_not_matter(spark):
     a = {r.ord for r in select.priority_spacing(points(spark, rows)).collect()}
     b = {r.ord for r in select.priority_spacing(points(spark, rows[::-1]).repartition(7)).collect()}
     assert a == b
+
+
+def test_skeleton_lines_are_ordered(spark):
+    line = {(0, c) for c in range(30)} | {(r, 15) for r in range(1, 12)}
+    ring = {(20, c) for c in range(5)} | {(24, c) for c in range(5)} | {(r, 0) for r in range(21, 24)} | {(r, 4) for r in range(21, 24)}
+    ring -= {(20, 0), (20, 4), (24, 0), (24, 4)}  # corner pixels would be chords, not a plain loop
+    px = spark.createDataFrame([(0, r, c) for r, c in line | ring], "layer_id long, row long, col long")
+    rows = raster.skeleton_lines(px).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.seg, []).append((r.step, r.x, r.y))
+    for pts in by.values():
+        pts.sort()
+        assert [p[0] for p in pts] == list(range(len(pts)))
+        assert all(max(abs(a[1] - b[1]), abs(a[2] - b[2])) == 1 for a, b in zip(pts, pts[1:]))
+    assert len(ring) in {len(p) for p in by.values()}
