@@ -337,12 +337,12 @@ def x01(spark, sf):
 
 # edit log
 
-@query("t01_t04_session_context", sql("actions", """SELECT session_id, ord, round(epoch_us(ts) / 1e6 - min(epoch_us(ts)) OVER p / 1e6, 3) AS relative_time, count(*) OVER w AS edits,
+@query("t01_t04_session_context", sql("actions", """SELECT session_id, ord, round((epoch_us(ts) - min(epoch_us(ts)) OVER p) / 1e6, 6) AS relative_time, count(*) OVER w AS edits,
     round(count(*) OVER w / greatest((epoch_us(ts) - min(epoch_us(ts)) OVER p) / 1e6, 1.0) * 60, 6) AS edit_rate FROM actions WINDOW p AS (PARTITION BY session_id), w AS (PARTITION BY session_id ORDER BY ts, ord ROWS UNBOUNDED PRECEDING)"""))
 def t01(spark, sf):
     from roadpoints.streaming.actions import session_context
     c = session_context(T.actions(spark, sf))
-    return c.select("session_id", "ord", F.round("relative_time", 3).alias("relative_time"), "edits", R6("edit_rate").alias("edit_rate"))
+    return c.select("session_id", "ord", F.round("relative_time", 6).alias("relative_time"), "edits", R6("edit_rate").alias("edit_rate"))
 
 
 @query("t02_latest_actions", sql("actions", "SELECT session_id, ord FROM actions QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, ord DESC) <= 5"))

@@ -19,8 +19,15 @@ def category_of(kind: str = "event_type"):
             .when(F.col(kind) == "signup", "endpoint").otherwise("curve"))
 
 
-def micros():
-    return F.unix_micros(F.col("ts").cast("timestamp"))
+def instant(spark: SparkSession):
+    """The zone-less event time as a UTC instant, whatever the session's zone."""
+    if spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC"):
+        return F.col("ts").cast("timestamp")
+    return F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")
+
+
+def micros(spark: SparkSession):
+    return F.unix_micros(instant(spark))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +35,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.expr("event_id div 1000").alias("layer_id"), F.col("event_id").alias("ord"),
         (F.expr("pmod(event_id * 7919, 20011)") / 10.0).alias("x"),
-        (F.pmod(micros(), F.lit(20011)) / 10.0).alias("y"),
+        (F.pmod(micros(spark), F.lit(20011)) / 10.0).alias("y"),
         category_of().alias("category"), F.col("event_type").alias("kind"))
 
 
@@ -83,10 +90,10 @@ def labels_after(spark, sf_dir) -> DataFrame:
 def actions(spark, sf_dir) -> DataFrame:
     """Edit log: one session per user; an error event removes its point, any other adds it."""
     return read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("ord"), instant(spark).alias("ts"),
         F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"),
         category_of().alias("category"),
-        (F.expr("pmod(event_id * 7919, 20011)") / 10.0).alias("x"), (F.pmod(micros(), F.lit(20011)) / 10.0).alias("y"))
+        (F.expr("pmod(event_id * 7919, 20011)") / 10.0).alias("x"), (F.pmod(micros(spark), F.lit(20011)) / 10.0).alias("y"))
 
 
 def predictions(spark, sf_dir) -> DataFrame:
