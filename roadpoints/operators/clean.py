@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from roadpoints.functions.geom import C, dist, line_length, ring_area
+from roadpoints.functions.geom import C, dist, ring_area
 from roadpoints.operators.celljoin import KEYS
 
 # GRS80 ellipsoid and the Korean belts (central meridian per code; latitude of origin 38, false origin 200000, 600000, scale 1).

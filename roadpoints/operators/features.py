@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from roadpoints.functions.geom import bearing, dist
+from roadpoints.functions.geom import bearing
 from roadpoints.operators import curves as K, stats as S
-from roadpoints.operators.celljoin import KEYS, around, count_if, k_nearest, near_join, nearest
+from roadpoints.operators.celljoin import KEYS, around, k_nearest, near_join, nearest
 from roadpoints.session import cut
 
 # Confidence by mark class, reward by outcome.

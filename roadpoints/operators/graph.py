@@ -7,8 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from roadpoints.functions.geom import crossing, dist, seg_dist, turn_angle
-from roadpoints.operators.celljoin import KEYS, around, count_if, near_join, nearest, pairs_within, segment_cells
+from roadpoints.functions.geom import crossing, dist, turn_angle
+from roadpoints.operators.celljoin import KEYS, around, near_join, nearest, pairs_within, segment_cells
 from roadpoints.operators.fixpoint import components, shortest_paths
 from roadpoints.operators.links import nearest_segment
 from roadpoints.operators.select import chain_next

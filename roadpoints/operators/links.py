@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roadpoints.functions.geom import (dist, foot, measure_ratio, same_box, seg_dist, with_band_interval,
                                        with_disc_interval)
-from roadpoints.operators.celljoin import KEYS, around, pairs_within, renamed, segment_cells, with_cell
+from roadpoints.operators.celljoin import KEYS, around, pairs_within, segment_cells, with_cell
 from roadpoints.session import cut, cut_counting
 
 EDGE = 50.0

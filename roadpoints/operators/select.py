@@ -175,10 +175,9 @@ def road_closeness(points: DataFrame, roads: DataFrame, near: float = 50.0, keys
     Width is area / outline length of the road's band; its outline has five vertices.
     """
     hw, ln = F.col("half_width"), dist("ax", "ay", "bx", "by")
-    wide = roads.withColumn("half_width", F.col("half_width"))
     from roadpoints.operators.celljoin import with_cell
     from roadpoints.operators.links import _roads
-    hit = (with_cell(points.select(*keys, "ord", "x", "y"), 50.0).join(_roads(wide, keys, near, 50.0), [*keys, "cx", "cy"])
+    hit = (with_cell(points.select(*keys, "ord", "x", "y"), 50.0).join(_roads(roads, keys, near, 50.0), [*keys, "cx", "cy"])
            .withColumn("d", F.greatest(F.lit(0.0), seg_dist("x", "y", "ax", "ay", "bx", "by") - hw)).where(F.col("d") < near))
     width = 2 * hw * ln / (2 * ln + 4 * hw)
     s = hit.groupBy(*keys, "ord").agg(F.sum((width + 5) / (1 + F.col("d"))).alias("road_score"))

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from roadpoints.operators.celljoin import KEYS, around, count_if, fold_copies, near_join, nearest, spread, with_cell
-from roadpoints.operators.links import EDGE, PAIR, both_ways, on_road, road_gap
+from roadpoints.operators.celljoin import KEYS, around, count_if, near_join, nearest, with_cell
+from roadpoints.operators.links import EDGE, both_ways, road_gap
 
 # Category base scores, nearest-distance bands, pair weights.
 BASE_SCORE = {"intersection": 10.0, "endpoint": 7.0, "curve": 5.0}

@@ -8,7 +8,6 @@ from roadpoints.functions.geom import dist
 from roadpoints.operators import graph as G
 from roadpoints.operators.celljoin import nearest
 from roadpoints.operators.fixpoint import shortest_paths
-from roadpoints.operators.links import lines_near
 from roadpoints.plans import tables as T
 from roadpoints.plans.link_queries import pair_sql
 from roadpoints.plans.registry import query

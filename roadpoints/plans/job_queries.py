@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
-from roadpoints.functions.geom import dist, natural_direction, seg_dist
+from roadpoints.functions.geom import dist, natural_direction
 from roadpoints.operators import clip as C, graph as G, links as L, raster as R, stats as S
 from roadpoints.operators.celljoin import nearest, near_join, pairs_within
 from roadpoints.plans import jobs as J, tables as T

@@ -6,8 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from roadpoints.functions import text as X
 from roadpoints.functions.geom import dist, line_length
-from roadpoints.operators import clean as P, stats as S
-from roadpoints.operators.celljoin import near_join, nearest, pairs_within
+from roadpoints.operators import clean as P
+from roadpoints.operators.celljoin import near_join, pairs_within
 from roadpoints.plans import tables as T
 from roadpoints.plans.link_queries import pair_sql
 from roadpoints.plans.neighbour_queries import D
@@ -157,9 +157,6 @@ def p07(spark, sf):
 
 # label sets
 
-SETS = """SELECT layer_id, category, x, y, 'CHANGE' AS change FROM A ANTI JOIN B USING (layer_id, category, x, y)"""
-
-
 @query("u01_u02_label_changes", sql("labels_before labels_after", """c AS (SELECT coalesce(a.layer_id, b.layer_id) AS layer_id, coalesce(a.category, b.category) AS category, count_if(b.ord IS NULL)::BIGINT AS added, count_if(a.ord IS NULL)::BIGINT AS removed, count_if(a.ord IS NOT NULL AND b.ord IS NOT NULL)::BIGINT AS kept
       FROM labels_after a FULL JOIN labels_before b ON a.layer_id = b.layer_id AND a.category = b.category AND a.x = b.x AND a.y = b.y GROUP BY 1, 2)
     SELECT *, round(added + removed * 0.8 - kept * 0.1, 6) AS score FROM c"""))

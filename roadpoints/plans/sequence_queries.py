@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
 from roadpoints.functions.geom import dist
 from roadpoints.operators import curves as K
-from roadpoints.operators.sequence import exact_quantile, framed, islands, neighbours, ranked, representatives, top_n, with_position
+from roadpoints.operators.sequence import framed, ranked, with_position
 from roadpoints.plans import tables as T
 from roadpoints.plans.registry import query
 from roadpoints.plans.tables import sql

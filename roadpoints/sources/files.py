@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 XY = "array<struct<x:double,y:double>>"
 ROADS = f"path string, record long, geom_type string, part int, ring {XY}"
