@@ -12,18 +12,19 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from roadpoints.llm.bpe_model import NONE, Model, PreTokens, ragged
+from roadpoints.llm.bpe_model import NONE, Lookup, Model, PreTokens, ragged
 from roadpoints.llm.registry import query, table
+from roadpoints.llm.textnum import slices, texts
 
 
 @dataclass
 class Automaton:
     """States are the distinct token prefixes; ``fail`` leads to the longest proper suffix that is one."""
 
-    keys: np.ndarray  # state * 256 + byte, sorted
-    to: np.ndarray
+    edges: Lookup  # of state * 256 + byte
     fail: np.ndarray
     token: np.ndarray  # longest token that is a suffix of the state
     shorter: np.ndarray  # of each token: the longest token that is a proper suffix of it, or -1
@@ -57,17 +58,14 @@ class Automaton:
                 shorter[own[s]] = token[fail[s]]
             else:
                 token[s] = token[fail[s]]
-        keys = np.array(list(edges), np.int64)
-        order = np.argsort(keys)
-        return cls(keys[order], np.array(list(edges.values()), np.int64)[order], np.array(fail, np.int64), np.array(token, np.int64), np.array(shorter, np.int64))
+        return cls(Lookup(np.array(list(edges), np.int64), np.array(list(edges.values()), np.int64), -1), np.array(fail, np.int64), np.array(token, np.int64), np.array(shorter, np.int64))
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         state, out, left = state.copy(), np.zeros_like(state), np.arange(len(state))
         while len(left):
-            key = state[left] * 256 + byte[left]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = self.keys[at] == key
-            out[left[ok]] = self.to[at[ok]]
+            to = self.edges.get(state[left] * 256 + byte[left])
+            ok = to >= 0
+            out[left[ok]] = to[ok]
             left = left[~ok]
             left = left[state[left] > 0]
             state[left] = self.fail[state[left]]
@@ -85,7 +83,9 @@ class Codec:
         self.whole = np.ones(len(model.tokens), bool)  # tokens whose own bytes encode to them alone
         for t, a, b, ok in zip(n.tolist(), model.left.tolist(), model.right.tolist(), together.tolist()):
             self.whole[t] = ok and self.whole[a] and self.whole[b]
-        self.bytes_of = dict(zip(model.ids.tolist(), model.tokens)) | {i: s.encode("utf-8") for s, i in model.special.items()}
+        of = dict(zip(model.ids.tolist(), model.tokens)) | {i: s.encode("utf-8") for s, i in model.special.items()}
+        table = [of.get(i, b"") for i in range(max(of) + 1)]
+        self.flat, self.begin = np.frombuffer(b"".join(table), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in table])])
 
     def compatible(self, left: np.ndarray, right: np.ndarray, bound: np.ndarray | None = None) -> np.ndarray:
         """Whether ``left`` and ``right`` stay side by side when their bytes are encoded together.
@@ -153,43 +153,49 @@ class Codec:
 def _encoded(shared):
     def run(batches):
         codec = shared.value
-        pre = PreTokens(codec.model.special)
+        pre = PreTokens(codec.model)
         ids, begin = np.zeros(0, np.int64), np.zeros(1, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256)
+            column = batch.column(1).cast(pa.large_string()).fill_null("")
+            _, offsets = texts(column)
+            for i, j in slices(offsets):
                 if len(pre.number) > pre.most:
                     pre.clear()
                     ids, begin = np.zeros(0, np.int64), np.zeros(1, np.int64)
-                seen = [np.array(pre.numbers(t or ""), np.int64) for t in rows.column(1).to_pylist()]
-                if len(pre.number) >= len(begin):
-                    new, count = codec.encode(list(pre.number)[len(begin) - 1:])
-                    ids = np.concatenate([ids, new])
-                    begin = np.concatenate([begin, begin[-1] + np.cumsum(count)])
-                each = np.concatenate(seen) if seen else np.zeros(0, np.int64)
+                each, first, new = pre.numbers(column.slice(i, j - i).to_pylist())
+                more, count = codec.encode(new)
+                ids = np.concatenate([ids, more])
+                begin = np.concatenate([begin, begin[-1] + np.cumsum(count)])
                 word = each >= 0
-                safe = np.where(word, each, 0)
-                size = np.where(word, begin[safe + 1] - begin[safe], 1) if len(begin) > 1 else np.ones(len(each), np.int64)
+                known = np.where(word, each, 0)
+                size = np.where(word, np.diff(begin)[known], 1) if len(begin) > 1 else np.ones(len(each), np.int64)
                 start = np.concatenate([[0], np.cumsum(size)])
-                where = np.arange(start[-1]) - np.repeat(start[:-1] - np.where(word, begin[safe], 0), size)
-                flat = ids[where] if len(ids) else np.zeros(start[-1], np.int64)
-                flat[start[:-1][~word]] = -1 - each[~word]
-                rows_at = np.concatenate([[0], np.cumsum([len(s) for s in seen])]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(start[rows_at], pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
+                flat = -1 - np.repeat(each, size)  # right for special tokens
+                if len(ids):
+                    source = np.arange(start[-1]) + np.repeat(begin[known] - start[:-1], size)
+                    flat = np.where(flat >= 0, flat, ids[np.minimum(source, len(ids) - 1)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()),
+                                                  pa.ListArray.from_arrays(pa.array(start[first], pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
     return run
 
 
 def _decoded(shared):
     def run(batches):
-        get = shared.value.bytes_of.__getitem__
+        flat, begin = shared.value.flat, shared.value.begin
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            for lo in range(0, batch.num_rows, 256):
-                part = ids.slice(lo, 256).to_pylist()
-                out = [b"".join(map(get, x or ())).decode("utf-8", "replace") for x in part]
-                rest = [c.slice(lo, 256) for c, n in zip(batch.columns, batch.schema.names) if n != "ids"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string())], names=[*[n for n in batch.schema.names if n != "ids"], "decoded"])
+            names = batch.schema.names
+            lists = batch.column(names.index("ids"))
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            for i, j in slices(ends, 1 << 18):
+                own = ids[ends[i]:ends[j]]
+                size = begin[own + 1] - begin[own]
+                start = np.concatenate([[0], np.cumsum(size)])
+                data = flat[np.arange(start[-1]) + np.repeat(begin[own] - start[:-1], size)].tobytes()
+                at = start[ends[i:j + 1] - ends[i]]
+                out = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                rest = [c.slice(i, j - i) for c, n in zip(batch.columns, names) if n != "ids"]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string())], names=[*[n for n in names if n != "ids"], "decoded"])
     return run
 
 

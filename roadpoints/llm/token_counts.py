@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roadpoints.llm.bpe_model import NONE, Model, PreTokens, ragged
 from roadpoints.llm.registry import query, table
+from roadpoints.llm.textnum import slices, texts
 
 MAX_TOKENS = 1024
 
@@ -53,25 +54,21 @@ def _merged(model: Model, words: list[str]) -> np.ndarray:
 def _counted(shared):
     def run(batches):
         model = shared.value
-        pre = PreTokens(model.special)
+        pre = PreTokens(model)
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            total, size = [], []
-            for lo in range(0, batch.num_rows, 256):
-                rows = [t or "" for t in batch.column(1).slice(lo, 256).to_pylist()]
+            column = batch.column(1).cast(pa.large_string()).fill_null("")
+            _, offsets = texts(column)
+            for i, j in slices(offsets):
                 if len(pre.number) > pre.most:
                     pre.clear()
                     counts = np.zeros(0, np.int64)
-                seen = [pre.numbers(t) for t in rows]
-                if len(pre.number) > len(counts):
-                    new = list(pre.number)[len(counts):]
-                    counts = np.concatenate([counts, surviving(model, new)])
-                for t, s in zip(rows, seen):
-                    s = np.array(s, np.int64)
-                    total.append(int(counts[s[s >= 0]].sum() + (s < 0).sum()))
-                    size.append(len(t.encode("utf-8")))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(total, pa.int64())],
-                                             names=["doc_id", "n_bytes", "n_tokens"])
+                each, first, new = pre.numbers(column.slice(i, j - i).to_pylist())
+                counts = np.concatenate([counts, surviving(model, new)])
+                size = np.where(each >= 0, counts[np.maximum(each, 0)], 1) if len(counts) else np.ones(len(each), np.int64)
+                total = np.concatenate([[0], np.cumsum(size)])[first]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(np.diff(offsets[i:j + 1])), pa.array(np.diff(total))],
+                                                 names=["doc_id", "n_bytes", "n_tokens"])
     return run
 
 
