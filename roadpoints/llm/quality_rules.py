@@ -21,7 +21,7 @@ MIN_GROUP = 60
 KEEP_NUM, KEEP_DEN, STEPS = 3, 4, 3
 #: squared Mahalanobis distance from which a document is rejected; 20.5 is the 99.9 per cent point of chi-squared with 5 degrees,
 #: the rest is room for tails that are heavier than normal ones
-CUTOFF = 60.0
+CUTOFF = 36.0
 #: median of chi-squared with 5 degrees of freedom, to which the distances of a group are scaled
 MEDIAN = 4.351460191095531
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
