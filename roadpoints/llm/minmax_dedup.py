@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roadpoints.llm.registry import query, table
 from roadpoints.llm.textnum import LOWER, Words, slices, texts
-from roadpoints.operators.fixpoint import components
 from roadpoints.session import cut, cut_counting
 
 #: words of a shingle; per cent of the union that the intersection must reach
@@ -87,17 +86,35 @@ def _sets(batches):
                                               pa.ListArray.from_arrays(pa.array(lists), pa.array(np.concatenate(sets).view(np.int64)))], schema=schema)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets reach the similarity; sets are made only for documents in a pair."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-               .mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets reach the similarity. The join on v comes last: few pairs share a v, while one leader u
+    may have many, so that the sets are compared evenly over the tasks."""
     both = (pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
             .join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v"))
     shared = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("total"))
     return shared.where(100 * F.col("n") >= PERCENT * (F.col("total") - F.col("n"))).select("u", "v")
 
 
+def groups(edges: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of ``edges`` (u, v): the smallest node that can be reached.
+
+    In each round a node takes the smallest label among its own, its neighbours' and what other nodes of its label have seen, and
+    then that label's label; rounds end when nothing changes, after about the logarithm of the longest chain.
+    """
+    both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    label = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("c")))
+    moved = 1
+    while moved:
+        near = both.join(label.select(F.col("node").alias("v"), "c"), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("m"))
+        seen = label.join(near, "node").select("node", "c", F.least("c", "m").alias("m"))
+        hook = seen.groupBy("c").agg(F.min("m").alias("h"))
+        to = seen.join(hook, "c").select("node", F.col("c").alias("old"), F.least("m", "h").alias("x"))
+        jump = to.join(to.select(F.col("node").alias("x"), F.col("x").alias("y")), "x")
+        label, moved = cut_counting(jump.select("node", F.least("x", "y").alias("c"), "old"), F.sum((F.col("c") != F.col("old")).cast("int")))
+        label = label.select("node", "c")
+    return label.select("node", F.col("c").alias("component"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -106,9 +123,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal doc_id and text give one row each, with the same values. An empty table gives an empty result.
 
     Equal sets are folded to their smallest doc_id before anything else. In a bucket (a band and its hash) members are
-    compared with one leader, not with each other: the smallest first, then others as long as that merges components. Pairs
-    of a bucket are listed only if both ends are still in different components after that, so that no link is lost while a
-    group of near copies costs as many comparisons as it has members.
+    compared with one leader, not with each other: the smallest first, then others as long as there are more pairs of a bucket in
+    different components than members. Those that are left are listed and compared, so that no proposed link is lost while a group
+    of near copies costs about as many comparisons as it has members.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     signed = cut(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>"))
@@ -116,64 +133,59 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                   .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     entries = classes.select("node", "n", F.posexplode("bands").alias("band", "h"))
     bucket = ["band", "h"]
-    live = entries.groupBy(*bucket).agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1")
-    members = cut(entries.join(live.drop("size"), bucket))
-    fits = (4 * F.least("n", "m") >= 3 * F.greatest("n", "m"))  # sizes alone rule out the other pairs
+    live = entries.groupBy(*bucket).agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("f")).where("size > 1")
+    members, n_members = cut_counting(entries.join(live.select(*bucket, F.col("f.node").alias("leader"), F.col("f.n").alias("m")), bucket))
+    label = classes.select("digest", "node")
+    if n_members:
+        wanted = cut(members.select(F.col("node").alias("doc_id")).distinct())
+        sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
+        found = _components(members, sets, n_members)
+        label = label.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    else:
+        label = label.select("digest", F.col("node").alias("component_id"))
+    label = cut(label)  # a table, so that the join below can split the digest of a large group of copies
+    out = signed.where("digest is not null").select("doc_id", "n_shingles", "digest").join(label, "digest").drop("digest")
+    out = out.unionByName(signed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _components(members: DataFrame, sets: DataFrame, n_members: int) -> DataFrame:
+    """(node, component) of the linked nodes among ``members`` (band, h, node, n, leader, m)."""
+    bucket = ["band", "h"]
+    nodes = members.select("node").distinct()
 
     def pairs_of(df: DataFrame) -> DataFrame:
+        fits = 4 * F.least("n", "m") >= 3 * F.greatest("n", "m")  # the sizes alone rule out all others
         return df.where("node <> leader").where(fits).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
 
-    leaders = members.where("node = leader").select(*bucket, F.col("n").alias("m"))
-    star, n_star = cut_counting(pairs_of(members.join(leaders, bucket)))
-    links, done = [], [star]
-    nodes = members.select("node").distinct()
-    label = nodes.withColumn("component", F.col("node"))
-    if n_star:
-        links.append(cut(confirmed(star, docs)))
-        label = cut(components(nodes, links[0], keys=()))
+    tried = cut(pairs_of(members))
+    links, n_links = cut_counting(confirmed(tried, sets))
     turn = 0
-    while n_star:
-        turn += 1
-        named = members.select("node", "n", *bucket).join(label, "node")
-        # buckets with members of more than one component go on
-        open_ = named.groupBy(*bucket).agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                           F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", F.col("n").alias("m"), "component")).alias("f"))
-        open_ = open_.where("lo < hi").select(*bucket, F.col("f.node").alias("leader"), F.col("f.m").alias("m"), F.col("f.component").alias("other"))
-        tried = done[0]
-        for t in done[1:]:
-            tried = tried.unionByName(t)
-        new, n_new = cut_counting(pairs_of(named.join(open_, bucket).where("component <> other")).join(tried, ["u", "v"], "left_anti"))
-        if not n_new:
+    while True:
+        label = groups(links) if n_links else nodes.select("node", F.col("node").alias("component"))
+        named = cut(members.select("node", "n", *bucket).join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        parts = named.groupBy(*bucket, "component").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n")).alias("f"))
+        parts = parts.groupBy(*bucket).agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"),
+                                           F.max(F.struct("k", "f", "component")).alias("top")).where("all * all > same")
+        parts, open_ = cut_counting(parts, F.sum((F.col("all") * F.col("all") - F.col("same")) / 2))
+        if open_ <= 2 * n_members:
             break
-        found, n_found = cut_counting(confirmed(new, docs))
-        done.append(new)
-        if not n_found:
+        # a leader from the largest component of each bucket, another one in each turn
+        turn += 1
+        lead = parts.select(*bucket, F.col("top.f.node").alias("leader"), F.col("top.f.n").alias("m"), F.col("top.component").alias("other"))
+        new, n_new = cut_counting(pairs_of(named.join(lead, bucket).where("component <> other")).join(tried, ["u", "v"], "left_anti"))
+        more, n_more = cut_counting(confirmed(new, sets))
+        if not n_more:
             break
-        links.append(found)
-        label = cut(components(nodes, _all(links), keys=()))
-    if n_star:
-        # what is left: pairs of a bucket in different components, each listed once
-        named = cut(members.select("node", "n", *bucket).join(label, "node"))
-        mixed = named.groupBy(*bucket).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*bucket)
-        rest = named.join(mixed, bucket, "left_semi")
-        other = rest.select(*bucket, F.col("node").alias("leader"), F.col("n").alias("m"), F.col("component").alias("other"))
-        new, n_new = cut_counting(pairs_of(rest.join(other, bucket).where("component <> other and node < leader"))
-                                  .join(_all(done), ["u", "v"], "left_anti"))
-        if n_new:
-            found, n_found = cut_counting(confirmed(new, docs))
-            if n_found:
-                label = cut(components(nodes, _all([*links, found]), keys=()))
-    named = classes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = signed.where("digest is not null").select("doc_id", "n_shingles", "digest").join(named, "digest").drop("digest")
-    out = out.unionByName(signed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        tried, links, n_links = cut(tried.unionByName(new)), cut(links.unionByName(more)), n_links + n_more
+    if open_:
+        mixed = named.join(parts.select(*bucket), bucket, "left_semi")
+        other = mixed.select(*bucket, F.col("node").alias("leader"), F.col("n").alias("m"), F.col("component").alias("other"))
+        rest = cut(pairs_of(mixed.join(other, bucket).where("component <> other and node < leader")).join(tried, ["u", "v"], "left_anti"))
+        more, n_more = cut_counting(confirmed(rest, sets))
+        if n_more:
+            label = groups(links.unionByName(more) if n_links else more)
+    return label
 
 
 @query("op4_minmax_dedup")
