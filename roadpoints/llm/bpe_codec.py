@@ -222,10 +222,15 @@ def decode(encoded: DataFrame, shared) -> DataFrame:
     return encoded.mapInArrow(_decoded(shared), f"{fields}, decoded string")
 
 
-@query("op9_bpe_codec")
-def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the text decoded from them, for every document."""
-    shared = codec(spark)
-    ids = encode(table(spark, sf_dir, "documents"), shared)
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): of the ids of every text, and of the text decoded from them."""
+    shared = codec(docs.sparkSession, path)
+    ids = encode(docs, shared)
     ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
     return decode(ids, shared).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_bpe_codec")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the table."""
+    return digests(table(spark, sf_dir, "documents"))
