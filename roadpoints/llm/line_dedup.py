@@ -13,12 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from roadpoints.llm.registry import query, table
-from roadpoints.llm.textnum import PLAIN, Words, slices, texts
+from roadpoints.llm.textnum import PLAIN, Words, line_edges, slices, texts
 from roadpoints.session import cut
 
 #: words from which on a repeated run of lines is removed
 MIN_WORDS = 30
-_NEWLINE, _BLANK, _STOPS = 0x0A, 0x20, np.isin(np.arange(256), [ord(c) for c in ".!?"])
 
 
 class Lines:
@@ -26,10 +25,7 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int):
         self.words = w = Words(data, offsets, i, j, PLAIN)
-        d, n = w.data, len(w.data)
-        cuts = [w.at, np.flatnonzero(d == _NEWLINE) + 1]
-        stop = np.flatnonzero(_STOPS[d[:-1]] & (d[1:] == _BLANK)) + 2 if n > 1 else np.zeros(0, np.int64)
-        edge = np.unique(np.concatenate([*cuts, stop]))
+        edge = line_edges(w.data, w.at)
         owner = np.searchsorted(edge, w.start, "right") - 1
         fresh = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
         self.word = np.append(fresh, len(w.start))

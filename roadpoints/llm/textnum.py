@@ -115,3 +115,12 @@ class Words:
     def text(self, begin: int, end: int) -> str:
         """Words ``begin..end`` with A-Z lower-cased, joined by spaces."""
         return b" ".join(self.data[self.start[k]:self.end[k]].tobytes() for k in range(begin, end)).lower().decode("utf-8", "replace")
+
+
+_STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
+
+
+def line_edges(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where lines begin in the texts that begin at ``at`` (with their end): after line feeds, and after a sentence end and a space."""
+    stop = np.flatnonzero(_STOPS[data[:-1]] & (data[1:] == 0x20)) + 2 if len(data) > 1 else np.zeros(0, np.int64)
+    return np.unique(np.concatenate([at, np.flatnonzero(data == 0x0A) + 1, stop]))
