@@ -10,7 +10,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from roadpoints.llm.registry import query, table
 from roadpoints.llm.textnum import LOWER, Words, slices, texts
@@ -19,8 +19,10 @@ from roadpoints.session import cut, cut_counting
 #: words of a shingle; per cent of the union that the intersection must reach
 SHINGLE, PERCENT = 5, 75
 #: bands and values of a band: a link of similarity s is proposed with probability 1 - (1 - s**ROWS)**BANDS, at the threshold
-#: 0.75 all but 6e-7. Every band has as many minima as maxima, of different permutations.
-BANDS, ROWS = 38, 4
+#: 0.75 all but 2e-5, at 0.8 all but 4e-8. Every band has as many minima as maxima, of different permutations.
+BANDS, ROWS = 56, 6
+#: pairs in different components for each member up to which a bucket's pairs are listed
+SPREAD = 8
 _RNG = np.random.default_rng(20240521)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS // 2, dtype=np.uint64)
@@ -122,10 +124,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named by its smallest doc_id, which is the one kept. A null, empty or blank text has no shingles and no links. Rows with
     equal doc_id and text give one row each, with the same values. An empty table gives an empty result.
 
-    Equal sets are folded to their smallest doc_id before anything else. In a bucket (a band and its hash) members are
-    compared with one leader, not with each other: the smallest first, then others as long as there are more pairs of a bucket in
-    different components than members. Those that are left are listed and compared, so that no proposed link is lost while a group
-    of near copies costs about as many comparisons as it has members.
+    Equal sets are folded to their smallest doc_id before anything else. In a bucket (a band and its hash) members are not all compared
+    with each other: first each with its smallest leader, then, in buckets with many pairs in different components, with one node of
+    the largest component, in turns, as long as a turn halves those pairs. Of buckets with few such pairs they are then listed and
+    compared; members of the others are joined on their rarest shingles. No proposed link is lost, and a group of near
+    copies costs about as many comparisons as it has members.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     signed = cut(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>"))
@@ -139,7 +142,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if n_members:
         wanted = cut(members.select(F.col("node").alias("doc_id")).distinct())
         sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]))
-        found = _components(members, sets, n_members)
+        found = _components(members, sets)
         label = label.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     else:
         label = label.select("digest", F.col("node").alias("component_id"))
@@ -149,43 +152,70 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _components(members: DataFrame, sets: DataFrame, n_members: int) -> DataFrame:
+def _named(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    named = members.select("node", "n", "band", "h")
+    if label is None:
+        return named.withColumn("component", F.col("node"))
+    return cut(named.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, n, cu, v, m, cv): all pairs of ``nodes`` (node, n, component) in different components that can reach the similarity.
+
+    If they do, their ceil(0.25 n) + 1 rarest shingles (in one order for all) have one in common. What copies of a text have in common
+    is frequent among them, so those that differ too much from each other do not meet.
+    """
+    each = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "n", "component", F.explode("shingles").alias("t"))
+    rare = each.groupBy("t").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("node").orderBy("df", "t")
+    front = (each.join(rare, "t").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+             .where("df > 1").select("t", "node", "n", "component"))
+    other = front.select("t", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("component").alias("other"))
+    return front.join(other, "t").where("node < leader and component <> other").drop("t").distinct()
+
+
+def _components(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) of the linked nodes among ``members`` (band, h, node, n, leader, m)."""
     bucket = ["band", "h"]
-    nodes = members.select("node").distinct()
+    fits = 4 * F.least("n", "m") >= 3 * F.greatest("n", "m")  # the sizes alone rule out all other pairs
 
     def pairs_of(df: DataFrame) -> DataFrame:
-        fits = 4 * F.least("n", "m") >= 3 * F.greatest("n", "m")  # the sizes alone rule out all others
-        return df.where("node <> leader").where(fits).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
+        return df.where(fits).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
 
-    tried = cut(pairs_of(members))
+    tried = cut(members.where("node <> leader").where(fits).groupBy(F.col("node").alias("v")).agg(F.min("leader").alias("u")).select("u", "v"))
     links, n_links = cut_counting(confirmed(tried, sets))
-    turn = 0
+    before, turn = None, 0
     while True:
-        label = groups(links) if n_links else nodes.select("node", F.col("node").alias("component"))
-        named = cut(members.select("node", "n", *bucket).join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        parts = named.groupBy(*bucket, "component").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n")).alias("f"))
-        parts = parts.groupBy(*bucket).agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"),
-                                           F.max(F.struct("k", "f", "component")).alias("top")).where("all * all > same")
-        parts, open_ = cut_counting(parts, F.sum((F.col("all") * F.col("all") - F.col("same")) / 2))
-        if open_ <= 2 * n_members:
+        named = _named(members, groups(links) if n_links else None)
+        parts = named.groupBy(*bucket, "component").agg(F.count("*").alias("k"))
+        parts = parts.groupBy(*bucket).agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "component")).alias("top"))
+        parts = parts.where("all * all > same").withColumn("heavy", F.col("all") * F.col("all") - F.col("same") > 2 * SPREAD * F.col("all"))
+        parts, open_ = cut_counting(parts, F.sum(F.when(F.col("heavy"), F.col("all") * F.col("all") - F.col("same"))))
+        if not open_ or (before is not None and 2 * open_ > before):
             break
-        # a leader from the largest component of each bucket, another one in each turn
-        turn += 1
-        lead = parts.select(*bucket, F.col("top.f.node").alias("leader"), F.col("top.f.n").alias("m"), F.col("top.component").alias("other"))
-        new, n_new = cut_counting(pairs_of(named.join(lead, bucket).where("component <> other")).join(tried, ["u", "v"], "left_anti"))
+        # members against one node of the largest component of their bucket, another one in each turn
+        before, turn = open_, turn + 1
+        heads = named.groupBy(F.col("component").alias("other")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n")).alias("f"))
+        heads = heads.select("other", F.col("f.node").alias("leader"), F.col("f.n").alias("m"))
+        tops = parts.where("heavy").select(*bucket, F.col("top.component").alias("other"))
+        apart = named.join(tops, bucket).where("component <> other").select("node", "n", "other").distinct()
+        new = cut(pairs_of(apart.join(heads, "other")).join(tried, ["u", "v"], "left_anti"))
         more, n_more = cut_counting(confirmed(new, sets))
-        if not n_more:
-            break
-        tried, links, n_links = cut(tried.unionByName(new)), cut(links.unionByName(more)), n_links + n_more
-    if open_:
-        mixed = named.join(parts.select(*bucket), bucket, "left_semi")
-        other = mixed.select(*bucket, F.col("node").alias("leader"), F.col("n").alias("m"), F.col("component").alias("other"))
-        rest = cut(pairs_of(mixed.join(other, bucket).where("component <> other and node < leader")).join(tried, ["u", "v"], "left_anti"))
-        more, n_more = cut_counting(confirmed(rest, sets))
+        tried = cut(tried.unionByName(new))
         if n_more:
-            label = groups(links.unionByName(more) if n_links else more)
-    return label
+            links, n_links = cut(links.unionByName(more)), n_links + n_more
+    label = groups(links) if n_links else None
+    # buckets with few open pairs for each member: these pairs; the others: pairs with a rare shingle in common
+    few = named.join(parts.where("not heavy").select(*bucket), bucket)
+    other = few.select(*bucket, F.col("node").alias("leader"), F.col("n").alias("m"), F.col("component").alias("other"))
+    rest = pairs_of(few.join(other, bucket).where("component <> other and node < leader"))
+    if open_:
+        crowd = named.join(parts.where("heavy").select(*bucket), bucket).select("node", "n", "component").distinct()
+        rest = rest.unionByName(pairs_of(_prefix_pairs(crowd, sets))).distinct()
+    more, n_more = cut_counting(confirmed(cut(rest.join(tried, ["u", "v"], "left_anti")), sets))
+    if n_more:
+        label = groups(links.unionByName(more) if n_links else more)
+    return label if label is not None else members.select("node", F.col("node").alias("component")).distinct()
 
 
 @query("op4_minmax_dedup")
