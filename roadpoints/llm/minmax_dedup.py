@@ -7,6 +7,7 @@ evaluations give the same number of values. Bands of the signature propose links
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ SHINGLE, PERCENT = 5, 75
 #: bands and values of a band: a link of similarity s is proposed with probability 1 - (1 - s**ROWS)**BANDS, at the threshold
 #: 0.75 all but 2e-5, at 0.8 all but 4e-8. Every band has as many minima as maxima, of different permutations.
 BANDS, ROWS = 56, 6
-#: pairs in different components for each member up to which a bucket's pairs are listed
-SPREAD = 8
+#: pairs in different components for each member up to which a bucket's pairs are listed; ratio of the sizes of a size band
+SPREAD, BAND = 1, 1.05
 _RNG = np.random.default_rng(20240521)
 _A = _RNG.integers(1, 1 << 63, BANDS * ROWS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * ROWS // 2, dtype=np.uint64)
@@ -125,8 +126,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal doc_id and text give one row each, with the same values. An empty table gives an empty result.
 
     Equal sets are folded to their smallest doc_id before anything else. In a bucket (a band and its hash) members are not all compared
-    with each other: first each with its smallest leader, then, in buckets with many pairs in different components, with one node of
-    the largest component, in turns, as long as a turn halves those pairs. Of buckets with few such pairs they are then listed and
+    with each other: first each with its smallest leader, then, in buckets with many pairs in different components, with the node that
+    shares most buckets with others, in turns, as long as a turn halves those pairs. Of buckets with few such pairs they are then listed and
     compared; members of the others are joined on their rarest shingles. No proposed link is lost, and a group of near
     copies costs about as many comparisons as it has members.
     """
@@ -160,18 +161,23 @@ def _named(members: DataFrame, label: DataFrame | None) -> DataFrame:
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, n, cu, v, m, cv): all pairs of ``nodes`` (node, n, component) in different components that can reach the similarity.
+    """(node, n, leader, m): all pairs of ``nodes`` (node, n, component) in different components that can reach the similarity.
 
-    If they do, their ceil(0.25 n) + 1 rarest shingles (in one order for all) have one in common. What copies of a text have in common
-    is frequent among them, so those that differ too much from each other do not meet.
+    With sizes n and m they must share c = ceil(3/7 (n + m)) shingles, so their n - c + 1 and m - c + 1 rarest ones (in one order for
+    all) have one in common. Sizes are taken in bands, which fixes c for each pair of bands from below. What copies of a text have in
+    common is frequent among them, so copies that differ too much from each other do not meet.
     """
     each = nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "n", "component", F.explode("shingles").alias("t"))
     rare = each.groupBy("t").agg(F.count("*").alias("df"))
     w = Window.partitionBy("node").orderBy("df", "t")
-    front = (each.join(rare, "t").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
-             .where("df > 1").select("t", "node", "n", "component"))
-    other = front.select("t", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("component").alias("other"))
-    return front.join(other, "t").where("node < leader and component <> other").drop("t").distinct()
+    front = each.join(rare, "t").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * 0.75) + 1).where("df > 1")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
+    least = F.ceil(F.pow(F.lit(BAND), F.col("other")) - 1e-9)  # smallest size of the other band
+    reach = math.ceil(math.log(4 / 3) / math.log(BAND)) + 1
+    front = front.withColumn("own", band).withColumn("other", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
+    front = front.where(F.col("r") <= F.col("n") - F.ceil((F.col("n") + least) * 3 / 7 - 1e-9) + 1).select("t", "own", "other", "node", "n", "component")
+    mate = front.select("t", F.col("other").alias("own"), F.col("own").alias("other"), F.col("node").alias("leader"), F.col("n").alias("m"), F.col("component").alias("apart"))
+    return front.join(mate, ["t", "own", "other"]).where("node < leader and component <> apart").select("node", "n", "leader", "m").distinct()
 
 
 def _components(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,22 +190,26 @@ def _components(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     tried = cut(members.where("node <> leader").where(fits).groupBy(F.col("node").alias("v")).agg(F.min("leader").alias("u")).select("u", "v"))
     links, n_links = cut_counting(confirmed(tried, sets))
-    before, turn = None, 0
+    before = used = None
     while True:
         named = _named(members, groups(links) if n_links else None)
         parts = named.groupBy(*bucket, "component").agg(F.count("*").alias("k"))
-        parts = parts.groupBy(*bucket).agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "component")).alias("top"))
+        parts = parts.groupBy(*bucket).agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
         parts = parts.where("all * all > same").withColumn("heavy", F.col("all") * F.col("all") - F.col("same") > 2 * SPREAD * F.col("all"))
         parts, open_ = cut_counting(parts, F.sum(F.when(F.col("heavy"), F.col("all") * F.col("all") - F.col("same"))))
         if not open_ or (before is not None and 2 * open_ > before):
             break
-        # members against one node of the largest component of their bucket, another one in each turn
-        before, turn = open_, turn + 1
-        heads = named.groupBy(F.col("component").alias("other")).agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), "node", "n")).alias("f"))
-        heads = heads.select("other", F.col("f.node").alias("leader"), F.col("f.n").alias("m"))
-        tops = parts.where("heavy").select(*bucket, F.col("top.component").alias("other"))
-        apart = named.join(tops, bucket).where("component <> other").select("node", "n", "other").distinct()
-        new = cut(pairs_of(apart.join(heads, "other")).join(tried, ["u", "v"], "left_anti"))
+        # members against the node of their bucket that shares most buckets of most members; another one in each turn
+        before = open_
+        crowd = cut(named.join(parts.where("heavy").select(*bucket, "all"), bucket))
+        weight = crowd.groupBy("node").agg(F.sum("all").alias("weight"))
+        free = crowd.join(weight, "node") if used is None else crowd.join(weight, "node").join(used, "node", "left_anti")
+        lead = cut(free.groupBy(*bucket).agg(F.max(F.struct("weight", "node", "n", "component")).alias("f"))
+                   .select(*bucket, F.col("f.node").alias("leader"), F.col("f.n").alias("m"), F.col("f.component").alias("other")))
+        heads = lead.select(F.col("leader").alias("node")).distinct()
+        used = cut(heads if used is None else used.unionByName(heads))
+        apart = crowd.join(lead, bucket).where("component <> other").select("node", "n", "leader", "m").distinct()
+        new = cut(pairs_of(apart).join(tried, ["u", "v"], "left_anti"))
         more, n_more = cut_counting(confirmed(new, sets))
         tried = cut(tried.unionByName(new))
         if n_more:
