@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
-# Marks removed from names, the three region suffix patterns, and the codes by region.
 NAME_MARKS = r"[\[\]()_\-.]+"
-REGION_PATTERNS = (r"([가-힣]+도)", r"([가-힣]+시)", r"([가-힣]+군|[가-힣]+구)")
-REGION_CRS = {"강원": "EPSG:5187", "경상북": "EPSG:5187", "경상남": "EPSG:5187", "부산": "EPSG:5187", "대구": "EPSG:5187", "울산": "EPSG:5187"}
-ISLAND_CRS = {"울릉": "EPSG:5188"}
-DEFAULT_CRS = "EPSG:5186"
 REPORT_SUFFIX = "_현황_폴리곤"
-# The seven name forms, first match wins; groups are province, county, district.
+UNKNOWN = "미확인"
+# Province name forms, in the order in which they are looked for in a file name.
+PROVINCES = {
+    "서울": "서울특별시", "부산": "부산광역시", "대구": "대구광역시", "인천": "인천광역시", "광주": "광주광역시", "대전": "대전광역시",
+    "울산": "울산광역시", "세종": "세종특별자치시", "경기": "경기도", "강원": "강원특별자치도", "충북": "충청북도", "충남": "충청남도",
+    "전북": "전북특별자치도", "전남": "전라남도", "경북": "경상북도", "경남": "경상남도", "제주": "제주특별자치도",
+}
+# Suffix patterns of city, county and ward names.
+REGION_PATTERNS = (r"([가-힣]+시)(?!도)", r"([가-힣]+군)", r"([가-힣]+구)")
+# Codes by full province name and by the region words of file names; the rest lies in the west belt.
+DEFAULT_CRS = "EPSG:5186"
+EAST_CRS, ISLAND_CRS = "EPSG:5187", "EPSG:5188"
+EAST_PROVINCES = ("부산광역시", "대구광역시", "울산광역시", "경상남도", "경상북도")
+SPLIT_PROVINCE, ISLAND_COUNTIES = "강원특별자치도", ("울릉군",)
+SPLIT_EAST = ("속초시", "고성군", "양양군", "강릉시", "동해시", "삼척시", "태백시")
+WEST_WORDS = ("서울", "인천", "대전", "광주", "세종", "경기", "충청", "전라", "전북", "제주")
+EAST_WORDS = ("부산", "대구", "울산", "경상", "경북", "경남")
+SPLIT_WORD, SPLIT_EAST_WORDS = "강원", ("속초", "고성", "양양", "강릉", "동해", "삼척", "태백")
+# The seven name forms, first match wins; groups are province (or city), county, district.
 NAME_FORMS = (
-    r"^(\S+)\s+(\S+)\s+(\S+)지구$", r"^(\S+도)_(\S+)_(\S+)$", r"^(\S+)_(\S+)_(\S+)$", r"^(\S+)-(\S+)-(\S+)$",
-    r"^(\S+)\s+(\S+)\s+(\S+)$", r"^(\S+)\s+(\S+)$", r"^(\S+?)(\d+)$",
+    r"^'?(?:\d+년?)_([가-힣]+)_([가-힣]+[시군구])_([가-힣0-9,]+지구)_",
+    r"^'?(?:\d+년도?)\s+([가-힣]+(?:특별자치도|특별시|광역시|도))\s+([가-힣]+[시군구])\s+([가-힣0-9,]+지구)_",
+    r"^'?(?:\d+년?)_([가-힣]+(?:남도|특별자치도|특별시|광역시|도))_([가-힣]+[시군구])_([가-힣0-9,]+지구)_",
+    r"^'?(?:\d+년도?)_([가-힣]+)_([가-힣]+[구])_([가-힣0-9,]+지구)_",
+    r"^'?(?:\d+년?)_([가-힣]+시)_([가-힣]+구)_([가-힣0-9,]+지구)_",
+    r"^'?(?:\d+년?)_([가-힣]+시)_([가-힣0-9,]+지구)_",
+    r"^'?(?:\d+년?)_([가-힣]+시)\s+([가-힣]+동)_([가-힣0-9,]+지구)_",
 )
 
 
@@ -28,39 +48,49 @@ def stem(c: Column) -> Column:
     return F.replace(F.regexp_replace(base, r"\.[A-Za-z0-9]+$", ""), F.lit(REPORT_SUFFIX), F.lit(""))
 
 
-def regions(c: Column) -> Column:
-    """Region words of a cleaned name, in pattern order, each once."""
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(clean_name(c), F.lit(p), 1) for p in REGION_PATTERNS]))
+def unquoted(c: Column) -> Column:
+    """A name without leading quotes and without backticks."""
+    return F.replace(F.regexp_replace(c, "^['`]+", ""), F.lit("`"), F.lit(""))
+
+
+def region_names(c: Column) -> Column:
+    """City, then county, then ward names in a file name, each once."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(unquoted(stem(c)), F.lit(p), 1) for p in REGION_PATTERNS]))
+
+
+def province_of(c: Column) -> Column:
+    """Full name of the first province whose short name stands in a file name, else null."""
+    return F.coalesce(*[F.when(c.contains(k), F.lit(v)) for k, v in PROVINCES.items()])
 
 
 def name_form(c: Column) -> Column:
     """1-based number of the first form that matches, null when none does."""
-    return F.coalesce(*[F.when(c.rlike(p), F.lit(i + 1)) for i, p in enumerate(NAME_FORMS)])
+    return F.coalesce(*[F.when(unquoted(c).rlike(p), F.lit(i + 1)) for i, p in enumerate(NAME_FORMS)])
 
 
 def name_parts(c: Column) -> Column:
-    """(province, county, district) by the first form that matches."""
+    """(province, county, district) by the first form that matches; a form of two groups has an unknown district."""
+    name = unquoted(c)
+
     def parts(p):
-        n = p.count("(\\S")
-        g = [F.regexp_extract(c, p, i) for i in range(1, n + 1)] + [F.lit("")] * (3 - n)
-        return F.when(c.rlike(p), F.struct(*[v.alias(k) for v, k in zip(g, ("province", "county", "district"))]))
+        n = len(re.findall(r"\((?!\?)", p))
+        g = [F.regexp_extract(name, p, i) for i in range(1, n + 1)] + [F.lit(UNKNOWN)] * (3 - n)
+        return F.when(name.rlike(p), F.struct(*[v.alias(k) for v, k in zip(g, ("province", "county", "district"))]))
     return F.coalesce(*[parts(p) for p in NAME_FORMS])
 
 
 def region_crs(province: Column, county: Column) -> Column:
-    """Code by province, with the island exception by county; the west belt otherwise."""
-    out = F.lit(DEFAULT_CRS)
-    for k, v in {**REGION_CRS}.items():
-        out = F.when(province.startswith(k), v).otherwise(out)
-    for k, v in ISLAND_CRS.items():
-        out = F.when(county.startswith(k), v).otherwise(out)
-    return out
+    """Code by full province name, with the island and the split province by county; the west belt otherwise."""
+    return (F.when(county.isin(*ISLAND_COUNTIES), ISLAND_CRS)
+            .when(province == SPLIT_PROVINCE, F.when(county.isin(*SPLIT_EAST), EAST_CRS).otherwise(DEFAULT_CRS))
+            .when(province.isin(*EAST_PROVINCES), EAST_CRS).otherwise(DEFAULT_CRS))
 
 
 def detect_crs(own: Column, name: Column) -> Column:
-    """The file's own code if it is a known belt, else by a region word in its name, else null."""
-    by_name = F.coalesce(*[F.when(name.contains(k), F.lit(v)) for k, v in REGION_CRS.items()])
-    return F.coalesce(F.when(own.isin("EPSG:5186", "EPSG:5187"), own), by_name)
+    """The file's own code if it is a known belt, else by a region word in its name, else by the county of the split province, else null."""
+    has = lambda words: name.rlike("|".join(words))
+    return (F.when(own.isin(DEFAULT_CRS, EAST_CRS), own).when(has(WEST_WORDS), DEFAULT_CRS).when(has(EAST_WORDS), EAST_CRS)
+            .when(name.contains(SPLIT_WORD), F.when(has(SPLIT_EAST_WORDS), EAST_CRS).otherwise(DEFAULT_CRS)))
 
 
 def distance_label(d: Column) -> Column:

@@ -12,21 +12,25 @@ from roadpoints.session import cut
 
 
 def match_catalogue(files: DataFrame, catalog: DataFrame, file_id: str = "file_id") -> DataFrame:
-    """Road file of each district file: province and county; then county alone; then a ward of the county; then a partial name.
+    """Road file of each district file by the region names in its own name: ``files`` has file_id and ``names`` (array).
 
-    The first three are equi-joins. Only files that none of them serves go to the partial test, against the distinct
-    county names of the catalogue.
+    A city or county name comes first (priority 1), then a ward name (2), then a name that holds or is held by a catalogue name (3); within
+    a step the earlier name, then the smaller catalogue row. All steps are equi-joins: where one name holds another, the first two
+    characters of the shorter one are among the pairs of characters of the longer one.
     """
-    cat = catalog.select("sido", "sigungu", "path")
-    exact = files.join(cat, (F.col("province") == F.col("sido")) & (F.col("county") == F.col("sigungu"))).withColumn("priority", F.lit(1))
-    by_county = files.join(cat, F.col("county") == F.col("sigungu")).withColumn("priority", F.lit(2))
-    first = F.split("sigungu", " ")[0]
-    ward = files.join(cat.where("sigungu like '% %'").withColumn("_c", first), F.col("county") == F.col("_c")).drop("_c").withColumn("priority", F.lit(3))
-    served = cut(exact.unionByName(by_county).unionByName(ward).select(file_id, "path", "priority"))
-    left = files.join(served, file_id, "left_anti")
-    part = left.join(cat, F.col("sigungu").contains(F.col("county")) | F.col("county").contains(F.col("sigungu"))).select(file_id, "path", F.lit(4).alias("priority"))
-    best = served.unionByName(part).groupBy(file_id).agg(F.min(F.struct("priority", "path")).alias("b"))
-    return best.select(file_id, "b.path", "b.priority")
+    cat = catalog.select("sido", "sigungu", "path").distinct()
+    named = files.select(file_id, F.posexplode("names").alias("pos", "name")).where("name <> ''")
+    step = F.when(F.col("name").rlike("[시군]$"), 1).when(F.col("name").endswith("구"), 2)
+    exact = cut(named.withColumn("priority", step).where("priority is not null").join(cat, F.col("name") == F.col("sigungu"))
+                .select(file_id, "priority", "pos", "sido", "sigungu", "path"))
+    left = named.join(exact, file_id, "left_anti")
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))
+    head = lambda c: F.substring(c, 1, 2)
+    held = left.withColumn("_g", F.explode(pairs("name"))).join(cat.withColumn("_g", head("sigungu")), "_g").where(F.col("name").contains(F.col("sigungu")))
+    holds = left.withColumn("_g", head("name")).join(cat.withColumn("_g", F.explode(pairs("sigungu"))), "_g").where(F.col("sigungu").contains(F.col("name")))
+    part = held.unionByName(holds).select(file_id, F.lit(3).alias("priority"), "pos", "sido", "sigungu", "path")
+    best = exact.unionByName(part).groupBy(file_id).agg(F.min(F.struct("priority", "pos", "sido", "sigungu", "path")).alias("b"))
+    return best.select(file_id, "b.sido", "b.sigungu", "b.path", "b.priority")
 
 
 def compare_counts(predicted: DataFrame, table: DataFrame, by: str = "layer_id") -> DataFrame:
@@ -35,11 +39,8 @@ def compare_counts(predicted: DataFrame, table: DataFrame, by: str = "layer_id")
     return j.withColumn("status", F.when(F.col("expected").isNull(), "no table").otherwise("ok"))
 
 
-def candidate_sites(skel: DataFrame, step: float = 10.0, keys: Sequence[str] = KEYS, line_id: str = "road_id", most: int | None = None) -> DataFrame:
-    """Sites along lines: the midpoint of a step shorter than ``step``, else every ``step`` metres; each place once.
-
-    ``most`` keeps an even subsample per layer, which is what the caller asks for, not a guard.
-    """
+def candidate_sites(skel: DataFrame, step: float = 10.0, keys: Sequence[str] = KEYS, line_id: str = "road_id") -> DataFrame:
+    """Sites along lines: the midpoint of a step shorter than ``step``, else every ``step`` metres; each place once."""
     w = Window.partitionBy(*keys, line_id).orderBy("ord")
     s = skel.withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).where("nx is not null")
     s = s.withColumn("d", dist("x", "y", "nx", "ny"))
@@ -47,13 +48,7 @@ def candidate_sites(skel: DataFrame, step: float = 10.0, keys: Sequence[str] = K
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.col("d") / step).cast("int") - 1)), lambda i: i * step / F.col("d")))
     s = s.withColumn("t", F.explode(t))
     sites = s.select(*keys, (F.col("x") + F.col("t") * (F.col("nx") - F.col("x"))).alias("x"), (F.col("y") + F.col("t") * (F.col("ny") - F.col("y"))).alias("y"), "ord")
-    sites = sites.groupBy(*keys, "x", "y").agg(F.min("ord").alias("ord"))
-    if most is None:
-        return sites
-    from roadpoints.operators.sequence import ranked
-    r = ranked(sites, "ord", keys, descending=False, tie="x")
-    n = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return r.join(n, list(keys)).where(F.expr(f"_n <= {most} or floor((rank - 1) * {most} / _n) <> floor((rank - 2) * {most} / _n)")).drop("_n", "rank")
+    return sites.groupBy(*keys, "x", "y").agg(F.min("ord").alias("ord"))
 
 
 def custom_filter(points: DataFrame, fn: Callable[..., DataFrame], **kwargs) -> DataFrame:

@@ -55,12 +55,12 @@ def frame_curves(skel: DataFrame, threshold: float = 25.0, window: int = 5, gap:
     return representatives(islands(cut(sharp), gap, min_size, keys, "pos"))
 
 
-def sharp_turns(skel: DataFrame, threshold: float = 60.0, first: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The first few vertices of a layer that turn by more than ``threshold`` degrees."""
+def sharp_turns(skel: DataFrame, threshold: float = 60.0, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Vertices that turn by more than ``threshold`` degrees, with their rank in the layer's order."""
     s = neighbours(with_position(skel, keys), keys=keys)
     ok = (dist("p1_x", "p1_y", "x", "y") > 1e-6) & (dist("x", "y", "n1_x", "n1_y") > 1e-6)
-    hit = s.where(ok).where(turn_angle("p1_x", "p1_y", "x", "y", "n1_x", "n1_y") > math.radians(threshold))
-    return top_n(hit, first, [F.col("pos")], keys).drop("p1_x", "p1_y", "n1_x", "n1_y")
+    hit = s.where(ok).where(turn_angle("p1_x", "p1_y", "x", "y", "n1_x", "n1_y") > math.radians(threshold)).drop("p1_x", "p1_y", "n1_x", "n1_y")
+    return with_position(hit, keys, order="pos", name="rank").withColumn("rank", F.col("rank") + 1)
 
 
 def stencil_turns(line: DataFrame, threshold: float = 0.4, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -74,37 +74,48 @@ def stencil_turns(line: DataFrame, threshold: float = 0.4, keys: Sequence[str] =
     return s.where((F.col("max_turn") > threshold) & (F.col("mean_turn") > threshold * 0.5)).select(*cols)
 
 
-def smoothed_curvature(line: DataFrame, sigma: float = 2.0, order: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Differential curvature of Gauss-smoothed coordinates; higher orders are absolute differences of it.
+def smoothed_curvature(line: DataFrame, sigma: float = 2.0, order: int = 1, keys: Sequence[str] = KEYS, total: str = "n", keep: bool = False) -> DataFrame:
+    """Curvature of Gauss-smoothed coordinates by their differences: order 1 is the change of direction, 2 the curvature formula, 3 that
+    plus a tenth of the third differences.
 
-    Needs ``pos``. Weights reach four sigma and are normalised by those present at the ends.
+    Needs dense ``pos`` and the layer's row count ``total``. Weights reach four sigma; at the ends the line is reflected, its end included.
+    ``keep`` keeps the first differences dx and dy.
     """
     reach = int(4 * sigma + 0.5)
-    weight = {i: math.exp(-0.5 * (i / sigma) ** 2) for i in range(-reach, reach + 1)}
-
-    def smooth(w):
-        at = lambda c, i: F.lag(c, -i).over(w) if i < 0 else F.lead(c, i).over(w) if i > 0 else F.col(c)
-        out = {}
-        for c in ("x", "y"):
-            num = [F.coalesce(at(c, i) * g, F.lit(0.0)) for i, g in weight.items()]
-            den = [F.when(at(c, i).isNotNull(), g).otherwise(0.0) for i, g in weight.items()]
-            out["s" + c] = sum(num[1:], num[0]) / sum(den[1:], den[0])
-        return out
+    weight = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-reach, reach + 1)]
+    weight = [w / sum(weight) for w in weight]
+    n, pos, gone = F.col(total), F.col("pos"), () if keep else ("dx", "dy")
+    around_ = framed(line, lambda w: {"_f": F.collect_list(F.struct("pos", "x", "y")).over(w.rowsBetween(-reach, reach))}, reach, reach, keys)
+    lo = F.greatest(F.lit(0), pos - reach)
+
+    def smooth(c: str) -> Column:
+        total_ = F.lit(0.0)
+        for i, w in zip(range(-reach, reach + 1), weight):
+            m = F.pmod(pos + i, 2 * n)
+            at = F.when(m < n, m).otherwise(2 * n - 1 - m)
+            total_ = total_ + F.get("_f", (at - lo).cast("int"))[c] * w
+        return total_
 
     def gradient(src: str, dst: str):
         def build(w):
-            p, n, v = F.lag(src).over(w), F.lead(src).over(w), F.col(src)
-            return {dst: F.when(p.isNull(), n - v).when(n.isNull(), v - p).otherwise((n - p) / 2)}
+            p, q, v = F.lag(src).over(w), F.lead(src).over(w), F.col(src)
+            return {dst: F.when(p.isNull() & q.isNull(), 0.0).when(p.isNull(), q - v).when(q.isNull(), v - p).otherwise((q - p) / 2)}
         return lambda df: framed(df, build, 1, 1, keys)
 
-    s = framed(line, lambda w: {k: v for k, v in smooth(w).items()}, reach, reach, keys)
-    for src, dst in (("sx", "dx"), ("sy", "dy"), ("dx", "ddx"), ("dy", "ddy")):
+    s = around_.select(*line.columns, smooth("x").alias("sx"), smooth("y").alias("sy"))
+    for src, dst in (("sx", "dx"), ("sy", "dy")):
+        s = gradient(src, dst)(s)
+    if order == 1:
+        s = gradient("_a", "curvature")(s.withColumn("_a", F.atan2("dy", "dx"))).withColumn("curvature", F.abs("curvature"))
+        return s.drop("sx", "sy", "_a", *gone)
+    for src, dst in (("dx", "ddx"), ("dy", "ddy")):
         s = gradient(src, dst)(s)
     den = F.pow(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"), F.lit(1.5))
-    s = s.withColumn("curvature", F.coalesce(F.abs(F.col("dx") * F.col("ddy") - F.col("dy") * F.col("ddx")) / F.nullif(den, F.lit(0.0)), F.lit(0.0)))
-    for _ in range(order - 1):
-        s = gradient("curvature", "_g")(s).withColumn("curvature", F.abs("_g")).drop("_g")
-    return s.drop("sx", "sy", "dx", "dy", "ddx", "ddy")
+    s = s.withColumn("curvature", F.abs(F.col("dx") * F.col("ddy") - F.col("dy") * F.col("ddx")) / F.when(den == 0, 1e-10).otherwise(den))
+    if order > 2:
+        s = gradient("ddy", "d3y")(gradient("ddx", "d3x")(s))
+        s = s.withColumn("curvature", F.col("curvature") + 0.1 * F.abs(F.col("d3x") + F.col("d3y"))).drop("d3x", "d3y")
+    return s.drop("sx", "sy", "ddx", "ddy", *gone)
 
 
 def arc_positions(line: DataFrame, keys: Sequence[str] = KEYS, line_id: str = "road_id") -> DataFrame:
@@ -178,7 +189,12 @@ def edge_curves(skel: DataFrame, sample: float = 15.0, threshold: float = 0.2, h
     from roadpoints.operators.fixpoint import cluster
     edges = band_edges(skel, half, keys, line_id).withColumn("edge", F.struct(F.col(line_id), F.col("side")))
     bent = arc_curvature(edges.select(*keys, "edge", "pos", "x", "y"), sample, keys=keys, line_id="edge").where(F.col("curvature") > threshold)
-    bent = cut(bent.withColumn("ord", F.col(f"edge.{line_id}") * 1000000 + F.col("edge.side") * 500000 + F.col("i")))
+    # numbered by road, side and place: each side's numbers begin after those of the sides before it
+    from pyspark.sql import Window
+    sides = bent.groupBy(*keys, "edge").agg((F.max("i") + 1).alias("_k"))
+    before = Window.partitionBy(*keys).orderBy("edge").rowsBetween(Window.unboundedPreceding, -1)
+    sides = sides.withColumn("_s", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    bent = cut(bent.join(sides, [*keys, "edge"]).withColumn("ord", F.col("_s") + F.col("i")).drop("_s"))
     k = [*keys, line_id] if per_road else list(keys)
     if per_road:
         bent = bent.withColumn(line_id, F.col(f"edge.{line_id}"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from roadpoints.functions.geom import bearing
+from roadpoints.functions.geom import bearing, dist
 from roadpoints.operators import curves as K, stats as S
 from roadpoints.operators.celljoin import KEYS, around, k_nearest, near_join, nearest
 from roadpoints.session import cut
@@ -38,13 +38,20 @@ def state_vectors(skel: DataFrame, marks: DataFrame, keys: Sequence[str] = KEYS)
 
 
 def basic_vector(points: DataFrame, skel: DataFrame, marks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``points`` plus ``basic``: place, road count in 50 m, five nearest marks, three densities, four place terms, confidence."""
+    """``points`` plus ``basic``: place, road count in 50 m and mean road length (steps between the vertices there, in their order, per
+    road), five nearest marks, three densities, four place terms, confidence."""
     n = around(points, skel, 50.0, {"_k": F.sum("r_w")}, keys, default={"_k": 0})
-    n = n.withColumn("road_count", F.when(F.col("_k") == 0, 0).otherwise(F.greatest(F.lit(1), F.expr("_k div 3")))).drop("_k")
+    n = n.withColumn("road_count", F.when(F.col("_k") == 0, 0).otherwise(F.greatest(F.lit(1), F.expr("_k div 3"))))
+    # a step leads from a vertex of the disc to the next one of the disc
+    seen = near_join(points.select(*keys, "ord", "x", "y"), skel.select(*keys, "ord", "x", "y"), 50.0, keys)
+    w = Window.partitionBy(*keys, "ord").orderBy("r_ord")
+    step = seen.select(*keys, "ord", dist("r_x", "r_y", F.lead("r_x").over(w), F.lead("r_y").over(w)).alias("_d"))
+    length = step.groupBy(*keys, "ord").agg(F.sum("_d").alias("_l"))
+    n = n.join(length, [*keys, "ord"], "left").withColumn("road_length", F.when(F.col("road_count") > 0, F.coalesce("_l", F.lit(0.0)) / F.col("road_count")).otherwise(0.0)).drop("_k", "_l")
     n = S.local_density(k_nearest(n, marks, 5, keys).withColumnRenamed("near_d", "marks_d"), skel, keys=keys)
     n = category_confidence(n, marks, keys)
     x, y = F.col("x"), F.col("y")
-    vals = [x, y, F.col("road_count").cast("double"), *[F.col("marks_d")[i] for i in range(5)], *[F.col(f"density{r}") for r in (25, 50, 100)],
+    vals = [x, y, F.col("road_count").cast("double"), F.col("road_length"), *[F.col("marks_d")[i] for i in range(5)], *[F.col(f"density{r}") for r in (25, 50, 100)],
             F.pmod(x, F.lit(100.0)), F.pmod(y, F.lit(100.0)), F.pmod(x + y, F.lit(50.0)), F.pmod(F.abs(x - y), F.lit(30.0)), F.col("category_confidence")]
     return n.withColumn("basic", F.array(*vals, *[F.lit(0.0)] * (20 - len(vals))))
 
@@ -105,20 +112,14 @@ def junction_features(sites: DataFrame, skel: DataFrame, keys: Sequence[str] = K
 
 
 def score_linear(states: DataFrame, weights: list[list[float]], bias: list[float], col: str = "state") -> DataFrame:
-    """Batch scoring by one linear layer in Arrow batches: adds q. The weights are a fixed small matrix, whose size is checked."""
-    import numpy as np
-    import pandas as pd
-    w, b = np.asarray(weights), np.asarray(bias)
-    if w.nbytes > WEIGHTS_LIMIT:
+    """Scoring by one linear layer: adds q. The weights are a fixed small matrix, whose size is checked, and stand in the plan."""
+    if 8 * len(weights) * len(bias) > WEIGHTS_LIMIT:
         raise ValueError("weights too large to ship with each task")
 
-    def run(batches):
-        for pdf in batches:
-            q = np.stack(pdf[col].to_numpy()) @ w + b if len(pdf) else np.empty((0, len(b)))
-            yield pdf.assign(q=list(q))
-
-    from pyspark.sql import types as T
-    return states.mapInPandas(run, T.StructType(states.schema.fields + [T.StructField("q", T.ArrayType(T.DoubleType()))]))
+    def one(k):
+        w = F.array(*[F.lit(float(row[k])) for row in weights])
+        return F.aggregate(F.zip_with(F.col(col), w, lambda a, b: a * b), F.lit(float(bias[k])), lambda s, v: s + v)
+    return states.withColumn("q", F.array(*[one(k) for k in range(len(bias))]))
 
 
 def decide(scored: DataFrame, threshold: float = 0.7, by: str = "gap") -> DataFrame:
@@ -130,27 +131,35 @@ def decide(scored: DataFrame, threshold: float = 0.7, by: str = "gap") -> DataFr
             .withColumn("confidence", conf).withColumn("sure", F.col("confidence") >= threshold))
 
 
+# Rewards of right predictions by class (0 normal, 1 intersection, 2 curve, 3 endpoint, 4 delete) and of the kinds of errors.
+RIGHT = {0: 1.0, 1: 10.0, 2: 8.0, 3: 8.0, 4: 5.0}
+MISSED, WRONG_DELETE, WRONG = -10.0, -15.0, -5.0
+
+
 def reward(predicted: str = "action", truth: str = "truth") -> Column:
-    """1 for the right action; a missed or false deletion costs 1, any other error 0.5."""
+    """Reward of a prediction: of the class if right, else that of a missed intersection or endpoint, of a wrong deletion, of another error."""
     p, t = F.col(predicted), F.col(truth)
-    return F.when(p == t, 1.0).when((p == 2) | (t == 2), -1.0).otherwise(-0.5)
+    right = F.coalesce(*[F.when(t == k, v) for k, v in RIGHT.items()], F.lit(RIGHT[0]))
+    return F.when(p == t, right).when(t.isin(1, 3), MISSED).when(p == 4, WRONG_DELETE).otherwise(WRONG)
+
+
+def split_rows(rows: DataFrame, keys: Sequence[str] = (*KEYS, "ord"), share: float = 0.8) -> DataFrame:
+    """All rows with ``part``, train or test, by a hash of their keys."""
+    h = F.pmod(F.xxhash64(*keys), F.lit(1_000_000))
+    return rows.withColumn("part", F.when(h < int(share * 1_000_000), "train").otherwise("test"))
 
 
-def capped_split(rows: DataFrame, cap: int = 10000, share: float = 0.8, tie: str = "ord") -> DataFrame:
-    """At most ``cap`` rows by hash order, the first ``share`` of them marked train. Sampling is the feature here."""
-    h = F.xxhash64(tie)
-    few = rows.withColumn("_h", h).orderBy("_h", tie).limit(cap)
-    cutoff = few.agg(F.percentile_approx("_h", share, 100000).alias("_c"))
-    return few.crossJoin(cutoff).withColumn("part", F.when(F.col("_h") <= F.col("_c"), "train").otherwise("test")).drop("_h", "_c")
+def fit_rows(rows: DataFrame, max_fit_rows: int = 10_000, keys: Sequence[str] = (*KEYS, "ord")) -> DataFrame:
+    """The labelled rows a model is fitted on: at most ``max_fit_rows`` train rows, those of the smallest hashes. Scoring covers all rows."""
+    h = F.xxhash64(F.lit("fit"), *keys)
+    return rows.where("part = 'train'").withColumn("_h", h).orderBy("_h", *keys).limit(max_fit_rows).drop("_h")
 
 
 def fit_forest(rows: DataFrame, features: Sequence[str], label: str = "label", trees: int = 50, depth: int = 10, seed: int = 42):
-    """Keep/remove classifier; None when there are too few rows to learn from."""
+    """Keep/remove classifier."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
-    if len(rows.limit(11).collect()) <= 10:
-        return None
     steps = [VectorAssembler(inputCols=list(features), outputCol="features"),
              RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)]
     return _stored(Pipeline(stages=steps).fit(rows), rows.sparkSession)

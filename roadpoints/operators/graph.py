@@ -46,9 +46,19 @@ def line_crossings(lines: DataFrame, keys: Sequence[str] = KEYS, line_id: str =
     return hit.select(*keys, F.col("line").alias("line1"), "line2", "x", "y").distinct().where("x is not null")
 
 
+LINE_IDS = 1 << 31
+
+
+def node_id(line1: str = "line1", line2: str = "line2") -> Column:
+    """One number for a pair of line ids, different for different pairs; ids must be 0 or more and below 2**31."""
+    a, b = F.col(line1).cast("long"), F.col(line2).cast("long")
+    fits = (a >= 0) & (b >= 0) & (a < LINE_IDS) & (b < LINE_IDS)
+    return F.when(fits, a * LINE_IDS + b).otherwise(F.raise_error(F.lit("line ids must be below 2**31: number the lines first")).cast("long"))
+
+
 def network_edges(lines: DataFrame, cross: DataFrame, keys: Sequence[str] = KEYS, line_id: str = "road_id") -> DataFrame:
-    """Edges between crossings that follow each other along a line; a crossing is named line1 * 1000 + line2."""
-    node = cross.withColumn("ord", F.col("line1") * 1000 + F.col("line2"))
+    """Edges between crossings that follow each other along a line; a crossing is named by node_id."""
+    node = cross.withColumn("ord", node_id())
     on = node.select(*keys, F.col("line1").alias(line_id), "ord", "x", "y").unionByName(node.select(*keys, F.col("line2").alias(line_id), "ord", "x", "y"))
     at = on.join(lines.select(*keys, line_id, "x1", "y1"), [*keys, line_id]).withColumn("m", dist("x", "y", "x1", "y1"))
     nx = chain_next(at, [*keys, line_id], "m", ["ord", "m"]).where("n_ord is not null")
@@ -62,7 +72,7 @@ def segments(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) ->
     """
     k = list(keys)
     deg = degrees(nodes, edges, keys).select(*k, "ord", "degree")
-    e = cut(edges.withColumn("eid", F.monotonically_increasing_id()))
+    e = cut(edges.withColumn("eid", F.struct("u", "v")))  # a segment is named by its smallest edge, whatever the partitioning
     ends = e.select(*k, "eid", F.col("u").alias("ord")).unionByName(e.select(*k, "eid", F.col("v").alias("ord")))
     mid = ends.join(deg.where("degree = 2"), [*k, "ord"]).groupBy(*k, "ord").agg(F.min("eid").alias("u"), F.max("eid").alias("v"))
     comp = components(e.select(*k, F.col("eid").alias("node")), mid.select(*k, "u", "v"), keys)

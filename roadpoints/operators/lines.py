@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from roadpoints.functions.geom import dist, turn_angle, vector_angle
+from roadpoints.functions.geom import crossing, dist, seg_dist, turn_angle, vector_angle
 from roadpoints.operators import stats as S
-from roadpoints.operators.celljoin import KEYS
+from roadpoints.operators.celljoin import KEYS, near_join, segment_cells
 from roadpoints.operators.graph import line_crossings
 from roadpoints.operators.links import lines_near
 from roadpoints.session import cut
@@ -46,21 +47,34 @@ def connectivity_score(sites: DataFrame, segs: DataFrame, radius: float = 50.0,
     return pair.groupBy(*k, "ord").agg((F.sum(F.coalesce("met", F.lit(0))) * 10 + F.sum(vector_angle("vx", "vy", "wx", "wy")) * 5).alias("score"))
 
 
+def touching_lines(segs: DataFrame, reach: float = 5.0, ends: float = 3.0, keys: Sequence[str] = KEYS, line_id: str = "road_id") -> DataFrame:
+    """Pairs line1 < line2 with their gap: kind near where segments come within ``reach``, kind ends where end points come within ``ends``."""
+    s = segs.select(*keys, F.col(line_id).alias("line1"), "x1", "y1", "x2", "y2")
+    t = segs.select(*keys, F.col(line_id).alias("line2"), F.col("x1").alias("u1"), F.col("y1").alias("v1"), F.col("x2").alias("u2"), F.col("y2").alias("v2"))
+    met = segment_cells(s, 200.0, reach).join(segment_cells(t, 200.0, 0.0, ("u1", "v1", "u2", "v2")), [*keys, "cx", "cy"]).where("line1 < line2")
+    x, _ = crossing("x1", "y1", "x2", "y2", "u1", "v1", "u2", "v2")
+    apart = F.least(seg_dist("x1", "y1", "u1", "v1", "u2", "v2"), seg_dist("x2", "y2", "u1", "v1", "u2", "v2"),
+                    seg_dist("u1", "v1", "x1", "y1", "x2", "y2"), seg_dist("u2", "v2", "x1", "y1", "x2", "y2"))
+    near = met.withColumn("gap", F.when(x.isNotNull(), 0.0).otherwise(apart)).where(F.col("gap") <= reach).groupBy(*keys, "line1", "line2").agg(F.min("gap").alias("gap"))
+    tip = s.select(*keys, F.col("line1").alias("line"), F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).select(*keys, "line", "p.*")
+    tips = near_join(tip, tip, ends, keys).where("line < r_line").groupBy(*keys, F.col("line").alias("line1"), F.col("r_line").alias("line2")).agg(F.min("d").alias("gap"))
+    return near.select("*", F.lit("near").alias("kind")).unionByName(tips.withColumn("kind", F.lit("ends")))
+
+
 def combined_importance(basic: float, curvature, connectivity, flow):
     """0.3 basic + 0.2 curvature + 0.3 connectivity + 0.2 flow, as a column."""
     return basic * 0.3 + curvature * 0.2 + connectivity * 0.3 + flow * 0.2
 
 
-def place_sites(candidates: DataFrame, bounds: DataFrame, radius: float = 50.0, target: float = 0.95, rounds: int = 50, grid: float = 10.0,
+def place_sites(candidates: DataFrame, bounds: DataFrame, radius: float = 50.0, target: float = 0.95, grid: float = 10.0,
                 keys: Sequence[str] = KEYS) -> DataFrame:
-    """Greedy placement per layer: each round adds the candidate that covers most new area, until the target ratio,
-    no gain, or the asked number of sites. Covered cells leave the table, so later rounds are cheaper."""
+    """Greedy placement per layer: each round adds the candidate that covers most new area, until the target ratio
+    or until no candidate gains. Covered cells leave the table, so later rounds are cheaper."""
     k = list(keys)
     free = cut(S.coverage_cells(bounds, grid, keys))
     total = free.groupBy(*k).agg(F.count(F.lit(1)).alias("_all"))
     parts = []
-    from roadpoints.operators.celljoin import near_join
-    for i in range(rounds):
+    for i in itertools.count():
         hits = near_join(free, candidates.select(*k, "x", "y", "ord"), radius, keys)
         gain = hits.groupBy(*k, "r_ord", "r_x", "r_y").agg(F.count(F.lit(1)).alias("n"))
         best = cut(gain.groupBy(*k).agg(F.max(F.struct("n", (-F.col("r_ord")).alias("o"), "r_x", "r_y")).alias("b")).select(

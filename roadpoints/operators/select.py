@@ -54,7 +54,7 @@ def seed_centres(points: DataFrame, radius: float = 30.0, keys: Sequence[str] =
 
 
 def collinear_curve(points: DataFrame, roads: DataFrame | None, near: float = 5.0, shortest: float = 10.0, first: float = 20.0,
-                    extent: float = 1e6, keys: Sequence[str] = KEYS) -> DataFrame:
+                    keys: Sequence[str] = KEYS) -> DataFrame:
     """Per layer at most one curve point: closer than ``near`` to the line of a pair of other points at least
     ``shortest`` apart (and touching a road, if roads are given); the shortest such pair decides.
 
@@ -66,7 +66,7 @@ def collinear_curve(points: DataFrame, roads: DataFrame | None, near: float = 5.
                                              (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) * 1.5).alias("_reach"))
                       .where("_n >= 3 and _c > 0")), []
     left = todo.count()
-    while left and lo < extent:
+    while left:
         live = points.join(todo.select(*k), k, "left_semi")
         links = pairs_within(live, lo, hi, keys=keys)
         if roads is not None:

@@ -33,11 +33,13 @@ def m02(spark, sf):
     return M.mark_features(T.skeleton(spark, sf), T.points(spark, sf)).select("layer_id", "ord", "mark_class", "confidence", "n_curve")
 
 
-@query("m03_basic_vector", sql("points skeleton", f"""{COUNTS} SELECT p.layer_id, p.ord, CASE WHEN n50 = 0 THEN 0.0 ELSE greatest(1, n50 // 3) END::DOUBLE AS f3, round(n25 / (pi() * 625) * 10000, 6) AS f9,
-    round(p.x % 100, 6) AS f12, round((p.x + p.y) % 50, 6) AS f14, round(abs(p.x - p.y) % 30, 6) AS f15 FROM points p JOIN cnt USING (layer_id, ord)"""))
+@query("m03_basic_vector", sql("points skeleton", f"""{COUNTS}, v AS (SELECT p.layer_id, p.ord, s.x, s.y, lead(s.x) OVER w AS nx, lead(s.y) OVER w AS ny FROM points p JOIN skeleton s ON s.layer_id = p.layer_id AND {NEAR('p', 's', 50, '<=')}
+      WINDOW w AS (PARTITION BY p.layer_id, p.ord ORDER BY s.ord)), l AS (SELECT layer_id, ord, sum(coalesce(sqrt((x - nx) ** 2 + (y - ny) ** 2), 0)) AS len FROM v GROUP BY ALL)
+    SELECT p.layer_id, p.ord, CASE WHEN n50 = 0 THEN 0.0 ELSE greatest(1, n50 // 3) END::DOUBLE AS f3, round(CASE WHEN n50 = 0 THEN 0.0 ELSE coalesce(len, 0) / greatest(1, n50 // 3) END, 6) AS f4, round(n25 / (pi() * 625) * 10000, 6) AS f10,
+    round(p.x % 100, 6) AS f13, round((p.x + p.y) % 50, 6) AS f15, round(abs(p.x - p.y) % 30, 6) AS f16 FROM points p JOIN cnt USING (layer_id, ord) LEFT JOIN l USING (layer_id, ord)"""))
 def m03(spark, sf):
     p, v = T.points(spark, sf), F.col("basic")
-    return M.basic_vector(p, T.skeleton(spark, sf), p).select("layer_id", "ord", *[R6(v[i - 1]).alias(f"f{i}") for i in (3, 9, 12, 14, 15)])
+    return M.basic_vector(p, T.skeleton(spark, sf), p).select("layer_id", "ord", *[R6(v[i - 1]).alias(f"f{i}") for i in (3, 4, 10, 13, 15, 16)])
 
 
 @query("m04_category_confidence", sql("labels_before labels_after", """SELECT a.layer_id, a.ord, CASE WHEN min(d) < 20 THEN 0.9 WHEN min(d) < 50 THEN 0.7 ELSE 0.3 END AS confidence FROM (
@@ -103,35 +105,41 @@ def m12_linear(spark, sf):
     return s.select("vec_id", R6(F.col("q")[0]).alias("q0"), R6(F.col("q")[1]).alias("q1"))
 
 
-@query("m13_rewards", sql("predictions", "SELECT action, truth, count(*) AS n, round(sum(CASE WHEN action = truth THEN 1.0 WHEN action = 2 OR truth = 2 THEN -1.0 ELSE -0.5 END), 6) AS reward FROM predictions GROUP BY ALL"))
+@query("m13_rewards", """WITH e AS (SELECT label % 5 AS truth, [list_reduce(list_prepend(0.0::DOUBLE, list_filter(embedding, lambda v, i: (i - 1) % 5 = k)::DOUBLE[]), lambda a, b: a + b) for k in [0, 1, 2, 3, 4]] AS q FROM embeddings),
+    p AS (SELECT truth, (list_position(q, list_max(q)) - 1)::INT AS action FROM e)
+    SELECT action, truth, count(*) AS n, round(sum(CASE WHEN action = truth THEN [1.0, 10.0, 8.0, 8.0, 5.0][truth + 1] WHEN truth IN (1, 3) THEN -10.0 WHEN action = 4 THEN -15.0 ELSE -5.0 END)::DOUBLE, 6) AS reward FROM p GROUP BY ALL""")
 def m13(spark, sf):
-    return T.predictions(spark, sf).withColumn("r", M.reward()).groupBy("action", "truth").agg(F.count(F.lit(1)).alias("n"), R6(F.sum("r")).alias("reward"))
+    return T.predictions(spark, sf, 5).withColumn("r", M.reward()).groupBy("action", "truth").agg(F.count(F.lit(1)).alias("n"), R6(F.sum("r")).alias("reward"))
 
 
-@query("m10_junction_classifier")
+@query("m10_junction_classifier", sql("points", "SELECT CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END AS label, count(*) AS n, count(*) AS decided FROM points WHERE category = 'intersection' GROUP BY ALL"))
 def m10(spark, sf):
-    j = M.junction_features(T.points(spark, sf).where("category = 'intersection'"), T.skeleton(spark, sf))
+    """Every junction is scored; the SQL checks that, by label, and leaves the learned decisions to the tests."""
     from roadpoints.session import cut
-    rows = cut(j.withColumn("label", F.when(F.col("kind") == "purchase", 1).otherwise(0)))
-    cols = ["skeleton_20", "nearest_site", "sites_100", "bearing_spread"]
-    return M.fit_forest(rows, cols).transform(rows).select("layer_id", "ord", "label", "prediction")
+    j = M.junction_features(T.points(spark, sf).where("category = 'intersection'"), T.skeleton(spark, sf))
+    rows = cut(M.split_rows(j.withColumn("label", F.when(F.col("kind") == "purchase", 1).otherwise(0))))
+    out = M.fit_forest(M.fit_rows(rows), ["skeleton_20", "nearest_site", "sites_100", "bearing_spread"]).transform(rows)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction").isin(0.0, 1.0)).alias("decided"))
 
 
-@query("m14_capped_split")
+@query("m14_split_rows", sql("points", "SELECT count(*) AS n, true AS near_share FROM points"))
 def m14(spark, sf):
-    return M.capped_split(T.points(spark, sf), 10000).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    s = M.split_rows(T.points(spark, sf))
+    return s.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("part") == "train", 1.0).otherwise(0.0)).between(0.77, 0.83).alias("near_share"))
 
 
-@query("m11_action_classifier")
+@query("m11_action_classifier", sql("points skeleton", f"""l AS (SELECT s.layer_id, s.ord, CASE WHEN EXISTS (SELECT 1 FROM points p WHERE p.layer_id = s.layer_id AND p.kind = 'error' AND {NEAR('s', 'p', 5)}) THEN 2
+    WHEN EXISTS (SELECT 1 FROM points p WHERE p.layer_id = s.layer_id AND p.category = 'curve' AND {NEAR('s', 'p', 5)}) THEN 1 ELSE 0 END AS label FROM skeleton s) SELECT label, count(*) AS n, count(*) AS decided FROM l GROUP BY ALL"""))
 def m11(spark, sf):
-    p = T.points(spark, sf)
+    """Every row is scored by a model fitted on a bounded number of train rows; the SQL checks all-row counts and label totals."""
+    from pyspark.ml.functions import array_to_vector
     from roadpoints.session import cut
+    p = T.points(spark, sf)
     s = M.three_class_labels(M.state_vectors(T.skeleton(spark, sf), p), p.where("category = 'curve'"), p.where("kind = 'error'"))
-    rows = cut(M.capped_split(s.select("layer_id", "ord", "state", "label"), 10000))
-    from pyspark.ml.functions import array_to_vector
-    model = M.fit_classifier(rows.where("part = 'train'"), layers=(32, 16), iterations=20)
-    out = model.transform(rows.where("part = 'test'").withColumn("raw", array_to_vector("state")))
-    return out.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    rows = cut(M.split_rows(s.select("layer_id", "ord", "state", "label")))
+    model = M.fit_classifier(M.fit_rows(rows), layers=(32, 16), iterations=20)
+    out = model.transform(rows.withColumn("raw", array_to_vector("state")))
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction").isin(0.0, 1.0, 2.0)).alias("decided"))
 
 
 @query("m16_candidate_features", sql("reference_points points", f"""SELECT r.layer_id, r.ord, round(min(d), 6) AS nearest, count_if(d BETWEEN 40 AND 60)::BIGINT AS ring, count_if(d <= 50)::BIGINT AS n50, count_if(d <= 100)::BIGINT AS n100

@@ -16,13 +16,13 @@ from roadpoints.plans.tables import sql
 from roadpoints.session import cut
 
 R6 = lambda c: F.round(c, 6)
-NODES = "jn AS (SELECT layer_id, h * 1000 + 100 + v AS ord, (v * 200)::DOUBLE AS x, (h * 200)::DOUBLE AS y, h, v FROM layers, range(11) a(h), range(11) b(v))"
+NODES = "jn AS (SELECT layer_id, h * 2147483648 + 100 + v AS ord, (v * 200)::DOUBLE AS x, (h * 200)::DOUBLE AS y, h, v FROM layers, range(11) a(h), range(11) b(v))"
 
 
 def network(spark, sf):
     s = T.streets(spark, sf)
     cross = cut(G.line_crossings(s))
-    nodes = cross.select("layer_id", (F.col("line1") * 1000 + F.col("line2")).alias("ord"), "x", "y")
+    nodes = cross.select("layer_id", G.node_id().alias("ord"), "x", "y")
     return nodes, cut(G.network_edges(s, cross))
 
 
@@ -116,7 +116,7 @@ def g10(spark, sf):
     return G.path_straightness(steps, n).select("layer_id", "source", "target", R6("length").alias("length"), R6("ratio").alias("ratio"), "straight_strict")
 
 
-@query("g13_site_to_node", sql("points", "SELECT layer_id, ord, CAST(round(y / 200) * 1000 + 100 + round(x / 200) AS BIGINT) AS node FROM points WHERE sqrt((x - 200 * round(x / 200)) ** 2 + (y - 200 * round(y / 200)) ** 2) < 20"))
+@query("g13_site_to_node", sql("points", "SELECT layer_id, ord, CAST(round(y / 200) * 2147483648 + 100 + round(x / 200) AS BIGINT) AS node FROM points WHERE sqrt((x - 200 * round(x / 200)) ** 2 + (y - 200 * round(y / 200)) ** 2) < 20"))
 def g13(spark, sf):
     n, _ = network(spark, sf)
     return nearest(T.points(spark, sf), n, cap=20.0, strict=True).where("near_ord is not null").select("layer_id", "ord", F.col("near_ord").alias("node"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roadpoints.functions.geom import dist, natural_direction
-from roadpoints.operators import clip as C, graph as G, links as L, raster as R, stats as S
+from roadpoints.operators import clip as C, graph as G, lines as LN, links as L, raster as R, stats as S
 from roadpoints.operators.celljoin import nearest, near_join, pairs_within
 from roadpoints.plans import jobs as J, tables as T
 from roadpoints.plans.graph_queries import NODES
@@ -88,9 +88,26 @@ def j34(spark, sf):
     return hit.select("layer_id", F.least("road_id", "m.r_road_id").alias("line1"), F.greatest("road_id", "m.r_road_id").alias("line2"), R6("m.d").alias("gap")).distinct()
 
 
-@query("j33_touching_lines", sql("layers", f"{NODES} SELECT layer_id, h AS line1, 100 + v AS line2 FROM jn"))
+# level pieces of road that begin at the points of one category: 30 m long
+PIECES = "pieces AS MATERIALIZED (SELECT layer_id, ord AS line_id, x AS x1, y AS y1, x + 30 AS x2, y AS y2 FROM points WHERE category = 'endpoint')"
+
+
+def pieces(spark, sf):
+    x, y = F.col("x"), F.col("y")
+    return T.points(spark, sf).where("category = 'endpoint'").select("layer_id", F.col("ord").alias("line_id"), x.alias("x1"), y.alias("y1"), (x + 30).alias("x2"), y.alias("y2"))
+
+
+@query("j33_touching_lines", sql("layers", f"{NODES} SELECT layer_id, h AS line1, 100 + v AS line2, 'near' AS kind FROM jn"))
 def j33(spark, sf):
-    return G.line_crossings(T.streets(spark, sf)).select("layer_id", "line1", "line2").distinct()
+    t = LN.touching_lines(T.streets(spark, sf))
+    return t.where("kind = 'near'").select("layer_id", "line1", "line2", "kind").distinct()
+
+
+@query("j33_close_pieces", sql("points", f"""{PIECES}, g AS (SELECT a.layer_id, a.line_id AS line1, b.line_id AS line2, a.x1 AS ax, a.x2 AS ax2, a.y1 AS ay, b.x1 AS bx, b.x2 AS bx2, b.y1 AS by_ FROM pieces a JOIN pieces b ON a.layer_id = b.layer_id AND a.line_id < b.line_id),
+    d AS (SELECT layer_id, line1, line2, sqrt(greatest(0, ax - bx2, bx - ax2) ** 2 + (ay - by_) ** 2) AS gap, least(sqrt((ax - bx) ** 2 + (ay - by_) ** 2), sqrt((ax - bx2) ** 2 + (ay - by_) ** 2), sqrt((ax2 - bx) ** 2 + (ay - by_) ** 2), sqrt((ax2 - bx2) ** 2 + (ay - by_) ** 2)) AS ends FROM g)
+    SELECT layer_id, line1, line2, 'near' AS kind, round(gap, 6) AS gap FROM d WHERE gap <= 5 UNION ALL SELECT layer_id, line1, line2, 'ends', round(ends, 6) FROM d WHERE ends <= 3"""))
+def j33_pieces(spark, sf):
+    return LN.touching_lines(pieces(spark, sf), line_id="line_id").select("layer_id", "line1", "line2", "kind", R6("gap").alias("gap"))
 
 
 @query("j39_skeleton_band", sql("skeleton", """l AS (SELECT layer_id, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM skeleton WINDOW w AS (PARTITION BY layer_id ORDER BY ord))
@@ -114,12 +131,12 @@ def j41(spark, sf):
 @query("j37_connection_suggestion", sql("points skeleton", f"""iso AS (SELECT layer_id, ord, x, y FROM points p WHERE {grid_dist()} <= 6 AND NOT EXISTS (SELECT 1 FROM points o WHERE o.layer_id = p.layer_id AND o.ord <> p.ord AND {D('o', 'p')} <= 30)
       QUALIFY row_number() OVER (PARTITION BY layer_id ORDER BY ord) = 1),
     n AS (SELECT i.layer_id, i.ord, min({{'d': {D('i', 's')}, 'ord': s.ord, 'x': s.x, 'y': s.y}}) AS m FROM iso i JOIN skeleton s ON s.layer_id = i.layer_id AND {D('i', 's')} <= 50 GROUP BY ALL)
-    SELECT layer_id, ord, m.x AS x, m.y AS y FROM n WHERE NOT EXISTS (SELECT 1 FROM points p WHERE p.layer_id = n.layer_id AND sqrt((p.x - m.x) ** 2 + (p.y - m.y) ** 2) < 2)"""))
+    SELECT layer_id, ord, m.x AS x, m.y AS y FROM n WHERE NOT EXISTS (SELECT 1 FROM points p WHERE p.layer_id = n.layer_id AND sqrt((p.x - m.x) ** 2 + (p.y - m.y) ** 2) < 25)"""))
 def j37(spark, sf):
     p = T.points(spark, sf)
     first = L.isolated_points(p, T.streets(spark, sf), 30.0).groupBy("layer_id").agg(F.min_by(F.struct("ord", "x", "y"), "ord").alias("p")).select("layer_id", "p.*")
     near = nearest(first, T.skeleton(spark, sf), cap=50.0).where("near_ord is not null").select("layer_id", "ord", F.col("near_x").alias("x"), F.col("near_y").alias("y"))
-    return near_join(near, p.select("layer_id", "x", "y").distinct(), 2.0, strict=True, how="left_anti").select("layer_id", "ord", "x", "y")
+    return near_join(near, p.select("layer_id", "x", "y").distinct(), 25.0, strict=True, how="left_anti").select("layer_id", "ord", "x", "y")
 
 
 @query("j24_crossed_cells", sql("points", f"""{pair_sql(15.0, 50.0)} SELECT layer_id, ord1, ord2, (abs(floor(x1 / 100) - floor(x2 / 100)) + 1 + abs(floor(y1 / 100) - floor(y2 / 100)))::BIGINT AS cells FROM pairs"""))
@@ -182,7 +199,7 @@ def q01(spark, sf):
 @query("m15_site_placement")
 def m15(spark, sf):
     from roadpoints.operators.lines import place_sites
-    return place_sites(T.reference_points(spark, sf), T.districts(spark, sf), 50.0, rounds=3).select("layer_id", "round", "ord", "gain_area")
+    return place_sites(T.reference_points(spark, sf), T.districts(spark, sf), 50.0, target=0.03).select("layer_id", "round", "ord", "gain_area")
 
 
 FEET = """f AS MATERIALIZED (SELECT layer_id, ord, CASE WHEN dh <= dv THEN x ELSE 200 * round(x / 200) END AS x, CASE WHEN dh <= dv THEN 200 * round(y / 200) ELSE y END AS y
@@ -223,7 +240,7 @@ def g25(spark, sf):
 @query("r05_skeleton_lines")
 def r05_lines(spark, sf):
     lines = R.skeleton_lines(R.thin(pixels(spark, sf)), PX)
-    return lines.groupBy("layer_id", "seg").agg(F.count(F.lit(1)).alias("vertices"), F.max("step").alias("last_step"))
+    return lines.groupBy("layer_id", F.col("seg.u").alias("u"), F.col("seg.v").alias("v")).agg(F.count(F.lit(1)).alias("vertices"), F.max("step").alias("last_step"))
 
 
 @query("q02_district_run")
@@ -244,9 +261,9 @@ def q07(spark, sf):
     return J.evaluate(T.points(spark, sf), want, T.skeleton(spark, sf), T.streets(spark, sf))
 
 
-@query("q10_routed_curves")
+@query("q10_curves_of_all")
 def q10(spark, sf):
-    return J.routed_curves(T.waves(spark, sf), T.points(spark, sf).where("category = 'intersection'")).select("layer_id", "ord", "detector")
+    return J.curves_of_all(T.waves(spark, sf), T.points(spark, sf).where("category = 'intersection'")).select("layer_id", "ord", "detector")
 
 
 @query("l05_deletion_candidates", sql("points layers", f"""{NODES}, s AS (SELECT p.layer_id, p.ord, min(sqrt((p.x - j.x) * (p.x - j.x) + (p.y - j.y) * (p.y - j.y))) AS d FROM points p JOIN jn j USING (layer_id) WHERE p.category <> 'intersection' GROUP BY ALL)

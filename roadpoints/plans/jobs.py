@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -79,15 +81,16 @@ def flagged(found: DataFrame, scored: DataFrame, threshold: float = 0.7, delete:
     return found.select(*keys, "ord", "x", "y", "category").unionByName(sure.select(*keys, "ord", "x", "y", F.lit("delete").alias("category")))
 
 
-def routed_curves(skel: DataFrame, junctions: DataFrame, many: int = 2000, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Curves by layer size: the five-point stencil on a 20 m resampled line above ``many`` skeleton points, else the edge
-    rule (threshold 0.25, 25 m off junctions). Each detector sees only its own layers."""
-    size = skel.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = cut(skel.join(size.where(F.col("_n") > many).select(*keys), list(keys), "left_semi"))
-    small = cut(skel.join(size.where(F.col("_n") <= many).select(*keys), list(keys), "left_semi"))
+def curves_of_all(skel: DataFrame, junctions: DataFrame, detectors: Sequence[str] = ("stencil", "edge"), keys: Sequence[str] = KEYS) -> DataFrame:
+    """Curves by each of the detectors that the caller names, on all layers: the five-point stencil on a 20 m resampled line, and the edge
+    rule (threshold 0.25, 25 m off junctions)."""
     from roadpoints.operators.sequence import with_position
-    thin = cut(with_position(K.resample(big, 20.0, keys).drop("pos", "n"), keys))
-    one = K.stencil_turns(thin, 0.4, keys).select(*keys, "ord", "x", "y", F.lit("stencil").alias("detector"))
-    two = K.edge_curves(small, 20.0, 0.25, keys=keys).select(*keys, "ord", "x", "y")
-    two = near_join(two, junctions.select(*keys, "x", "y").distinct(), 25.0, keys, how="left_anti").withColumn("detector", F.lit("edge"))
-    return one.unionByName(two)
+    parts = []
+    if "stencil" in detectors:
+        thin = cut(with_position(K.resample(skel, 20.0, keys).drop("pos", "n"), keys))
+        parts.append(K.stencil_turns(thin, 0.4, keys).select(*keys, "ord", "x", "y", F.lit("stencil").alias("detector")))
+    if "edge" in detectors:
+        two = K.edge_curves(skel, 20.0, 0.25, keys=keys).select(*keys, "ord", "x", "y")
+        two = near_join(two, junctions.select(*keys, "x", "y").distinct(), 25.0, keys, how="left_anti")
+        parts.append(two.withColumn("detector", F.lit("edge")))
+    return reduce(DataFrame.unionByName, parts)

@@ -76,19 +76,37 @@ def p10(spark, sf):
     return back.select("layer_id", "ord", F.round(F.col("x") - 220000, 4).alias("x"), F.round(F.col("y") - 300000, 4).alias("y"))
 
 
-@query("p11_p12_region_codes", sql("file_names", """SELECT file_id, 'EPSG:5186' AS by_region, CASE WHEN acct > 5000 THEN 'EPSG:5187' END AS detected FROM file_names"""))
+# by form of T.NAMES: form, province, county, district, short and full province, region names, code by region, code by name
+_FORMS = ("""(0, 1, '전북', '남원시', '강석#지구', '전북특별자치도', '남원시', 'EPSG:5186', 'EPSG:5186'), (1, 2, '전북특별자치도', '김제시', '만경1,#지구', '전북특별자치도', '김제시', 'EPSG:5186', 'EPSG:5186'),
+    (2, 4, '인천', '남동구', '고잔#지구', '인천광역시', '남동구', 'EPSG:5186', 'EPSG:5186'), (3, 6, '광주시', '검복#지구', '미확인', '광주광역시', '광주시', 'EPSG:5186', 'EPSG:5186'),
+    (4, 7, '오산시', '고현동', '고현#지구', NULL, '오산시', 'EPSG:5186', NULL), (5, 1, '강원', '강릉시', '교동#지구', '강원특별자치도', '강릉시', 'EPSG:5187', 'EPSG:5187'),
+    (6, 1, '강원', '원주시', '단구#지구', '강원특별자치도', '원주시', 'EPSG:5186', 'EPSG:5186'), (7, 1, '경북', '울릉군', '도동#지구', '경상북도', '울릉군', 'EPSG:5188', 'EPSG:5187'),
+    (8, NULL, NULL, NULL, NULL, NULL, NULL, 'EPSG:5186', NULL), (9, 1, '경남', '고성군', '석지#지구', '경상남도', '고성군', 'EPSG:5187', 'EPSG:5187'),
+    (10, 1, '용인시', '기흥구', '언남#지구', NULL, '용인시,기흥구,언남#지구', 'EPSG:5186', NULL), (11, 4, '인천', '서남동구', '고잔#지구', '인천광역시', '서남동구', 'EPSG:5186', 'EPSG:5186')""")
+FORMS = f"""w(kind, form, province, county, district, sido, names, by_region, detected) AS (VALUES {_FORMS}),
+    f AS (SELECT d.file_id, d.file_name, d.acct, w.form, w.province, replace(w.county, '#', d.file_id::VARCHAR) AS county, replace(w.district, '#', d.file_id::VARCHAR) AS district, w.sido, w.names, w.by_region, w.detected FROM district_names d JOIN w USING (kind))"""
+
+
+@query("p11_p12_region_codes", sql("district_names", f"""{FORMS} SELECT file_id, by_region, CASE WHEN acct > 5000 THEN 'EPSG:5187' ELSE detected END AS detected FROM f"""))
 def p11(spark, sf):
-    f = T.file_names(spark, sf)
+    f = T.district_names(spark, sf)
     own = F.when(F.col("acct") > 5000, "EPSG:5187").otherwise("EPSG:4326")
-    return f.select("file_id", X.region_crs(F.split("file_name", " ")[0], F.split("file_name", " ")[1]).alias("by_region"), X.detect_crs(own, F.col("file_name")).alias("detected"))
+    county = F.get(X.region_names(F.col("file_name")), 0)
+    return f.select("file_id", X.region_crs(X.province_of(F.col("file_name")), county).alias("by_region"), X.detect_crs(own, F.col("file_name")).alias("detected"))
 
 
-@query("p14_name_forms", sql("file_names", r"""f AS (SELECT *, regexp_extract(file_name, '^(\S+)\s+(\S+)\s+(\S+)$', ['a', 'b', 'c']) AS g FROM file_names) SELECT file_id, 5 AS form, g.a AS province, g.b AS county, g.c AS district FROM f"""))
+@query("p14_name_forms", sql("district_names", f"{FORMS} SELECT file_id, form, province, county, district FROM f"))
 def p14(spark, sf):
-    f = T.file_names(spark, sf).withColumn("p", X.name_parts(F.col("file_name")))
+    f = T.district_names(spark, sf).withColumn("p", X.name_parts(F.col("file_name")))
     return f.select("file_id", X.name_form(F.col("file_name")).alias("form"), "p.province", "p.county", "p.district")
 
 
+@query("p13_region_names", sql("district_names", f"{FORMS} SELECT file_id, sido, split_part(coalesce(names, ''), ',', 1) AS first_name FROM f"))
+def p13_regions(spark, sf):
+    f = T.district_names(spark, sf)
+    return f.select("file_id", X.province_of(F.col("file_name")).alias("sido"), F.coalesce(F.get(X.region_names(F.col("file_name")), 0), F.lit("")).alias("first_name"))
+
+
 @query("p13_f06_names", sql("file_names", """SELECT file_id, trim(regexp_replace(regexp_replace(file_name, '[\\[\\]()_\\-.]+', ' ', 'g'), '\\s+', ' ', 'g')) AS clean, file_name AS stem FROM file_names"""))
 def p13(spark, sf):
     f = T.file_names(spark, sf)
@@ -96,17 +114,19 @@ def p13(spark, sf):
     return f.select("file_id", X.clean_name(F.col("file_name")).alias("clean"), X.stem(path).alias("stem"))
 
 
-@query("e37_name_histogram", sql("file_names", """SELECT split_part(file_name, ' ', 1) AS province, split_part(file_name, ' ', 2) AS county, count(*) AS files FROM file_names GROUP BY ROLLUP (1, 2)"""))
+@query("e37_name_histogram", sql("district_names", f"""{FORMS} SELECT province, county, count(*) AS files FROM f GROUP BY ROLLUP (province, county)"""))
 def e37(spark, sf):
-    p = T.file_names(spark, sf).select(X.name_parts(F.col("file_name")).alias("p")).select("p.*")
+    p = T.district_names(spark, sf).select(X.name_parts(F.col("file_name")).alias("p")).select("p.*")
     return p.rollup("province", "county").agg(N().alias("files"))
 
 
-@query("s03_j13_catalogue_match", sql("file_names road_catalog", """SELECT file_id, path, 1 AS priority FROM file_names JOIN road_catalog ON split_part(file_name, ' ', 1) = sido AND split_part(file_name, ' ', 2) = sigungu"""))
+@query("s03_j13_catalogue_match", sql("district_names district_catalog", """w(kind, sido, sigungu, priority) AS (VALUES (0, '전북특별자치도', '남원시', 1), (1, '전북특별자치도', '김제시', 1), (2, '인천광역시', '남동구', 2), (3, '경기도', '광주시', 1), (4, '경기도', '오산시', 1),
+    (5, '강원특별자치도', '강릉시', 1), (6, '강원특별자치도', '원주시', 1), (7, '경상북도', '울릉군', 1), (9, '강원특별자치도', '고성군', 1), (10, '경기도', '기흥구', 2), (11, '인천광역시', '남동구', 3))
+    SELECT file_id, path, priority FROM district_names JOIN w USING (kind) JOIN district_catalog USING (sido, sigungu)"""))
 def j13(spark, sf):
     from roadpoints.operators.clip import match_catalogue
-    f = T.file_names(spark, sf).withColumn("p", X.name_parts(F.col("file_name"))).select("file_id", "p.province", "p.county")
-    return match_catalogue(f, T.road_catalog(spark, sf)).select("file_id", "path", "priority")
+    f = T.district_names(spark, sf).select("file_id", X.region_names(F.col("file_name")).alias("names"))
+    return match_catalogue(f, T.district_catalog(spark, sf)).select("file_id", "path", "priority")
 
 
 @query("p16_line_samples", sql("points", f"{pair_sql(15.0, 30.0)} SELECT layer_id, ord1, ord2, k::INT AS k, round(x1 + (x2 - x1) * k / 10.0, 6) AS x, round(y1 + (y2 - y1) * k / 10.0, 6) AS y FROM pairs, range(11) r(k)"))
@@ -342,10 +362,11 @@ def t01(spark, sf):
     return c.select("session_id", "ord", F.round("relative_time", 6).alias("relative_time"), "edits", R6("edit_rate").alias("edit_rate"))
 
 
-@query("t02_latest_actions", sql("actions", "SELECT session_id, ord FROM actions QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, ord DESC) <= 5"))
+@query("t02_latest_actions", sql("actions", "SELECT session_id, ord FROM actions QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, ord DESC) <= 5000"))
 def t02(spark, sf):
+    """The newest 5,000 actions of each session: the length of the log is the feature, the whole log stays in ``actions``."""
     from roadpoints.operators.sequence import top_n
-    return top_n(T.actions(spark, sf), 5, [F.desc("ts"), F.desc("ord")], ["session_id"]).select("session_id", "ord")
+    return top_n(T.actions(spark, sf), 5000, [F.desc("ts"), F.desc("ord")], ["session_id"]).select("session_id", "ord")
 
 
 @query("t03_session_spans", sql("actions", """g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM actions WINDOW w AS (PARTITION BY session_id ORDER BY ts, ord)),

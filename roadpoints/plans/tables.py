@@ -96,14 +96,35 @@ def actions(spark, sf_dir) -> DataFrame:
         (F.expr("pmod(event_id * 7919, 20011)") / 10.0).alias("x"), (F.pmod(micros(spark), F.lit(20011)) / 10.0).alias("y"))
 
 
-def predictions(spark, sf_dir) -> DataFrame:
-    q = F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double"))
-    e = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("truth"), q.alias("q"))
+def predictions(spark, sf_dir, classes: int = 3) -> DataFrame:
+    """Scores of classes: class k has the sum of the vector's values at positions k, k + classes, ..."""
+    at = lambda k: F.aggregate(F.filter("embedding", lambda v, i: i % classes == k), F.lit(0.0), lambda s, v: s + v.cast("double"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % classes).alias("truth"), F.array(*[at(k) for k in range(classes)]).alias("q"))
     top = F.sort_array("q", asc=False)
     return e.select("vec_id", "truth", "q", (F.array_position("q", F.array_max("q")) - 1).cast("int").alias("action"),
                     (top[0] - top[1]).alias("confidence"))
 
 
+# File names and catalogue rows by number: all name forms with a match, both kinds of no match, every step of the catalogue match.
+NAMES = ("'25년_전북_남원시_강석{}지구_현황_폴리곤", "'25년도 전북특별자치도 김제시 만경1,{}지구_현황_폴리곤", "25년도_인천_남동구_고잔{}지구_현황_폴리곤", "25년_광주시_검복{}지구_현황_폴리곤",
+         "25년_오산시 고현동_고현{}지구_현황_폴리곤", "`25년_강원_강릉시_교동{}지구_현황_폴리곤", "25년_강원_원주시_단구{}지구_현황_폴리곤", "25년_경북_울릉군_도동{}지구_현황_폴리곤",
+         "survey {}", "25년_경남_고성군_석지{}지구_현황_폴리곤", "25년_용인시_기흥구_언남{}지구_현황_폴리곤", "25년도_인천_서남동구_고잔{}지구_현황_폴리곤")
+CATALOG = ("전북특별자치도/남원시", "전북특별자치도/김제시", "인천광역시/남동구", "경기도/광주시", "경기도/오산시", "강원특별자치도/강릉시", "강원특별자치도/원주시", "경상북도/울릉군",
+           "경상남도/고성군", "강원특별자치도/고성군", "경기도/기흥구", "부산광역시/기장군")
+
+
+def district_names(spark, sf_dir) -> DataFrame:
+    """One district file per supplier; ``kind`` is the number of its form in NAMES."""
+    kind = F.pmod("s_suppkey", F.lit(len(NAMES))).cast("int")
+    name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), kind + 1)
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("file_id"), F.replace(name, F.lit("{}"), F.col("s_suppkey").cast("string")).alias("file_name"), kind.alias("kind"), F.col("s_acctbal").alias("acct"))
+
+
+def district_catalog(spark, sf_dir) -> DataFrame:
+    place = F.split(F.element_at(F.array(*[F.lit(n) for n in CATALOG]), F.pmod("n_nationkey", F.lit(len(CATALOG))).cast("int") + 1), "/")
+    return read(spark, sf_dir, "nation").select(place[0].alias("sido"), place[1].alias("sigungu"), F.concat_ws("/", place[0], F.concat(place[1], F.lit(".shp"))).alias("path")).distinct()
+
+
 def road_catalog(spark, sf_dir) -> DataFrame:
     r, n = read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
     return n.join(r, n.n_regionkey == r.r_regionkey).select(
@@ -144,6 +165,7 @@ SQL = {
         SELECT layer_id, k + 100, (k * 200)::DOUBLE, 0.0::DOUBLE, (k * 200)::DOUBLE, 2001.0::DOUBLE, 6.0::DOUBLE FROM layers, range(11) r(k)""",
     "skeleton": """SELECT layer_id, road_id * 1000 + j AS ord, road_id, CASE WHEN road_id < 100 THEN (j * 10)::DOUBLE ELSE x1 END AS x,
         CASE WHEN road_id < 100 THEN y1 ELSE (j * 10)::DOUBLE END AS y FROM streets, range(201) r(j)""",
+    "waves": "SELECT layer_id, ord, road_id, x, y + 50 * sin(x / 50) AS y FROM skeleton WHERE road_id < 100",
     "districts": "SELECT layer_id, 100.0::DOUBLE AS minx, 100.0::DOUBLE AS miny, 1900.0::DOUBLE AS maxx, 1900.0::DOUBLE AS maxy FROM layers",
     "reference_points": "SELECT layer_id, ord, x + 3 AS x, y + 4 AS y FROM points WHERE kind = 'purchase'",
     "labels_before": "SELECT * FROM points WHERE kind <> 'view'",
@@ -153,14 +175,16 @@ SQL = {
         ((event_id * 7919) % 20011) / 10.0::DOUBLE AS x, (epoch_us(ts) % 20011) / 10.0::DOUBLE AS y FROM events""",
     "predictions": """SELECT vec_id, label % 3 AS truth, q, list_position(q, list_max(q)) - 1 AS action,
         list_sort(q, 'DESC')[1] - list_sort(q, 'DESC')[2] AS confidence
-        FROM (SELECT vec_id, label, [embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE] AS q FROM embeddings)""",
+        FROM (SELECT vec_id, label, [list_reduce(list_prepend(0.0::DOUBLE, list_filter(embedding, lambda v, i: (i - 1) % 3 = k)::DOUBLE[]), lambda a, b: a + b) for k in [0, 1, 2]] AS q FROM embeddings)""",
+    "district_names": "SELECT s_suppkey AS file_id, replace([" + ", ".join("'" + n.replace("'", "''") + "'" for n in NAMES) + f"][s_suppkey % {len(NAMES)} + 1], '{{}}', s_suppkey::VARCHAR) AS file_name, (s_suppkey % {len(NAMES)})::INT AS kind, s_acctbal AS acct FROM supplier",
+    "district_catalog": "SELECT DISTINCT split_part(c, '/', 1) AS sido, split_part(c, '/', 2) AS sigungu, c || '.shp' AS path FROM (SELECT [" + ", ".join(f"'{n}'" for n in CATALOG) + f"][n_nationkey % {len(CATALOG)} + 1] AS c FROM nation)",
     "road_catalog": """SELECT replace(r_name, ' ', '_') AS sido, n_name AS sigungu, r_name || '/' || n_name || '.shp' AS path
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "file_names": """SELECT s_suppkey AS file_id, replace(r_name, ' ', '_') || ' ' || n_name || ' ' || s_name AS file_name, s_acctbal AS acct
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 }
 
-_NEEDS = {"streets": ["layers"], "skeleton": ["layers", "streets"], "districts": ["layers"], "reference_points": ["points"],
+_NEEDS = {"streets": ["layers"], "skeleton": ["layers", "streets"], "waves": ["skeleton"], "districts": ["layers"], "reference_points": ["points"],
           "labels_before": ["points"], "labels_after": ["points"]}
 
 
