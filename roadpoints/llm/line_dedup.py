@@ -50,12 +50,9 @@ class Lines:
         return text[pairs[:, 0]], pairs[:, 0], pairs[:, 1]
 
 
-_CTX = "array<struct<digest:long,b:int,e:int>>"
-
-
 def _fingerprints(least: int):
-    kind = pa.struct([("digest", pa.int64()), ("b", pa.int32()), ("e", pa.int32())])
-
+    """(doc_id, fp, ctx, twice): the fingerprints of each text with the windows they stand for, as pairs of longs (digest, first line << 32 |
+    end line), and whether two of these windows are equal."""
     def run(batches):
         for batch in batches:
             data, offsets = texts(batch.column(1))
@@ -68,13 +65,16 @@ def _fingerprints(least: int):
                 one = lines.words.gram(lines.word[:-1], lines.word[1:])
                 low = np.minimum.reduceat(np.append(one, np.uint64(0xFFFFFFFFFFFFFFFF)), np.stack([b, e], 1).reshape(-1))[::2]
                 digest = lines.words.gram(lines.word[b], lines.word[e])
-                order = np.lexsort((b, low, text))
+                order = np.lexsort((digest, low, text))
                 text, b, e, low, digest = text[order], b[order], e[order], low[order], digest[order]
-                new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (low[1:] != low[:-1])]))
+                same = (text[1:] == text[:-1]) & (low[1:] == low[:-1])
+                new = np.flatnonzero(np.concatenate([[True], ~same]))
+                again = np.concatenate([[False], same & (digest[1:] == digest[:-1])])
                 base = lines.first[text]
-                ctx = pa.StructArray.from_arrays([pa.array(digest.view(np.int64)), pa.array(b - base, pa.int32()), pa.array(e - base, pa.int32())], fields=list(kind))
+                pair = np.stack([digest.view(np.int64), ((b - base) << 32) | (e - base)], 1).reshape(-1)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[new] + i)), pa.array(low[new].view(np.int64)),
-                                                  pa.ListArray.from_arrays(pa.array(np.append(new, len(text)), pa.int32()), ctx)], names=["doc_id", "fp", "ctx"])
+                                                  pa.ListArray.from_arrays(pa.array(np.append(new, len(text)) * 2, pa.int32()), pa.array(pair)),
+                                                  pa.array(np.logical_or.reduceat(again, new))], names=["doc_id", "fp", "ctx", "twice"])
     return run
 
 
@@ -112,10 +112,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place only what lies behind that place is a repeat.
     """
     rows = cut(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-               .mapInArrow(_fingerprints(min_words), f"doc_id long, fp long, ctx {_CTX}"))
+               .mapInArrow(_fingerprints(min_words), "doc_id long, fp long, ctx array<long>, twice boolean"))
     # tables of their own, so that both sides of the joins are plain exchanges and a hot fingerprint can be split
-    shared = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.max(F.size("ctx")).alias("m")).where("n > 1 or m > 1").select("fp"))
-    spots = rows.join(shared, "fp", "left_semi").select("fp", "doc_id", F.inline("ctx"))
+    shared = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("fp"))
+    each = F.explode(F.expr("transform(sequence(0, size(ctx) div 2 - 1), i -> struct(ctx[2 * i] as digest, int(shiftright(ctx[2 * i + 1], 32)) as b, int(ctx[2 * i + 1] & 4294967295L) as e))"))
+    spots = cut(rows.join(shared, "fp", "left_semi").select("fp", "doc_id", each.alias("w")).select("fp", "doc_id", "w.*"))
     place = F.struct("doc_id", "b", "e")
     firsts = cut(spots.groupBy("fp", "digest").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = spots.join(firsts, ["fp", "digest"]).where(place > F.col("f"))
