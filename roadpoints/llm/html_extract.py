@@ -142,11 +142,12 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, pieces
 
 
-def features(n: Node) -> tuple[str, ...]:
-    """Names of a node's features; there are a bounded number of them."""
+def features(n: Node, zone: str = "") -> tuple[str, ...]:
+    """Names of a node's features, which count apart in the article, in side parts, and elsewhere; there are a bounded number of them."""
+    zone = zone or ("any" if n.kind == "free" else n.zone)
     known = n.tag in CONTENT_TAGS or n.tag in OTHER_TAGS or n.tag in SCOPE or n.tag in ENDS or n.tag in INLINE
     share = "none" if not n.chars else "links" if 2 * n.linked > n.chars else "text"
-    return (f"tag={n.tag if known else '?'}", f"names={n.names}", f"share={share}", f"size={min(9, int(math.log2(1 + n.chars)))}")
+    return (f"{zone}:tag={n.tag if known else '?'}", f"{zone}:names={n.names}", f"{zone}:share={share}", f"{zone}:size={min(9, int(math.log2(1 + n.chars)))}")
 
 
 def labelled(nodes: list[Node]) -> list[bool] | None:
@@ -169,7 +170,7 @@ def _counted(batches):
             if labels is None:
                 continue
             for n, y in zip(nodes, labels):
-                for f in features(n):
+                for f in (*features(n), *features(n, "any")):  # "any": for pages that mark no article
                     counts[f"{f}|{int(y)}"] += 1
                 if n.parent >= 0:
                     counts[f"edge={n.kind},{int(labels[n.parent])}|{int(y)}"] += 1
@@ -201,7 +202,9 @@ class Model:
                 self.unary[name] = (math.log(a / (a + b)), math.log(b / (a + b)))
             else:
                 g = name.split("=")[0]
-                odds = math.log(b / (total.get((g, "1"), 0) + 1)) - math.log(a / (total.get((g, "0"), 0) + 1))
+                odds = math.log(b / a)
+                if g.startswith("any:"):  # without a marked article the share of content among all nodes says nothing
+                    odds += math.log((total.get((g, "0"), 0) + 1) / (total.get((g, "1"), 0) + 1))
                 self.unary[name] = (0.0, max(-MOST, min(MOST, odds)))
 
     def marginals(self, nodes: list[Node]) -> list[float]:
@@ -246,7 +249,7 @@ def _share(x: list[float]) -> float:
 
 def main_text(html: str, model: Model) -> str:
     nodes, pieces = parse(html)
-    keep = [p > 0.5 for p in model.marginals(nodes)]
+    keep = [p > 0.5 for p in model.marginals(nodes)] if len(nodes) > 1 else [True]  # without markup the page is one block
     blocks, last, part = [], -1, []
     for node, text in pieces:
         if node != last and part:
@@ -261,7 +264,9 @@ def main_text(html: str, model: Model) -> str:
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Model:
     """The potentials, from ``sample`` pages at most that mark their article; feature names are few, so are the rows collected."""
-    rows = pages.where(F.length("html") <= SAMPLE_CHARS).select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(sample).select("html")
+    h = F.xxhash64("page_id", "url")
+    last = pages.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes alone are sorted, no page
+    rows = pages.where((h <= F.lit(last)) & (F.length("html") <= SAMPLE_CHARS)).select("html")
     counts = rows.mapInArrow(_counted, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
     return Model({r["name"]: r["n"] for r in counts.collect()})
 

@@ -147,19 +147,35 @@ def _passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.flatnonzero((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
 
 
-def _unit_counts(keep):
-    """(h, n): units with each term that passes the filter, summed over a slice of texts; all units under a null h."""
+def _unit_counts(keep, most: int = 1 << 21):
+    """(h, n): units with each term that passes the filter, summed over the texts of a task (in parts of at most ``most`` terms); all
+    units under a null h."""
+    def summed(held):
+        h, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return h, np.bincount(back, np.concatenate([n for _, n in held]), minlength=len(h)).astype(np.int64)
+
     def run(batches):
+        units, held, size = 0, [], 0
         for batch in batches:
             data, offsets = texts(batch.column(0))
             for i, j in slices(offsets):
                 w = Words(data, offsets, i, j, ALNUM)
                 unit = _units(w)
+                units += len(unit) - 1
                 k = _passing(keep.value, w.hash)
+                if not len(k):
+                    continue
                 pair = np.stack([w.hash[k], (np.searchsorted(unit, k, "right") - 1).astype(np.uint64)], 1)
-                h, n = np.unique(np.unique(pair, axis=0)[:, 0], return_counts=True) if len(k) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.int64()), pa.array(h.view(np.int64))]), pa.array(np.append(len(unit) - 1, n))],
-                                                 names=["h", "n"])
+                held.append(np.unique(np.unique(pair, axis=0)[:, 0], return_counts=True))
+                size += len(held[-1][0])
+                if size > 2 * most:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > most:
+                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["h", "n"])
+                        held, size = [], 0
+        h, n = summed(held) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([None], pa.int64()), pa.array(h.view(np.int64))]), pa.array(np.append(units, n))], names=["h", "n"])
     return run
 
 

@@ -28,6 +28,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = "#*$%&|<>"
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: shares into which the documents of one language and source are dealt for joins
+SHARES = 32
 #: units of a feature; smallest standard deviation assumed, in units (regularises groups without spread)
 UNIT, FLOOR = 256, 12.0
 P = 5
@@ -76,6 +78,12 @@ def _quantile(df: DataFrame, keys: list[str], value: str, num: int, den: int) ->
     return counts.where(F.col("c") * den >= F.col("all") * num).groupBy(*keys).agg(F.min(value).alias("q"))
 
 
+def _beside(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` (with doc_id) joined with a row for each key; the rows of a key are dealt into SHARES, as one key may have a third of them."""
+    dealt = df.withColumn("_share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)))
+    return dealt.join(small.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<long>"))), [*keys, "_share"]).drop("_share")
+
+
 def _group(df: DataFrame) -> DataFrame:
     """``df`` with its group (g_lang, g_source); see MIN_GROUP."""
     own = df.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -83,14 +91,14 @@ def _group(df: DataFrame) -> DataFrame:
     own = own.withColumn("m", F.sum("n").over(w))  # of the small sources of the language
     own = own.select("lang", "source", F.when((F.col("n") >= MIN_GROUP) | (F.col("m") >= MIN_GROUP), F.col("lang")).otherwise("*").alias("g_lang"),
                      F.when(F.col("n") >= MIN_GROUP, F.col("source")).otherwise("*").alias("g_source"))
-    return df.join(own, ["lang", "source"])
+    return _beside(df, own, ["lang", "source"])
 
 
 G = ["g_lang", "g_source"]
 
 
 def _spots(df: DataFrame) -> DataFrame:
-    return df.select(*G, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("v")) for i, x in enumerate(XS)])).alias("f")).select(*G, "f.i", "f.v")
+    return df.select("doc_id", *G, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("v")) for i, x in enumerate(XS)])).alias("f")).select("doc_id", *G, "f.i", "f.v")
 
 
 def _whitened(m: DataFrame) -> DataFrame:
@@ -116,9 +124,10 @@ def _sum(first: Column, rest: list[Column]) -> Column:
 def _distance(df: DataFrame, est: DataFrame) -> DataFrame:
     """``df`` with d2, the squared Mahalanobis distance under its group's estimate, and its bin q (64 to a factor of e)."""
     z = [_sum(F.lit(0.0), [F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"m{j}")) for j in range(i + 1)]) for i in range(P)]
-    out = df.join(est, G)
+    out = _beside(df, est, G)
     out = out.withColumn("d2", _sum(F.lit(0.0), [F.pow(c, F.lit(2.0)) for c in z]))
-    return out.select(*df.columns, "d2", F.floor(64 * F.log(1 + F.col("d2"))).alias("q"))
+    kept = ["scale"] if "scale" in est.columns else []
+    return out.select(*df.columns, *kept, "d2", F.floor(64 * F.log(1 + F.col("d2"))).alias("q"))
 
 
 def estimates(df: DataFrame) -> DataFrame:
@@ -126,7 +135,7 @@ def estimates(df: DataFrame) -> DataFrame:
     median of a group's squared distances to MEDIAN."""
     spots = _spots(df)
     mid = cut(_quantile(spots, [*G, "i"], "v", 1, 2).withColumnRenamed("q", "mid"))
-    dev = spots.join(mid, [*G, "i"]).select(*G, "i", F.abs(F.col("v") - F.col("mid")).alias("v"))
+    dev = _beside(spots, mid, [*G, "i"]).select(*G, "i", F.abs(F.col("v") - F.col("mid")).alias("v"))
     both = mid.join(_quantile(dev, [*G, "i"], "v", 1, 2).withColumnRenamed("q", "mad"), [*G, "i"])
     start = both.groupBy(*G).agg(*[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m{i}") for i in range(P)],
                                  *[F.max(F.when(F.col("i") == i, F.pow(1.4826 * F.col("mad"), F.lit(2.0)) + FLOOR * FLOOR)).alias(f"c{i}{i}") for i in range(P)])
@@ -134,7 +143,7 @@ def estimates(df: DataFrame) -> DataFrame:
     est = cut(_whitened(start))
     for _ in range(STEPS):
         far = _distance(df, est)
-        core = far.join(_quantile(far, G, "q", KEEP_NUM, KEEP_DEN).withColumnRenamed("q", "q_core"), G).where("q <= q_core")
+        core = _beside(far, _quantile(far, G, "q", KEEP_NUM, KEEP_DEN).withColumnRenamed("q", "q_core"), G).where("q <= q_core")
         sums = core.groupBy(*G).agg(F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(XS)],
                                     *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(P) for j in range(i + 1)])
         sums = sums.select(*G, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[f"p{i}{j}" for i in range(P) for j in range(i + 1)])
@@ -156,7 +165,7 @@ def quality(docs: DataFrame) -> DataFrame:
     good = _features(s.where("not base_failed"))
     good = _group(good)
     est = estimates(good.select("doc_id", *G, *XS))
-    judged = _distance(good, est.drop("scale")).drop("q").join(est.select(*G, "scale"), G)
+    judged = _distance(good, est).drop("q")
     judged = judged.withColumn("distance", F.col("d2") / F.col("scale"))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failed = s.where("base_failed").select(*cols, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))

@@ -21,6 +21,7 @@ BODIES = {
     4: ("<article><p>cut &am", "cut &am"),
     5: ("<article><p>a &lt;b&gt; &#233;&#x4e2d; &quot;q&quot;</p><!-- <p>no</p> --><p hidden>gone</p><p>1 &lt; 2</p></article>", 'a <b> é中 "q" 1 < 2'),
     6: ("<article></article>", ""),
+    7: ("<main><h2>List</h2><ul>" + "<li>item" * 40 + "</ul><table><tr><td>a<td>b</table></main>", "List" + " item" * 40 + " a b"),
 }
 
 
@@ -43,7 +44,7 @@ def test_marginals_are_exact(pages):
     """Sum-product on a tree equals the sum over all labellings."""
     import itertools
     import math
-    model = html_extract.Model({"tag=p|1": 5, "tag=p|0": 2, "tag=div|0": 4, "edge=plain,0|0": 9, "edge=plain,0|1": 1, "edge=plain,1|1": 6, "edge=plain,1|0": 2})
+    model = html_extract.Model({"article:tag=p|1": 5, "article:tag=p|0": 2, "top:tag=p|0": 3, "top:tag=div|0": 4, "edge=plain,0|0": 9, "edge=plain,0|1": 1, "edge=plain,1|1": 6, "edge=plain,1|0": 2})
     nodes, _ = html_extract.parse("<div><p>aa<p>b</div><article><p>ccc</article><ul><li>x</ul>")
     zero = (0.0, 0.0)
     weight = [0.0] * len(nodes)
