@@ -1,4 +1,11 @@
-"""Repeated runs of lines, found by winnowing and removed from all but their first place.
+"""Repeated passages and repeated runs of lines, found by winnowing and removed from all but their first place.
+
+Passages (``dedup_passages``) are runs of MIN_WORDS words or more, wherever they begin and end. Of each MIN_WORDS words the smallest hash
+of GRAM words is the fingerprint; the words around a fingerprint for which it is the smallest are its context. Positions with equal
+fingerprints are joined. Equal contexts match as a whole; where contexts of a fingerprint differ, all runs of MIN_WORDS words in them are
+compared, which extends a match word by word to both sides, up to where the texts differ.
+
+Runs of whole lines (``dedup_lines``) are found as follows.
 
 A text is a sequence of lines; long lines are cut after sentences, so that a passage inside a line is seen too. A window is a
 shortest run of lines with at least MIN_WORDS words, seen from its first or from its last line. The smallest line hash of each
@@ -16,8 +23,10 @@ from roadpoints.llm.registry import query, table
 from roadpoints.llm.textnum import PLAIN, Words, line_edges, slices, texts
 from roadpoints.session import cut
 
-#: words from which on a repeated run of lines is removed
+#: words from which on a repeated run of lines or words is removed
 MIN_WORDS = 30
+#: words of a fingerprint of passages, at most
+GRAM = 8
 
 
 class Lines:
@@ -124,6 +133,135 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.select("doc_id", begin.alias("b"), "e").where("b < e")
 
 
+def _windows(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, first word) of all runs of ``least`` words within a text."""
+    counts = np.maximum(np.diff(w.first) - least + 1, 0)
+    text = np.repeat(np.arange(len(counts)), counts)
+    return text, w.first[:-1][text] + np.arange(len(text)) - (np.cumsum(counts) - counts)[text]
+
+
+def _contexts(least: int):
+    """(doc_id, p, n, fp, digest): the fingerprints of each text, with the ``n`` runs of ``least`` words from word ``p`` on that have it in common
+    and the digest of all their words."""
+    size = min(GRAM, least)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = texts(batch.column(1))
+            ids = batch.column(0).cast(pa.int64())
+            for i, j in slices(offsets):
+                w = Words(data, offsets, i, j, PLAIN)
+                text, at = _windows(w, least)
+                if not len(at):
+                    continue
+                begin = np.arange(len(w.start) - size + 1)
+                gram = w.gram(begin, begin + size)  # those across texts lie in no window
+                low, reach = begin, 1  # the last of the smallest of gram[k..k+reach-1], for twice as long runs each time
+                while reach < least - size + 1:
+                    step = min(reach, least - size + 1 - reach)
+                    a, b = low[:len(low) - step], low[step:]
+                    low, reach = np.where(gram[b] <= gram[a], b, a), reach + step
+                low = low[at]
+                new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (text[1:] != text[:-1])]))
+                n = np.diff(np.append(new, len(at)))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[new] + i)), pa.array((at[new] - w.first[text[new]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(gram[low[new]].view(np.int64)),
+                                                  pa.array(w.gram(at[new], at[new] + n + least - 1).view(np.int64))], names=["doc_id", "p", "n", "fp", "digest"])
+    return run
+
+
+def _spelled(least: int):
+    """Batches of (doc_id, text, spots): (doc_id, p, fp, digest) of every run of ``least`` words of the spots (fp, p, n)."""
+    def run(batches):
+        for batch in batches:
+            data, offsets = texts(batch.column(1))
+            ids, lists = batch.column(0), batch.column(2)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            spots = lists.flatten()
+            fp, p, n = (spots.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for i, j in slices(offsets):
+                w = Words(data, offsets, i, j, PLAIN)
+                text, some = np.repeat(np.arange(j - i), np.diff(ends[i:j + 1])), slice(ends[i], ends[j])
+                fits = p[some] + n[some] + least - 1 <= np.diff(w.first)[text]  # else it is of another row of equal doc_id
+                text, f, q, m = text[fits], fp[some][fits], p[some][fits].astype(np.int64), n[some][fits].astype(np.int64)
+                k = np.repeat(np.arange(len(text)), m)
+                at = q[k] + np.arange(len(k)) - (np.cumsum(m) - m)[k]
+                word = w.first[text[k]] + at
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[k] + i)), pa.array(at.astype(np.int32)), pa.array(f[k]), pa.array(w.gram(word, word + least).view(np.int64))], names=["doc_id", "p", "fp", "digest"])
+    return run
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, b, e): runs of words of ``docs`` (doc_id, text) that are in some run of ``min_words`` words which stands earlier, in a document of
+    smaller doc_id or in the same one. In the document of the first place only what lies behind that place is a repeat.
+    """
+    own = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    rows = cut(own.mapInArrow(_contexts(min_words), "doc_id long, p int, n int, fp long, digest long"))
+    # tables of their own, so that both sides of the joins are plain exchanges and a hot fingerprint can be split
+    shared = cut(rows.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp"))
+    spots = cut(rows.join(shared, "fp", "left_semi"))
+    place = F.struct("doc_id", "p")
+
+    def behind(words):
+        return F.when(F.col("doc_id") == F.col("f.doc_id"), F.greatest("p", F.col("f.p") + min_words)).otherwise(F.col("p")).alias("b"), (F.col("p") + words).alias("e")
+
+    kinds = cut(spots.groupBy("fp", "digest").agg(F.min(place).alias("f"), F.first("n").alias("n"), F.count("*").alias("k")))
+    whole = spots.drop("n").join(kinds.where("k > 1"), ["fp", "digest"]).where(place > F.col("f")).select("doc_id", *behind(F.col("n") + min_words - 1))
+    # of equal contexts the first stands for all: what is repeated in the others is gone already
+    mixed = cut(kinds.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp"))
+    asked = kinds.join(mixed, "fp", "left_semi").groupBy("f.doc_id").agg(F.collect_set(F.struct("fp", "f.p", "n")).alias("spots"))
+    runs = cut(own.join(asked, "doc_id").mapInArrow(_spelled(min_words), "doc_id long, p int, fp long, digest long"))
+    firsts = cut(runs.groupBy("fp", "digest").agg(F.min(place).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    part = runs.join(firsts, ["fp", "digest"]).where(place > F.col("f")).select("doc_id", *behind(F.lit(min_words)))
+    return whole.unionByName(part)
+
+
+def _without(names: list[str], gone: str):
+    """As ``_removed`` for runs of words: lines are removed of which no word is left, and what else of a line is no repeat stays."""
+    def run(batches):
+        for batch in batches:
+            at = names.index("text")
+            data, offsets = texts(batch.column(at))
+            runs = batch.column(len(names))
+            for i, j in slices(offsets):
+                lines = Lines(data, offsets, i, j)
+                w, raw = lines.words, lines.words.data.tobytes()
+                out, count, left = [], np.diff(lines.first), np.ones(len(w.start) + 1, bool)
+                for d, own in enumerate(runs.slice(i, j - i).to_pylist()):
+                    lo, hi, begin, stop = int(w.first[d]), int(w.first[d + 1]), int(w.at[d]), int(w.at[d + 1])
+                    parts = []
+                    for b, e in _union(own or ()):
+                        b, e = lo + b, min(lo + e, hi)
+                        if b >= e:  # a run of another row of equal doc_id
+                            continue
+                        left[b:e] = False
+                        head = begin if b == lo else int(w.end[b - 1])
+                        if b == lo or b"\n" in raw[head:w.start[b]]:  # from the begin of a line on the white space behind goes, else that before
+                            parts.append(raw[begin:head if b == lo else w.start[b]])
+                            begin = int(w.start[e]) if e < hi else stop
+                        else:
+                            parts.append(raw[begin:head])
+                            begin = int(w.end[e - 1])
+                    parts.append(raw[begin:stop])
+                    out.append(b"".join(parts).decode("utf-8"))
+                kept = np.add.reduceat(left[:-1].astype(np.int64), lines.word[:-1]) if len(lines.begin) else np.zeros(0, np.int64)
+                less = np.diff(np.concatenate([[0], np.cumsum(kept == 0)])[lines.first])
+                cols = [c.slice(i, j - i) for c in batch.columns[:len(names)]]
+                cols[at] = pa.array([t if v else None for t, v in zip(out, cols[at].is_valid().to_pylist())], pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(less, pa.int64())], names=[*names, "_lines", "_removed"])
+    return run
+
+
+def _union(runs) -> list[list[int]]:
+    """Runs (b, e) that touch or overlap as one, in order."""
+    out: list[list[int]] = []
+    for b, e in sorted((r["b"], r["e"]) for r in runs):
+        if out and b <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([b, e])
+    return out
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) without its repeated runs of lines of at least ``min_words`` words.
 
@@ -131,16 +269,28 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = True
     of these names are replaced. A null text stays null, an empty one empty; a document that only repeats others becomes empty, and no
     row is dropped. Rows with a null doc_id stay as they are. Rows of equal doc_id are one place: runs that are removed from one are removed from all.
     """
+    return _dedup(docs, repeated_runs(docs, min_words), _removed, counts)
+
+
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
+    """As ``dedup_lines``, for all repeated runs of at least ``min_words`` words, wherever in a line they begin and end.
+
+    n_removed counts the lines of which no word is left; of other lines the words that are no repeat stay as they are.
+    """
+    return _dedup(docs, repeated_passages(docs, min_words), _without, counts)
+
+
+def _dedup(docs: DataFrame, repeats: DataFrame, remove, counts: bool) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")] if counts else docs.columns
     gone = "_gone" + "_" * max(len(c) for c in names)
-    runs = repeated_runs(docs, min_words).groupBy("doc_id").agg(F.collect_set(F.struct("b", "e")).alias(gone))
+    runs = repeats.groupBy("doc_id").agg(F.collect_set(F.struct("b", "e")).alias(gone))
     both = docs.select(names).join(runs.withColumnRenamed("doc_id", gone + "id"), F.col("doc_id").cast("long") == F.col(gone + "id"), "left").drop(gone + "id")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name != gone)
-    out = both.select(*names, gone).mapInArrow(_removed(names, gone), f"{fields}, _lines long, _removed long")
+    out = both.select(*names, gone).mapInArrow(remove(names, gone), f"{fields}, _lines long, _removed long")
     return out.withColumnsRenamed({"_lines": "n_lines", "_removed": "n_removed"}) if counts else out.select(names)
 
 
 @query("op1_line_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after the removal, and how many lines it had and lost."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
