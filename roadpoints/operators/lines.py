@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -13,7 +12,8 @@ from roadpoints.operators import stats as S
 from roadpoints.operators.celljoin import KEYS, near_join, segment_cells
 from roadpoints.operators.graph import line_crossings
 from roadpoints.operators.links import lines_near
-from roadpoints.session import cut
+from roadpoints.operators.sequence import ranked
+from roadpoints.session import cut, cut_counting
 
 
 def line_shape(vertices: DataFrame, keys: Sequence[str] = KEYS, line_id: str = "road_id") -> DataFrame:
@@ -68,24 +68,35 @@ def combined_importance(basic: float, curvature, connectivity, flow):
 
 def place_sites(candidates: DataFrame, bounds: DataFrame, radius: float = 50.0, target: float = 0.95, grid: float = 10.0,
                 keys: Sequence[str] = KEYS) -> DataFrame:
-    """Greedy placement per layer: each round adds the candidate that covers most new area, until the target ratio
-    or until no candidate gains. Covered cells leave the table, so later rounds are cheaper."""
+    """Greedy placement per layer: ``round`` numbers the sites in the order in which each adds most new area, ties by ``ord``, until the
+    target ratio or until no candidate gains.
+
+    A candidate that gains more than all others that share a free cell with it is placed before them whatever happens elsewhere, and gains
+    never grow. So all such candidates are placed at once, and the order by gain is the greedy order.
+    """
     k = list(keys)
-    free = cut(S.coverage_cells(bounds, grid, keys))
-    total = free.groupBy(*k).agg(F.count(F.lit(1)).alias("_all"))
+    grid_cells = cut(S.coverage_cells(bounds, grid, keys))
+    hits = cut(near_join(grid_cells, candidates.select(*k, "x", "y", "ord"), radius, keys).select(*k, "gi", "gj", F.col("r_ord").alias("ord")))
     parts = []
-    for i in itertools.count():
-        hits = near_join(free, candidates.select(*k, "x", "y", "ord"), radius, keys)
-        gain = hits.groupBy(*k, "r_ord", "r_x", "r_y").agg(F.count(F.lit(1)).alias("n"))
-        best = cut(gain.groupBy(*k).agg(F.max(F.struct("n", (-F.col("r_ord")).alias("o"), "r_x", "r_y")).alias("b")).select(
-            *k, F.lit(i + 1).alias("round"), (-F.col("b.o")).alias("ord"), F.col("b.r_x").alias("x"), F.col("b.r_y").alias("y"), (F.col("b.n") * grid * grid).alias("gain_area")))
-        parts.append(best)
-        left = near_join(free, best.select(*k, "x", "y"), radius, keys, how="left_anti")
-        open_ = left.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).join(total, k).where(F.col("_n") > (1 - target) * F.col("_all")).select(*k)
-        free = cut(left.join(open_, k, "left_semi").join(best.select(*k), k, "left_semi"))
-        if free.isEmpty():
+    while True:
+        gain = hits.groupBy(*k, "ord").agg(F.count(F.lit(1)).alias("n"))
+        best = cut(hits.join(gain, [*k, "ord"]).groupBy(*k, "gi", "gj").agg(F.max(F.struct("n", (-F.col("ord")).alias("o"))).alias("b")).select(*k, "gi", "gj", "b.n", (-F.col("b.o")).alias("ord")))
+        placed = cut(best.groupBy(*k, "ord", "n").agg(F.count(F.lit(1)).alias("_won")).where("_won = n").drop("_won"))
+        parts.append(placed)
+        gone = hits.join(placed, [*k, "ord"], "left_semi").select(*k, "gi", "gj").distinct()
+        hits, left = cut_counting(hits.join(gone, [*k, "gi", "gj"], "left_anti"))
+        if not left:
             break
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    order = ranked(out, "n", keys, "round")
+    upto = grid_cells.groupBy(*k).agg(F.count(F.lit(1)).alias("_all"))
+    # sums before a site from those of equal gains: fewer rows a layer than a disc has cells
+    step = order.groupBy(*k, "n").agg(F.count(F.lit(1)).alias("_m"), F.min("round").alias("_r"))
+    before = F.sum(F.col("n") * F.col("_m")).over(Window.partitionBy(*k).orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    step = step.withColumn("_b", F.coalesce(before, F.lit(0))).drop("_m")
+    open_ = F.col("_all") - F.col("_b") - (F.col("round") - F.col("_r")) * F.col("n")
+    kept = order.join(step, [*k, "n"]).join(upto, k).where((F.col("round") == 1) | (open_ > (1 - target) * F.col("_all")))
+    at = candidates.select(*k, "ord", "x", "y")
+    return kept.join(at, [*k, "ord"]).select(*k, F.col("round").cast("int").alias("round"), "ord", "x", "y", (F.col("n") * grid * grid).alias("gain_area"))

@@ -199,7 +199,7 @@ def q01(spark, sf):
 @query("m15_site_placement")
 def m15(spark, sf):
     from roadpoints.operators.lines import place_sites
-    return place_sites(T.reference_points(spark, sf), T.districts(spark, sf), 50.0, target=0.03).select("layer_id", "round", "ord", "gain_area")
+    return place_sites(T.reference_points(spark, sf), T.districts(spark, sf), 50.0).select("layer_id", "round", "ord", "gain_area")
 
 
 FEET = """f AS MATERIALIZED (SELECT layer_id, ord, CASE WHEN dh <= dv THEN x ELSE 200 * round(x / 200) END AS x, CASE WHEN dh <= dv THEN 200 * round(y / 200) ELSE y END AS y
