@@ -26,10 +26,12 @@ PRIOR, SMOOTH, MOST = 50.0, 0.5, 1.0
 _WORD = re.compile(r"[A-Za-z]+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])(?:hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_UNSHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none(?![\w-])", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math canvas object audio video xmp noframes noembed".split())
+_ENDS_RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 #: elements whose content is never text of the page
 DROP = RAW | frozenset("head form button select option label fieldset datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -70,6 +72,30 @@ def _names(attrs: str) -> str:
     return "other" if words & OTHER_WORDS else "content" if words & CONTENT_WORDS else "some" if words else "none"
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether an attribute of its own hides the element: hidden, aria-hidden=true or a style of display:none."""
+    low = attrs.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):  # of equal names the first counts
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSHOWN.search(found.get("style", "")))
+
+
+def _tokens(html: str):
+    """Tags and comments; after the start tag of a raw element only its end tag is looked for, and nothing comes if there is none."""
+    at = 0
+    while m := _TOKEN.search(html, at):
+        yield m
+        at = m.end()
+        if m[2] and not m[1] and m[2].lower() in RAW and not m[3].endswith("/"):
+            end = _ENDS_RAW[m[2].lower()].search(html, at)
+            if end is None:
+                return
+            at = end.start()
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """(block nodes, parents before children; (node, text) pieces in page order). Ill-formed and cut-off pages are read as far as they go."""
     nodes, pieces = [Node("root", -1, "none", "top")], []
@@ -87,10 +113,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes[node].linked += n
 
     skip = None
-    for m in _TOKEN.finditer(html):
-        if skip:  # inside raw text only its end tag counts
-            if not (m[1] and m[2].lower() == skip):
-                continue
+    for m in _tokens(html):
+        if skip:  # this is its end tag
             skip, at = None, m.start()
         if m.start() > at:
             text(html[at:m.start()])
@@ -124,7 +148,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 del open_[k:]
                 break
         top = open_[-1]
-        dropped = top[2] or tag in DROP or bool(_HIDDEN.search(m[3]))
+        dropped = top[2] or tag in DROP or _hidden(m[3])
         links = 0 if not top[2] else links
         if tag in RAW and not m[3].endswith("/"):
             skip = tag
