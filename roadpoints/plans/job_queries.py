@@ -229,9 +229,8 @@ def j44(spark, sf):
     k AS (SELECT *, floor(m / 200) AS part FROM s WHERE m < 2000 AND m % 200 <> 0)
     SELECT layer_id, min(ord) AS ord1, max(ord) AS ord2, round(max(m) - min(m), 6) AS distance, 'same_segment' AS type FROM k GROUP BY layer_id, line, part HAVING count(*) = 2"""))
 def g25(spark, sf):
-    # sites exactly on a junction, or as near to two streets, have no single segment and are left out on both sides
+    # a site as near to two streets counts on the one of the smaller number, one on a junction in the part that begins there
     n = L.nearest_segment(T.points(spark, sf), T.streets(spark, sf), cap=2.0).where("near_line is not null")
-    n = n.where("abs(x - 200 * round(x / 200)) <> abs(y - 200 * round(y / 200)) and measure < 2000 and measure % 200 <> 0")
     k = n.withColumn("part", F.floor(F.col("measure") / 200)).groupBy("layer_id", "near_line", "part").agg(
         F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord1"), F.max("ord").alias("ord2"), R6(F.max("measure") - F.min("measure")).alias("distance"))
     return k.where("n = 2").select("layer_id", "ord1", "ord2", "distance", F.lit("same_segment").alias("type"))

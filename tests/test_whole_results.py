@@ -40,3 +40,27 @@ def test_site_placement_query_has_no_lower_target(spark):
     sf = "/root/testdata/sf0.001"
     share = sum(r["gain_area"] for r in Q.m15(spark, sf).where("layer_id = 0").collect()) / (179 * 179 * 100)
     assert share > 0.3
+
+
+def street_tables(monkeypatch, spark, sites):
+    from roadpoints.plans import tables as T
+    streets = [(1, k + t, *((0.0, k * 200.0, 2001.0, k * 200.0) if t == 0 else (k * 200.0, 0.0, k * 200.0, 2001.0)), 6.0) for k in range(11) for t in (0, 100)]
+    line = spark.createDataFrame(streets, "layer_id long, road_id long, x1 double, y1 double, x2 double, y2 double, half_width double")
+    at = spark.createDataFrame([(1, k, x, y, "curve", "view") for k, (x, y) in sites.items()], "layer_id long, ord long, x double, y double, category string, kind string")
+    monkeypatch.setattr(T, "points", lambda *a: at)
+    monkeypatch.setattr(T, "streets", lambda *a: line)
+
+
+def test_same_segment_pairs_leave_out_no_site(spark, monkeypatch):
+    """On a junction, as near to two streets, and past 2,000 m; a part with a third site has no pair, since it lies between."""
+    from roadpoints.plans import job_queries as Q
+    street_tables(monkeypatch, spark, {1: (200.0, 400.0), 2: (250.0, 401.0), 3: (601.0, 601.0), 4: (650.0, 600.0), 5: (2000.25, 800.0), 6: (2000.75, 800.5), 7: (10.0, 1000.0), 8: (20.0, 1000.0), 9: (0.0, 1000.0)})
+    got = sorted((r["ord1"], r["ord2"], r["distance"], r["type"]) for r in Q.g25(spark, "").collect())
+    assert got == [(1, 2, 50.0, "same_segment"), (3, 4, 49.0, "same_segment"), (5, 6, 0.5, "same_segment")]
+
+
+def test_direct_connections_list_connected_lines(spark, monkeypatch):
+    from roadpoints.plans import graph_queries as Q
+    street_tables(monkeypatch, spark, {1: (150.0, 400.0), 2: (600.0, 990.0), 3: (610.0, 1400.0), 4: (690.0, 1400.0)})
+    got = sorted((r["ord1"], r["ord2"], round(r["distance"], 3), r["type"]) for r in Q.g26(spark, "").collect())
+    assert got == [(1, 2, round(math.hypot(450, 590), 3), "connected_lines"), (3, 4, 80.0, "same_line")]
