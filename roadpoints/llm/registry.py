@@ -7,7 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("line_dedup", "html_extract", "quality_rules", "minmax_dedup", "decontaminate", "token_counts", "warc", "url_filter", "bpe_codec", "pii")
+MODULES = ("line_dedup", "html_extract", "quality_rules", "minmax_dedup", "decontaminate", "token_counts", "warc", "url_filter", "bpe_codec", "pii",
+           "multi_index", "permuterm", "collocations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
