@@ -24,7 +24,7 @@ from roadpoints.session import cut
 #: occurrences of a candidate at least, phrases returned for each language, and the share of a longer phrase, in hundredths, from which on a phrase is part of it
 LEAST, TOP, INSIDE = 10, 2000, 50
 #: phrases that a task holds before it hands them on, and automata it holds before it unites them
-MOST, HELD = 1_500_000, 16
+MOST, HELD = 600_000, 6
 #: bytes of text for each place (a prefix range's share); the number of places follows the table
 PLACE_BYTES = 4 << 20
 #: bits of the filter of frequent pairs; its size does not depend on the data
