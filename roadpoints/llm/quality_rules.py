@@ -69,11 +69,10 @@ def _features(s: DataFrame) -> DataFrame:
     return s.withColumns({"x0": share("word_chars"), "x1": share("n_symbols"), "x2": share("n_upper"), "x3": share("n_dup_lines"), "x4": share("n_repeat_words")})
 
 
-def _quantile(df: DataFrame, keys: list[str], value: str, num: int, den: int) -> DataFrame:
-    """keys and q: the smallest value that num / den of a key's rows do not exceed. Values are whole numbers of a bounded range, so a
-    key has a bounded number of counted values."""
+def _quantile(counts: DataFrame, keys: list[str], value: str, num: int, den: int) -> DataFrame:
+    """keys and q: the smallest value that num / den of a key's rows do not exceed, of ``counts`` (keys, value, n). Values are whole numbers of a
+    bounded range, so a key has a bounded number of them."""
     w = Window.partitionBy(*keys)
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
     counts = counts.withColumns({"c": F.sum("n").over(w.orderBy(value)), "all": F.sum("n").over(w)})
     return counts.where(F.col("c") * den >= F.col("all") * num).groupBy(*keys).agg(F.min(value).alias("q"))
 
@@ -97,8 +96,10 @@ def _group(df: DataFrame) -> DataFrame:
 G = ["g_lang", "g_source"]
 
 
-def _spots(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", *G, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("v")) for i, x in enumerate(XS)])).alias("f")).select("doc_id", *G, "f.i", "f.v")
+def _marginals(df: DataFrame) -> DataFrame:
+    """(group, i, v, n): how many documents of a group have the value v of feature i, from one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(x).alias("v")) for i, x in enumerate(XS)]))
+    return df.select(*G, each.alias("f")).groupBy(*G, "f.i", "f.v").agg(F.count("*").alias("n"))
 
 
 def _whitened(m: DataFrame) -> DataFrame:
@@ -133,23 +134,27 @@ def _distance(df: DataFrame, est: DataFrame) -> DataFrame:
 def estimates(df: DataFrame) -> DataFrame:
     """The MCD estimate of every group of ``df`` (g_lang, g_source, x0..x4), as _whitened() gives it, and ``scale``, which brings the
     median of a group's squared distances to MEDIAN."""
-    spots = _spots(df)
-    mid = cut(_quantile(spots, [*G, "i"], "v", 1, 2).withColumnRenamed("q", "mid"))
-    dev = _beside(spots, mid, [*G, "i"]).select(*G, "i", F.abs(F.col("v") - F.col("mid")).alias("v"))
-    both = mid.join(_quantile(dev, [*G, "i"], "v", 1, 2).withColumnRenamed("q", "mad"), [*G, "i"])
+    counts = cut(_marginals(df))  # small from here to the start
+    mid = _quantile(counts, [*G, "i"], "v", 1, 2).withColumnRenamed("q", "mid")
+    dev = counts.join(mid, [*G, "i"]).groupBy(*G, "i", "mid", F.abs(F.col("v") - F.col("mid")).alias("v")).agg(F.sum("n").alias("n"))
+    both = _quantile(dev, [*G, "i", "mid"], "v", 1, 2).withColumnRenamed("q", "mad")
     start = both.groupBy(*G).agg(*[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m{i}") for i in range(P)],
                                  *[F.max(F.when(F.col("i") == i, F.pow(1.4826 * F.col("mad"), F.lit(2.0)) + FLOOR * FLOOR)).alias(f"c{i}{i}") for i in range(P)])
     start = start.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)})
     est = cut(_whitened(start))
+    parts = [f"s{i}" for i in range(P)] + [f"p{i}{j}" for i in range(P) for j in range(i + 1)]
+    w = Window.partitionBy(*G)
     for _ in range(STEPS):
-        far = _distance(df, est)
-        core = _beside(far, _quantile(far, G, "q", KEEP_NUM, KEEP_DEN).withColumnRenamed("q", "q_core"), G).where("q <= q_core")
-        sums = core.groupBy(*G).agg(F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(XS)],
-                                    *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(P) for j in range(i + 1)])
+        # sums of each bin of distances; the core is the bins up to the one in which its share of the group is reached
+        bins = _distance(df, est).groupBy(*G, "q").agg(F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(XS)],
+                                                       *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i in range(P) for j in range(i + 1)])
+        bins = bins.withColumns({"before": F.coalesce(F.sum("n").over(w.orderBy("q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("n").over(w)})
+        core = bins.where(F.col("before") * KEEP_DEN < F.col("all") * KEEP_NUM)
+        sums = core.groupBy(*G).agg(F.sum("n").cast("double").alias("n"), *[F.sum(c).alias(c) for c in parts])
         sums = sums.select(*G, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[f"p{i}{j}" for i in range(P) for j in range(i + 1)])
         cov = lambda i, j: F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (FLOOR * FLOOR if i == j else 0.0)
         est = cut(_whitened(sums.select(*G, *[f"m{i}" for i in range(P)], *[cov(i, j).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])))
-    half = _quantile(_distance(df, est), G, "q", 1, 2)
+    half = _quantile(_distance(df, est).groupBy(*G, "q").agg(F.count("*").alias("n")), G, "q", 1, 2)
     return cut(est.join(half.select(*G, F.greatest((F.exp((F.col("q") + 1) / 64) - 1) / MEDIAN, F.lit(1.0)).alias("scale")), G))
 
 
@@ -163,7 +168,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """
     s = cut(statistics(docs).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))))
     good = _features(s.where("not base_failed"))
-    good = _group(good)
+    good = cut(_group(good))  # every step reads it
     est = estimates(good.select("doc_id", *G, *XS))
     judged = _distance(good, est).drop("q")
     judged = judged.withColumn("distance", F.col("d2") / F.col("scale"))
