@@ -118,6 +118,21 @@ def groups(edges: DataFrame) -> DataFrame:
     return label.select("node", F.col("c").alias("component"))
 
 
+def regrouped(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after ``links`` (u, v) have joined more nodes: only the components that they join are gone through anew."""
+    if label is None:
+        return groups(links)
+    at = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    ends = links.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    joined, n = cut_counting(ends.where("u <> v").distinct())
+    if not n:
+        return label
+    top = groups(joined)
+    old = label.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    # nodes without a label are components of their own
+    return cut(old.unionByName(top.join(label.select("node"), "node", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -190,9 +205,10 @@ def _components(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     tried = cut(members.where("node <> leader").where(fits).groupBy(F.col("node").alias("v")).agg(F.min("leader").alias("u")).select("u", "v"))
     links, n_links = cut_counting(confirmed(tried, sets))
+    label = groups(links) if n_links else None
     before = used = None
     while True:
-        named = _named(members, groups(links) if n_links else None)
+        named = _named(members, label)
         parts = named.groupBy(*bucket, "component").agg(F.count("*").alias("k"))
         parts = parts.groupBy(*bucket).agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"))
         parts = parts.where("all * all > same").withColumn("heavy", F.col("all") * F.col("all") - F.col("same") > 2 * SPREAD * F.col("all"))
@@ -213,8 +229,7 @@ def _components(members: DataFrame, sets: DataFrame) -> DataFrame:
         more, n_more = cut_counting(confirmed(new, sets))
         tried = cut(tried.unionByName(new))
         if n_more:
-            links, n_links = cut(links.unionByName(more)), n_links + n_more
-    label = groups(links) if n_links else None
+            label = regrouped(label, more)
     # buckets with few open pairs for each member: these pairs; the others: pairs with a rare shingle in common
     few = named.join(parts.where("not heavy").select(*bucket), bucket)
     other = few.select(*bucket, F.col("node").alias("leader"), F.col("n").alias("m"), F.col("component").alias("other"))
@@ -224,7 +239,7 @@ def _components(members: DataFrame, sets: DataFrame) -> DataFrame:
         rest = rest.unionByName(pairs_of(_prefix_pairs(crowd, sets))).distinct()
     more, n_more = cut_counting(confirmed(cut(rest.join(tried, ["u", "v"], "left_anti")), sets))
     if n_more:
-        label = groups(links.unionByName(more) if n_links else more)
+        label = regrouped(label, more)
     return label if label is not None else members.select("node", F.col("node").alias("component")).distinct()
 
 
