@@ -24,7 +24,7 @@ from roadpoints.session import cut
 #: occurrences of a candidate at least, phrases returned for each language, and the share of a longer phrase, in hundredths, from which on a phrase is part of it
 LEAST, TOP, INSIDE = 10, 2000, 50
 #: phrases that a task holds before it hands them on, and automata it holds before it unites them
-MOST, HELD = 600_000, 6
+MOST, HELD = 300_000, 4
 #: bytes of text for each place (a prefix range's share); the number of places follows the table
 PLACE_BYTES = 4 << 20
 #: bits of the filter of frequent pairs; its size does not depend on the data
@@ -39,15 +39,21 @@ _NONE = np.uint64(0)
 
 def _sorted(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct rows of small numbers in order, with the sums of ``n``."""
+    if len(a) and max(int(a.max()), int(b.max()), int(c.max())) < 1 << 21:  # three numbers in one
+        key = (a << 42) | (b << 21) | c
+        key, total = _summed(key, n)
+        return key >> 42, (key >> 21) & 0x1FFFFF, key & 0x1FFFFF, total
     pair, at = np.unique((a << 32) | b, return_inverse=True)
-    key = (at.astype(np.int64) << 32) | c
+    key, total = _summed((at.astype(np.int64) << 32) | c, n)
+    pair = pair[key >> 32]
+    return pair >> 32, pair & 0xFFFFFFFF, key & 0xFFFFFFFF, total
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
-    key = key[first]
-    pair = pair[key >> 32]
-    return pair >> 32, pair & 0xFFFFFFFF, key & 0xFFFFFFFF, total
+    return key[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
 
 
 def _arcs(values: np.ndarray, size: int) -> np.ndarray:
