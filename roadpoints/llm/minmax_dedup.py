@@ -189,7 +189,11 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
     least = F.ceil(F.pow(F.lit(BAND), F.col("other")) - 1e-9)  # smallest size of the other band
     reach = math.ceil(math.log(4 / 3) / math.log(BAND)) + 1
-    front = front.withColumn("own", band).withColumn("other", F.explode(F.sequence(F.col("own") - reach, F.col("own") + reach)))
+    front = front.withColumn("own", band)
+    # only shingles that two components have in front, and only the size bands that have the shingle
+    held = front.groupBy("t").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+    front = front.join(held.select("t", "lo", "hi"), "t")
+    front = front.withColumn("other", F.explode(F.sequence(F.greatest(F.col("own") - reach, "lo"), F.least(F.col("own") + reach, "hi"))))
     front = front.where(F.col("r") <= F.col("n") - F.ceil((F.col("n") + least) * 3 / 7 - 1e-9) + 1).select("t", "own", "other", "node", "n", "component")
     mate = front.select("t", F.col("other").alias("own"), F.col("own").alias("other"), F.col("node").alias("leader"), F.col("n").alias("m"), F.col("component").alias("apart"))
     return front.join(mate, ["t", "own", "other"]).where("node < leader and component <> apart").select("node", "n", "leader", "m").distinct()
