@@ -23,8 +23,8 @@ from roadpoints.session import cut
 
 #: occurrences of a candidate at least, phrases returned for each language, and the share of a longer phrase, in hundredths, from which on a phrase is part of it
 LEAST, TOP, INSIDE = 10, 2000, 50
-#: phrases that a task holds before it hands them on, and automata it holds before it unites them
-MOST, HELD = 300_000, 4
+#: phrases that a task holds before it hands them on, and phrases in new automata from which on they are united with the others
+MOST, HELD = 300_000, 150_000
 #: bytes of text for each place (a prefix range's share); the number of places follows the table
 PLACE_BYTES = 4 << 20
 #: bits of the filter of frequent pairs; its size does not depend on the data
@@ -56,6 +56,14 @@ def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
 
 
+def _pile(held: list[Counts], counts: Counts) -> None:
+    """Adds an automaton to ``held``. All are united when the new ones have as many phrases as the first: a phrase is moved few times."""
+    held.append(counts)
+    size = [len(c.a1) + len(c.a2) + len(c.a3) for c in held]
+    if sum(size[1:]) >= max(size[0], HELD):
+        held[:] = [Counts.union(held)]
+
+
 def _arcs(values: np.ndarray, size: int) -> np.ndarray:
     """Where the arcs of each of ``size`` states begin, and the end; ``values`` are the states of the arcs, in order."""
     return np.searchsorted(values, np.arange(size + 1))
@@ -267,7 +275,6 @@ def _counted(places: Places, shared):
         held: list[Counts] = []
         name: dict[int, tuple[str, str]] = {}
         allowed = None if shared is None else np.frombuffer(shared.value, np.uint8)
-        size = 0
         for batch in batches:
             data, offsets = texts(batch.column(1))
             langs = ["und" if v is None else v for v in batch.column(0).to_pylist()]
@@ -280,13 +287,11 @@ def _counted(places: Places, shared):
                     for h, k in zip(labels.tolist(), first.tolist()):
                         if h not in name:
                             name[h] = (langs[i + t.owner[k]], t.words.text(k, k + 1))
-                held.append(counts)
-                if len(held) >= HELD:
-                    held = [Counts.union(held)]
-                    size = len(held[0].n1) + len(held[0].n2) + len(held[0].n3)
+                _pile(held, counts)
+                size = len(held[0].a1) + len(held[0].a2) + len(held[0].a3)
                 if size > MOST:
                     yield from _pieces(places, Counts.union(held), name if shared is None else None)
-                    held, name, size = [], {}, 0
+                    held, name = [], {}
         if held:
             yield from _pieces(places, Counts.union(held), name if shared is None else None)
     return run
@@ -320,13 +325,11 @@ def _united(least: int):
                     if place is not None:
                         rows.append(close())
                     place, held, name = p, [], {}
-                held.append(Counts.load(data))
+                single = Counts.load(data)
                 if words:
-                    single = held[-1]
                     for h, w, v in zip(single.labels[single.a1[single.n1 > 0]].tolist(), words, langs):
                         name[h] = (v, w)
-                if len(held) >= HELD:
-                    held = [Counts.union(held)]
+                _pile(held, single)
             if len(rows) >= 16:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RANGE_SCHEMA)], schema=_RANGE_SCHEMA)
                 rows = []
@@ -338,7 +341,7 @@ def _united(least: int):
 
 def _ranges(docs: DataFrame, places: Places, n_places: int, least: int, shared=None) -> DataFrame:
     pieces = docs.mapInArrow(_counted(places, shared), _PIECE)
-    tasks = max(min(n_places, 4 * docs.sparkSession.sparkContext.defaultParallelism), n_places // 64)
+    tasks = max(min(n_places, 4096), n_places // 64)
     return cut(pieces.repartition(tasks, "place").sortWithinPartitions("place").mapInArrow(_united(least), _RANGE))
 
 

@@ -148,7 +148,7 @@ def test_collocations(spark, monkeypatch):
     zipf = lambda n: " ".join(f"w{min(int(x), 40)}" + ["", "", "", ".", ",", "\t", "!\n", "É"][int(rng.integers(8))] for x in rng.zipf(1.4, n))
     rows = [(i, zipf(int(rng.integers(0, 120))), ["en", "und", None, "de"][i % 4], "s", 0) for i in range(60)]
     rows += [(1, "New York City " * 30, "en", "", 0), (1, "New York City " * 30, "en", "", 0), (2, "the the the " * 4000, "en", "", 0), (3, None, None, None, None), (4, "", "xx", "", 0), (5, "\x00 odd \x00 odd " * 9, "xx", "", 0)]
-    for most, held in ((300_000, 4), (20, 2)):  # also when tasks hand on often
+    for most, held in ((300_000, 150_000), (20, 30)):  # also when tasks hand on often
         monkeypatch.setattr(collocations, "MOST", most)
         monkeypatch.setattr(collocations, "HELD", held)
         df = collocations.collocations(frame(spark, rows, clashing=True).repartition(4), least=4, top=50)
