@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without repeated runs of lines; every document stays, n_chars follows its new text."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS), counts=False)
+    """Without repeated passages; every document stays, n_chars follows its new text."""
+    out = line_dedup.dedup_passages(docs.select(*COLUMNS), counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
