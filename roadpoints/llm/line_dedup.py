@@ -1,32 +1,36 @@
-"""Repeated passages and repeated runs of lines, found by winnowing and removed from all but their first place.
+"""Repeated passages, found by winnowing and removed from all but their first place.
 
-Passages (``dedup_passages``) are runs of MIN_WORDS words or more, wherever they begin and end. Of each MIN_WORDS words the smallest hash
-of GRAM words is the fingerprint; the words around a fingerprint for which it is the smallest are its context. Positions with equal
-fingerprints are joined. Equal contexts match as a whole; where contexts of a fingerprint differ, all runs of MIN_WORDS words in them are
-compared, which extends a match word by word to both sides, up to where the texts differ.
+Passages are runs of MIN_WORDS words or more, wherever they begin and end. Of each MIN_WORDS words the smallest hash of GRAM words is the
+fingerprint; the words around a fingerprint for which it is the smallest are its context. Positions with equal fingerprints are joined. Equal
+contexts match as a whole; where contexts of a fingerprint differ, all runs of MIN_WORDS words in them are compared, which extends a match
+word by word to both sides, up to where the texts differ.
 
-Runs of whole lines (``dedup_lines``) are found as follows.
-
-A text is a sequence of lines; long lines are cut after sentences, so that a passage inside a line is seen too. A window is a
-shortest run of lines with at least MIN_WORDS words, seen from its first or from its last line. The smallest line hash of each
-window is a fingerprint: two texts that share such a run share its fingerprint. Positions with equal fingerprints are joined, and
-the matching windows around them extend the match to both sides.
+A place is a row's key and a word of it. The key is the doc_id with a 32-bit hash of the text, so that rows of one doc_id with different texts are places of
+their own. Rows without a doc_id come after all others, by a 48-bit hash of their texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from roadpoints.llm.registry import query, table
 from roadpoints.llm.textnum import PLAIN, Words, line_edges, slices, texts
 from roadpoints.session import cut
 
-#: words from which on a repeated run of lines or words is removed
+#: words from which on a repeated run is removed
 MIN_WORDS = 30
-#: words of a fingerprint of passages, at most
+#: words of a fingerprint, at most
 GRAM = 8
+_KEY = ("doc_id", "tag")
+
+
+def _key(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """The key of a row: never null, and the same wherever it is computed."""
+    late = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(text), F.lit(1 << 48))
+    return F.coalesce(F.col(doc_id).cast("long"), late).alias("doc_id"), F.hash(text).alias("tag")
 
 
 class Lines:
@@ -42,96 +46,6 @@ class Lines:
         self.end = edge[owner[fresh] + 1] if len(owner) else np.zeros(0, np.int64)
         self.first = np.searchsorted(fresh, w.first)
 
-    def windows(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first line, end line) of all windows."""
-        n = len(self.begin)
-        if n == 0:
-            z = np.zeros(0, np.int64)
-            return z, z, z
-        text = np.searchsorted(self.first, np.arange(n), "right") - 1
-        lo, hi = self.first[text], self.first[text + 1]
-        a = np.arange(n)
-        e = np.searchsorted(self.word, self.word[:-1] + least)  # from line a: the first end with enough words
-        right = a[e <= hi], e[e <= hi]
-        b = np.searchsorted(self.word, self.word[1:] - least, "right") - 1  # up to line a: the last begin with enough words
-        left = b[b >= lo], a[b >= lo] + 1
-        pairs = np.unique(np.concatenate([np.stack(right, 1), np.stack(left, 1)]), axis=0)
-        return text[pairs[:, 0]], pairs[:, 0], pairs[:, 1]
-
-
-def _fingerprints(least: int):
-    """(doc_id, fp, ctx, twice): the fingerprints of each text with the windows they stand for, as pairs of longs (digest, first line << 32 |
-    end line), and whether two of these windows are equal."""
-    def run(batches):
-        for batch in batches:
-            data, offsets = texts(batch.column(1))
-            ids = batch.column(0).cast(pa.int64())
-            for i, j in slices(offsets):
-                lines = Lines(data, offsets, i, j)
-                text, b, e = lines.windows(least)
-                if not len(text):
-                    continue
-                one = lines.words.gram(lines.word[:-1], lines.word[1:])
-                low = np.minimum.reduceat(np.append(one, np.uint64(0xFFFFFFFFFFFFFFFF)), np.stack([b, e], 1).reshape(-1))[::2]
-                digest = lines.words.gram(lines.word[b], lines.word[e])
-                order = np.lexsort((digest, low, text))
-                text, b, e, low, digest = text[order], b[order], e[order], low[order], digest[order]
-                same = (text[1:] == text[:-1]) & (low[1:] == low[:-1])
-                new = np.flatnonzero(np.concatenate([[True], ~same]))
-                again = np.concatenate([[False], same & (digest[1:] == digest[:-1])])
-                base = lines.first[text]
-                pair = np.stack([digest.view(np.int64), ((b - base) << 32) | (e - base)], 1).reshape(-1)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[new] + i)), pa.array(low[new].view(np.int64)),
-                                                  pa.ListArray.from_arrays(pa.array(np.append(new, len(text)) * 2, pa.int32()), pa.array(pair)),
-                                                  pa.array(np.logical_or.reduceat(again, new))], names=["doc_id", "fp", "ctx", "twice"])
-    return run
-
-
-def _removed(names: list[str], gone: str):
-    """Batches of documents with a column ``gone`` (runs of lines to remove, or null): text, n_lines, n_removed after the other columns."""
-    def run(batches):
-        for batch in batches:
-            at = names.index("text")
-            data, offsets = texts(batch.column(at))
-            runs = batch.column(len(names))
-            for i, j in slices(offsets):
-                lines = Lines(data, offsets, i, j)
-                raw = lines.words.data.tobytes()
-                out, count, less = [], np.diff(lines.first), []
-                for d, own in enumerate(runs.slice(i, j - i).to_pylist()):
-                    lo, begin, stop = int(lines.first[d]), int(lines.words.at[d]), int(lines.words.at[d + 1])
-                    drop = sorted({k for r in own or () for k in range(r["b"], r["e"])})
-                    parts = []
-                    for k in drop:
-                        parts.append(raw[begin:lines.begin[lo + k]])
-                        begin = int(lines.end[lo + k])
-                    parts.append(raw[begin:stop])
-                    out.append(b"".join(parts).decode("utf-8"))
-                    less.append(len(drop))
-                cols = [c.slice(i, j - i) for c in batch.columns[:len(names)]]
-                cols[at] = pa.array([t if v else None for t, v in zip(out, cols[at].is_valid().to_pylist())], pa.string())
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(less, pa.int64())], names=[*names, "_lines", "_removed"])
-    return run
-
-
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, b, e): runs of lines of ``docs`` (doc_id, text) that stand earlier in a document of smaller doc_id or in the same one.
-
-    Lines are counted per document, without those that have no word; they are equal if their words are. In the document of the first
-    place only what lies behind that place is a repeat.
-    """
-    rows = cut(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-               .mapInArrow(_fingerprints(min_words), "doc_id long, fp long, ctx array<long>, twice boolean"))
-    # tables of their own, so that both sides of the joins are plain exchanges and a hot fingerprint can be split
-    shared = cut(rows.groupBy("fp").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("fp"))
-    each = F.explode(F.expr("transform(sequence(0, size(ctx) div 2 - 1), i -> struct(ctx[2 * i] as digest, int(shiftright(ctx[2 * i + 1], 32)) as b, int(ctx[2 * i + 1] & 4294967295L) as e))"))
-    spots = cut(rows.join(shared, "fp", "left_semi").select("fp", "doc_id", each.alias("w")).select("fp", "doc_id", "w.*"))
-    place = F.struct("doc_id", "b", "e")
-    firsts = cut(spots.groupBy("fp", "digest").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = spots.join(firsts, ["fp", "digest"]).where(place > F.col("f"))
-    begin = F.when(F.col("doc_id") == F.col("f.doc_id"), F.greatest("b", "f.e")).otherwise(F.col("b"))
-    return later.select("doc_id", begin.alias("b"), "e").where("b < e")
-
 
 def _windows(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, first word) of all runs of ``least`` words within a text."""
@@ -141,14 +55,14 @@ def _windows(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(least: int):
-    """(doc_id, p, n, fp, digest): the fingerprints of each text, with the ``n`` runs of ``least`` words from word ``p`` on that have it in common
+    """(doc_id, tag, p, n, fp, digest): the fingerprints of each text, with the ``n`` runs of ``least`` words from word ``p`` on that have it in common
     and the digest of all their words."""
     size = min(GRAM, least)
 
     def run(batches):
         for batch in batches:
-            data, offsets = texts(batch.column(1))
-            ids = batch.column(0).cast(pa.int64())
+            data, offsets = texts(batch.column(2))
+            key = batch.columns[:2]
             for i, j in slices(offsets):
                 w = Words(data, offsets, i, j, PLAIN)
                 text, at = _windows(w, least)
@@ -164,75 +78,80 @@ def _contexts(least: int):
                 low = low[at]
                 new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (text[1:] != text[:-1])]))
                 n = np.diff(np.append(new, len(at)))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[new] + i)), pa.array((at[new] - w.first[text[new]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(gram[low[new]].view(np.int64)),
-                                                  pa.array(w.gram(at[new], at[new] + n + least - 1).view(np.int64))], names=["doc_id", "p", "n", "fp", "digest"])
+                yield pa.RecordBatch.from_arrays([*[k.take(pa.array(text[new] + i)) for k in key], pa.array((at[new] - w.first[text[new]]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(gram[low[new]].view(np.int64)),
+                                                  pa.array(w.gram(at[new], at[new] + n + least - 1).view(np.int64))], names=[*_KEY, "p", "n", "fp", "digest"])
     return run
 
 
 def _spelled(least: int):
-    """Batches of (doc_id, text, spots): (doc_id, p, fp, digest) of every run of ``least`` words of the spots (fp, p, n)."""
+    """Batches of (doc_id, tag, text, spots): (doc_id, tag, p, fp, digest) of every run of ``least`` words of the spots (fp, p, n)."""
     def run(batches):
         for batch in batches:
-            data, offsets = texts(batch.column(1))
-            ids, lists = batch.column(0), batch.column(2)
+            data, offsets = texts(batch.column(2))
+            key, lists = batch.columns[:2], batch.column(3)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             spots = lists.flatten()
             fp, p, n = (spots.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             for i, j in slices(offsets):
                 w = Words(data, offsets, i, j, PLAIN)
                 text, some = np.repeat(np.arange(j - i), np.diff(ends[i:j + 1])), slice(ends[i], ends[j])
-                fits = p[some] + n[some] + least - 1 <= np.diff(w.first)[text]  # else it is of another row of equal doc_id
+                fits = p[some] + n[some] + least - 1 <= np.diff(w.first)[text]  # else it is of a row with another text and the same key
                 text, f, q, m = text[fits], fp[some][fits], p[some][fits].astype(np.int64), n[some][fits].astype(np.int64)
                 k = np.repeat(np.arange(len(text)), m)
                 at = q[k] + np.arange(len(k)) - (np.cumsum(m) - m)[k]
                 word = w.first[text[k]] + at
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[k] + i)), pa.array(at.astype(np.int32)), pa.array(f[k]), pa.array(w.gram(word, word + least).view(np.int64))], names=["doc_id", "p", "fp", "digest"])
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(text[k] + i)) for c in key], pa.array(at.astype(np.int32)), pa.array(f[k]), pa.array(w.gram(word, word + least).view(np.int64))], names=[*_KEY, "p", "fp", "digest"])
     return run
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, b, e): runs of words of ``docs`` (doc_id, text) that are in some run of ``min_words`` words which stands earlier, in a document of
-    smaller doc_id or in the same one. In the document of the first place only what lies behind that place is a repeat.
+    """(doc_id, tag, b, e): runs of words of ``docs`` (doc_id, text) that are in some run of ``min_words`` words which stands earlier, in a row of
+    smaller key or in the same one. In the row of the first place only what lies behind that place is a repeat.
     """
-    own = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    rows = cut(own.mapInArrow(_contexts(min_words), "doc_id long, p int, n int, fp long, digest long"))
+    own = docs.select(*_key(), "text")
+    rows = cut(own.mapInArrow(_contexts(min_words), "doc_id long, tag int, p int, n int, fp long, digest long"))
     # tables of their own, so that both sides of the joins are plain exchanges and a hot fingerprint can be split
     shared = cut(rows.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp"))
     spots = cut(rows.join(shared, "fp", "left_semi"))
-    place = F.struct("doc_id", "p")
+    place = F.struct(*_KEY, "p")
+    home = (F.col("doc_id") == F.col("f.doc_id")) & (F.col("tag") == F.col("f.tag"))
 
     def behind(words):
-        return F.when(F.col("doc_id") == F.col("f.doc_id"), F.greatest("p", F.col("f.p") + min_words)).otherwise(F.col("p")).alias("b"), (F.col("p") + words).alias("e")
+        return F.when(home, F.greatest("p", F.col("f.p") + min_words)).otherwise(F.col("p")).alias("b"), (F.col("p") + words).alias("e")
 
     kinds = cut(spots.groupBy("fp", "digest").agg(F.min(place).alias("f"), F.first("n").alias("n"), F.count("*").alias("k")))
-    whole = spots.drop("n").join(kinds.where("k > 1"), ["fp", "digest"]).where(place > F.col("f")).select("doc_id", *behind(F.col("n") + min_words - 1))
+    whole = spots.drop("n").join(kinds.where("k > 1"), ["fp", "digest"]).where(place > F.col("f")).select(*_KEY, *behind(F.col("n") + min_words - 1))
     # of equal contexts the first stands for all: what is repeated in the others is gone already
     mixed = cut(kinds.groupBy("fp").agg(F.count("*").alias("k")).where("k > 1").select("fp"))
-    asked = kinds.join(mixed, "fp", "left_semi").groupBy("f.doc_id").agg(F.collect_set(F.struct("fp", "f.p", "n")).alias("spots"))
-    runs = cut(own.join(asked, "doc_id").mapInArrow(_spelled(min_words), "doc_id long, p int, fp long, digest long"))
+    asked = kinds.join(mixed, "fp", "left_semi").groupBy("f.doc_id", "f.tag").agg(F.collect_set(F.struct("fp", "f.p", "n")).alias("spots"))
+    runs = cut(own.join(asked, list(_KEY)).mapInArrow(_spelled(min_words), "doc_id long, tag int, p int, fp long, digest long"))
     firsts = cut(runs.groupBy("fp", "digest").agg(F.min(place).alias("f"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    part = runs.join(firsts, ["fp", "digest"]).where(place > F.col("f")).select("doc_id", *behind(F.lit(min_words)))
+    part = runs.join(firsts, ["fp", "digest"]).where(place > F.col("f")).select(*_KEY, *behind(F.lit(min_words)))
     return whole.unionByName(part)
 
 
-def _without(names: list[str], gone: str):
-    """As ``_removed`` for runs of words: lines are removed of which no word is left, and what else of a line is no repeat stays."""
+def _without(names: list[str]):
+    """Batches of documents with two more columns, the number of lines and the runs of words to remove (or null): text and n_removed after the
+    other columns. Lines are removed of which no word is left, and what else of a line is no repeat stays. Rows without runs pass as they are."""
     def run(batches):
+        at = names.index("text")
         for batch in batches:
-            at = names.index("text")
+            hit = batch.column(len(names) + 1).is_valid()
+            rest = batch.filter(pc.invert(hit))
+            if len(rest):
+                yield pa.RecordBatch.from_arrays([*rest.columns[:-1], pa.array(np.zeros(len(rest), np.int64))], names=[*names, "_lines", "_removed"])
+            batch = batch.filter(hit)
             data, offsets = texts(batch.column(at))
-            runs = batch.column(len(names))
+            runs = batch.column(len(names) + 1)
             for i, j in slices(offsets):
                 lines = Lines(data, offsets, i, j)
                 w, raw = lines.words, lines.words.data.tobytes()
-                out, count, left = [], np.diff(lines.first), np.ones(len(w.start) + 1, bool)
+                out, left = [], np.ones(len(w.start) + 1, bool)
                 for d, own in enumerate(runs.slice(i, j - i).to_pylist()):
                     lo, hi, begin, stop = int(w.first[d]), int(w.first[d + 1]), int(w.at[d]), int(w.at[d + 1])
                     parts = []
-                    for b, e in _union(own or ()):
+                    for b, e in _union(own):
                         b, e = lo + b, min(lo + e, hi)
-                        if b >= e:  # a run of another row of equal doc_id
-                            continue
                         left[b:e] = False
                         head = begin if b == lo else int(w.end[b - 1])
                         if b == lo or b"\n" in raw[head:w.start[b]]:  # from the begin of a line on the white space behind goes, else that before
@@ -245,9 +164,9 @@ def _without(names: list[str], gone: str):
                     out.append(b"".join(parts).decode("utf-8"))
                 kept = np.add.reduceat(left[:-1].astype(np.int64), lines.word[:-1]) if len(lines.begin) else np.zeros(0, np.int64)
                 less = np.diff(np.concatenate([[0], np.cumsum(kept == 0)])[lines.first])
-                cols = [c.slice(i, j - i) for c in batch.columns[:len(names)]]
-                cols[at] = pa.array([t if v else None for t, v in zip(out, cols[at].is_valid().to_pylist())], pa.string())
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(count, pa.int64()), pa.array(less, pa.int64())], names=[*names, "_lines", "_removed"])
+                cols = [c.slice(i, j - i) for c in batch.columns[:-1]]
+                cols[at] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(less, pa.int64())], names=[*names, "_lines", "_removed"])
     return run
 
 
@@ -262,31 +181,28 @@ def _union(runs) -> list[list[int]]:
     return out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) without its repeated runs of lines of at least ``min_words`` words.
-
-    Text of lines that stay is unchanged. With ``counts`` the columns n_lines (lines with words before) and n_removed are added; columns
-    of these names are replaced. A null text stays null, an empty one empty; a document that only repeats others becomes empty, and no
-    row is dropped. Rows with a null doc_id stay as they are. Rows of equal doc_id are one place: runs that are removed from one are removed from all.
-    """
-    return _dedup(docs, repeated_runs(docs, min_words), _removed, counts)
+def _line_count(text: str = "text") -> Column:
+    """Lines with a word: they end at line feeds, and at a space behind a sentence end."""
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\n|(?<=[.!?]) ")
+    return F.size(F.filter(lines, lambda x: x.rlike(r"[^ \t-\r]"))).cast("long")
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
-    """As ``dedup_lines``, for all repeated runs of at least ``min_words`` words, wherever in a line they begin and end.
+    """``docs`` (doc_id, text and any other columns) without its repeated runs of at least ``min_words`` words, wherever in a line they begin and end.
 
-    n_removed counts the lines of which no word is left; of other lines the words that are no repeat stay as they are.
+    What stays of a text is unchanged. With ``counts`` the columns n_lines (lines with words before) and n_removed (lines of which no word is
+    left) are added; columns of these names are replaced. A null text stays null, an empty one empty; a document that only repeats others
+    becomes empty, and no row is dropped. Of equal passages that stays which comes first by doc_id, then by a hash of the text, then in the text;
+    rows without a doc_id come last. Rows equal in doc_id and text are one place: they keep and lose the same words. An empty table gives an empty one.
     """
-    return _dedup(docs, repeated_passages(docs, min_words), _without, counts)
-
-
-def _dedup(docs: DataFrame, repeats: DataFrame, remove, counts: bool) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")] if counts else docs.columns
     gone = "_gone" + "_" * max(len(c) for c in names)
-    runs = repeats.groupBy("doc_id").agg(F.collect_set(F.struct("b", "e")).alias(gone))
-    both = docs.select(names).join(runs.withColumnRenamed("doc_id", gone + "id"), F.col("doc_id").cast("long") == F.col(gone + "id"), "left").drop(gone + "id")
+    key = [gone + c for c in _KEY]
+    runs = repeated_passages(docs, min_words).groupBy(*_KEY).agg(F.collect_set(F.struct("b", "e")).alias(gone)).withColumnsRenamed(dict(zip(_KEY, key)))
+    own = docs.select(*names, *[c.alias(k) for c, k in zip(_key(), key)])
+    both = own.join(runs, key, "left").select(*names, (_line_count() if counts else F.lit(0).cast("long")).alias("_lines"), gone)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if f.name != gone)
-    out = both.select(*names, gone).mapInArrow(remove(names, gone), f"{fields}, _lines long, _removed long")
+    out = both.mapInArrow(_without(names), f"{fields}, _removed long")
     return out.withColumnsRenamed({"_lines": "n_lines", "_removed": "n_removed"}) if counts else out.select(names)
 
 

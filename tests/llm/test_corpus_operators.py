@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
-from cases import by_id, documents, frame
+from cases import by_id, documents, first_places, frame
 from tokenizers import Tokenizer
 
 from roadpoints.llm import bpe_codec, decontaminate, line_dedup, minmax_dedup, pii, quality_rules, token_counts
@@ -124,50 +124,8 @@ def line_windows(text, least):
     return parts, words, out
 
 
-def without_repeats(rows, least):
-    docs = {i: line_windows(t, least) for i, t, *_ in rows}
-    first = {}
-    for i in sorted(docs):
-        _, words, wins = docs[i]
-        for b, e in sorted(wins):
-            first.setdefault(tuple(x for w in words[b:e] for x in w), (i, b, e))
-    out = {}
-    for i, (parts, words, wins) in docs.items():
-        drop = set()
-        for b, e in wins:
-            f = first[tuple(x for w in words[b:e] for x in w)]
-            if f != (i, b, e):
-                drop |= set(range(max(b, f[2]) if f[0] == i else b, e))
-        out[i] = (WORD.findall(" ".join(p for k, p in enumerate(parts) if k not in drop)), len(parts), len(drop))
-    return out
-
-
-def test_line_dedup(spark, rows):
-    want = without_repeats(rows, line_dedup.MIN_WORDS)
-    got = line_dedup.dedup_lines(frame(spark, clashing=True)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert (WORD.findall(r["text"] or ""), r["n_lines"], r["n_removed"]) == want[r["doc_id"]]
-        assert (r["text"] is None) == (r["doc_id"] == 5)
-    kept = {r["doc_id"]: r for r in got}
-    assert kept[1]["text"] == rows[0][1] and kept[3]["text"] == "" and kept[3]["n"] == 7
-
-
-def test_windows_are_guaranteed():
-    """Of two texts that share a run of enough words one line at least is a fingerprint of both."""
+def test_fingerprints_are_guaranteed():
     import numpy as np
-    import pyarrow as pa
-    from roadpoints.llm.textnum import texts
-    shared = "one two three. four five six seven eight nine ten. eleven twelve. "
-    both = [f"prefix of one. {shared}and its own end", f"{shared}other end of text. more"]
-    found = []
-    for t in both:
-        data, offsets = texts(pa.array([t]))
-        lines = line_dedup.Lines(data, offsets, 0, 1)
-        _, b, e = lines.windows(10)
-        one = lines.words.gram(lines.word[:-1], lines.word[1:])
-        found.append({int(one[x:y].min()) for x, y in zip(b, e)})
-    assert found[0] & found[1]
     assert np.array_equal(decontaminate.minima(np.array([5, 3, 4, 3, 9, 1, 2], np.uint64), np.array([0]), 3), [1, 3, 5])
 
 
@@ -308,8 +266,8 @@ def test_pipeline(spark, tmp_path):
     texts = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
     kept = texts(at["quality"])
     assert {i for i, _ in kept} <= {i for i, t, *_ in rows if len(WORD.findall(t or "")) >= 50}
-    lines = without_repeats([(i, t) for i, t in kept], line_dedup.MIN_WORDS)
-    assert sorted((i, WORD.findall(t)) for i, t in texts(at["lines"])) == sorted((i, lines[i][0]) for i, _ in kept)
+    lines = first_places(kept, line_dedup.MIN_WORDS)
+    assert sorted((i, WORD.findall(t)) for i, t in texts(at["lines"])) == sorted((i, lines[i]) for i, _ in kept)
     top = smallest_linked(shingle_sets(texts(at["lines"])))
     assert {i for i, _ in texts(at["near_duplicates"])} == {i for i in top if top[i] == i}
     judged = contaminated(texts(at["near_duplicates"]), items)

@@ -1,34 +1,12 @@
 """Repeated passages against a brute force over word spans."""
 
 import random
-import re
 
 import pytest
-from cases import documents, frame, prose, sentences
+from cases import WORD, documents, first_places, frame, prose, sentences
 
 from roadpoints.llm import line_dedup
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def first_places(rows, least):
-    """Words that stay: those in no run of ``least`` words that stands earlier."""
-    first, words = {}, {}
-    for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda r: r[0]):
-        words[i] = w = WORD.findall(t or "")
-        for p in range(len(w) - least + 1):
-            first.setdefault(tuple(w[p:p + least]), (i, p))
-    out = {}
-    for i, w in words.items():
-        gone = set()
-        for p in range(len(w) - least + 1):
-            d, q = first[tuple(w[p:p + least])]
-            if (d, q) != (i, p):
-                gone |= set(range(max(p, q + least) if d == i else p, p + least))
-        out[i] = [x for k, x in enumerate(w) if k not in gone]
-    return out
-
-
 def passages():
     """A passage inside sentences, in lists without sentence ends, in a headline, at text ends, twice in one text, and periodic texts."""
     rng = random.Random(5)
@@ -64,3 +42,26 @@ def test_query_removes_passages(spark, tmp_path):
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     want = first_places(rows, line_dedup.MIN_WORDS)
     assert {r["doc_id"]: WORD.findall(r["text"] or "") for r in line_dedup.op1(spark, str(tmp_path)).collect()} == want
+
+
+def test_rows_of_one_id(spark):
+    """Rows of one doc_id with different texts, repeated rows and rows without an id: nothing unique is lost, no row is left out."""
+    rng = random.Random(6)
+    p, q, r, s = (" ".join(prose(rng, 60, 10**6)) for _ in range(4))
+    rows = [(1, p), (2, p), (2, q), (3, r), (3, r), (None, s), (None, f"{s} tail"), (None, p), (None, None), (4, None), (4, "")]
+    got = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    found = sorted(((x["doc_id"], x["text"]) for x in got if x["doc_id"] is not None), key=str)
+    assert found == sorted([(1, p), (2, ""), (2, q), (3, r), (3, r), (4, None), (4, "")], key=str)
+    left = sorted(x["text"] for x in got if x["doc_id"] is None and x["text"] is not None)
+    assert left in (sorted(["", s, "tail"]), sorted(["", "", f"{s} tail"]))
+
+
+def test_no_rows(spark):
+    assert line_dedup.dedup_passages(frame(spark, [])).collect() == []
+
+
+def test_line_counts(spark):
+    rows = [(1, "one. two! three\n\n four?  \n. five"), (2, " \n\t "), (3, None), (4, "a.b c. d")]
+    got = line_dedup.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_lines"] for r in got} == {1: 6, 2: 0, 3: 0, 4: 2}
