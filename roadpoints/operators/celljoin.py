@@ -88,6 +88,13 @@ def pairs_within(points: DataFrame, lo: float, hi: float, cols: Sequence[str] =
                     *[F.col(f"q.{c}").alias(f"{c}2") for c in cols if c != order], "d"))
 
 
+def finite(df: DataFrame, cols: Sequence[str] = ("x", "y")) -> DataFrame:
+    """Rows whose coordinates are numbers: null, NaN and infinite ones lie in no cell and are near nothing."""
+    for c in cols:
+        df = df.where(F.abs(c) < float("inf"))
+    return df
+
+
 def fold_copies(df: DataFrame, keys: Sequence[str] = KEYS, also: Sequence[str] = ()) -> DataFrame:
     """Distinct coordinates with weight ``w`` and the first ``ord``."""
     first = F.min("ord") if "ord" in df.columns else F.lit(None).cast("long")
@@ -119,12 +126,13 @@ def nearest(sites: DataFrame, data: DataFrame, cap: float | None = None, keys: S
 
     Ties go to the smaller ord. With a cap, sites without a hit get nulls. Without one,
     sites still open are tried again with cells twice as wide, until all are served.
+    Sites whose coordinates are no finite numbers get nulls, such rows of ``data`` are near nothing.
     ``skip_self`` leaves out rows at the site's own coordinates held by the site alone.
     """
     best = F.struct(F.col("d"), F.col("r_ord").alias("ord"), F.col("r_x").alias("x"), F.col("r_y").alias("y"),
                     *[F.col("r_" + c).alias(c) for c in also])
-    spots = sites.select(*keys, "x", "y").distinct()
-    heap = fold_copies(data, keys, also)
+    spots = finite(sites.select(*keys, "x", "y")).distinct()
+    heap = fold_copies(finite(data), keys, also)
 
     def attempt(open_spots: DataFrame, edge: float) -> DataFrame:
         hits = near_join(open_spots, heap, edge, keys, strict=strict and cap is not None)
@@ -158,12 +166,13 @@ def k_nearest(sites: DataFrame, data: DataFrame, k: int, keys: Sequence[str] = K
               first_edge: float = 50.0) -> DataFrame:
     """``sites`` plus ``near_d``: the k smallest distances to ``data``, padded with ``pad``.
 
-    Cells double for the sites that have met fewer than k rows and fewer than their layer holds.
+    Cells double for the sites that have met fewer than k rows and fewer than their layer holds. Sites and rows whose coordinates are
+    no finite numbers meet none.
     """
     on = [*keys, "x", "y"]
-    heap = cut(fold_copies(data, keys))
+    heap = cut(fold_copies(finite(data), keys))
     total = heap.groupBy(*keys).agg(F.sum("w").alias("_all"))
-    todo, left = cut_counting(sites.select(*on).distinct().join(total, list(keys)))
+    todo, left = cut_counting(finite(sites.select(*on)).distinct().join(total, list(keys)))
     edge, parts = first_edge, []
     while left:
         hits = near_join(todo, heap, edge, keys)

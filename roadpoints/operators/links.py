@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roadpoints.functions.geom import (dist, foot, measure_ratio, same_box, seg_dist, with_band_interval,
                                        with_disc_interval)
-from roadpoints.operators.celljoin import KEYS, around, pairs_within, segment_cells, with_cell
+from roadpoints.operators.celljoin import KEYS, around, finite, pairs_within, segment_cells, with_cell
 from roadpoints.session import cut, cut_counting
 
 EDGE = 50.0
@@ -35,9 +35,10 @@ def nearest_segment(sites: DataFrame, segs: DataFrame, cap: float | None = None,
     """``sites`` plus the nearest segment: near_line, near_d (to the centre line), foot_x, foot_y, measure.
 
     ``measure`` is the distance along the segment to the foot. Without a cap, cells double
-    for the sites that are still open.
+    for the sites that are still open. Sites and segments whose coordinates are no finite numbers meet none.
     """
     on = [*keys, "x", "y"]
+    segs = finite(segs, ("x1", "y1", "x2", "y2"))
     lines = segs.select(*keys, F.col(line_id).alias("line"), F.col("x1").alias("ax"), F.col("y1").alias("ay"),
                         F.col("x2").alias("bx"), F.col("y2").alias("by"))
 
@@ -52,7 +53,7 @@ def nearest_segment(sites: DataFrame, segs: DataFrame, cap: float | None = None,
         return hit.groupBy(*on).agg(F.min(F.struct(
             "d", "line", fx.alias("fx"), fy.alias("fy"), along.alias("m"))).alias("near"))
 
-    spots = sites.select(*on).distinct()
+    spots = finite(sites.select(*on)).distinct()
     if cap is not None:
         found = attempt(spots, cap)
     else:

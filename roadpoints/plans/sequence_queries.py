@@ -98,34 +98,30 @@ def p15(spark, sf):
 
 
 def _smoothed(order):
-    g = lambda c, d, src: f"(SELECT *, CASE WHEN pos = 0 THEN lead({c}) OVER w - {c} WHEN pos = n - 1 THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2 END AS {d} FROM {src} WINDOW w AS (PARTITION BY layer_id ORDER BY pos))"
-    head = f"""{POS}, k AS (SELECT i, exp(-0.5 * (i / 2.0) ** 2) / (SELECT sum(exp(-0.5 * (j / 2.0) ** 2)) FROM range(-8, 9) t(j)) AS wt FROM range(-8, 9) r(i)),
-      m AS (SELECT a.layer_id, a.ord, a.pos, a.n, k.wt, ((a.pos + k.i) % (2 * a.n) + 2 * a.n) % (2 * a.n) AS q FROM s a, k),
-      z AS (SELECT m.layer_id, m.ord, m.pos, m.n, sum(m.wt * b.x) AS sx, sum(m.wt * b.y) AS sy FROM m JOIN s b ON b.layer_id = m.layer_id AND b.pos = CASE WHEN q < m.n THEN q ELSE 2 * m.n - 1 - q END GROUP BY ALL),
+    g = lambda c, d, src: f"(SELECT *, CASE WHEN pos = 0 THEN lead({c}) OVER w - {c} WHEN pos = n - 1 THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2 END AS {d} FROM {src} WINDOW w AS (PARTITION BY layer_id, road_id ORDER BY pos))"
+    head = f"""{POS.replace("PARTITION BY layer_id", "PARTITION BY layer_id, road_id").replace("skeleton", "bends")}, k AS (SELECT i, exp(-0.5 * (i / 2.0) ** 2) / (SELECT sum(exp(-0.5 * (j / 2.0) ** 2)) FROM range(-8, 9) t(j)) AS wt FROM range(-8, 9) r(i)),
+      m AS (SELECT a.layer_id, a.road_id, a.ord, a.pos, a.n, k.wt, ((a.pos + k.i) % (2 * a.n) + 2 * a.n) % (2 * a.n) AS q FROM s a, k),
+      z AS (SELECT m.layer_id, m.road_id, m.ord, m.pos, m.n, sum(m.wt * b.x) AS sx, sum(m.wt * b.y) AS sy FROM m JOIN s b ON b.layer_id = m.layer_id AND b.road_id = m.road_id AND b.pos = CASE WHEN q < m.n THEN q ELSE 2 * m.n - 1 - q END GROUP BY ALL),
       d1 AS {g('sx', 'dx', 'z')}, d2 AS {g('sy', 'dy', 'd1')}"""
     if order == 1:
-        return f"{head}, a AS (SELECT *, atan2(dy, dx) AS t FROM d2), e AS {g('t', 'c', 'a')} SELECT layer_id, ord, round(abs(c), 4) AS curvature FROM e WHERE abs(c) BETWEEN 1e-3 AND 1.5"
+        return f"{head}, a AS (SELECT *, atan2(dy, dx) AS t FROM d2), e AS {g('t', 'c', 'a')} SELECT layer_id, ord, round(abs(c), 4) AS curvature FROM e"
     head += f", d3 AS {g('dx', 'ddx', 'd2')}, d4 AS {g('dy', 'ddy', 'd3')}, d5 AS {g('ddx', 'd3x', 'd4')}, d6 AS {g('ddy', 'd3y', 'd5')}"
     c = "abs(dx * ddy - dy * ddx) / CASE WHEN (dx * dx + dy * dy) ** 1.5 = 0 THEN 1e-10 ELSE (dx * dx + dy * dy) ** 1.5 END" + (" + 0.1 * abs(d3x + d3y)" if order == 3 else "")
-    return f"{head} SELECT layer_id, ord, round({c}, 4) AS curvature FROM d6 WHERE dx * dx + dy * dy > 1"
+    return f"{head} SELECT layer_id, ord, round({c}, 4) AS curvature FROM d6"
 
 
-@query("w07_smoothed_curvature", sql("waves", _smoothed(1).replace("FROM skeleton", "FROM waves")))
-def w07(spark, sf):
-    s = K.smoothed_curvature(with_position(T.waves(spark, sf), total="n"))
-    return s.where("curvature between 1e-3 and 1.5").select("layer_id", "ord", F.round("curvature", 4).alias("curvature"))
-
-
-def _w07(order):
-    # steps of less than a metre after smoothing, at the jumps between roads, are left out: there rounding decides
-    @query(f"w07_smoothed_curvature_{order}", sql("waves", _smoothed(order).replace("FROM skeleton", "FROM waves")))
+def _w07(name, order):
+    @query(name, sql("bends", _smoothed(order)))
     def run(spark, sf):
-        g = K.smoothed_curvature(with_position(T.waves(spark, sf), total="n"), order=order, keep=True)
-        return g.where("dx * dx + dy * dy > 1").select("layer_id", "ord", F.round("curvature", 4).alias("curvature"))
+        """Every vertex of every road, each road smoothed by itself."""
+        road = ("layer_id", "road_id")
+        g = K.smoothed_curvature(with_position(T.bends(spark, sf), road, total="n"), order=order, keys=road)
+        return g.select("layer_id", "ord", F.round("curvature", 4).alias("curvature"))
 
 
-_w07(2)
-_w07(3)
+_w07("w07_smoothed_curvature", 1)
+_w07("w07_smoothed_curvature_2", 2)
+_w07("w07_smoothed_curvature_3", 3)
 
 
 @query("w09_arc_curvature", sql("streets", """m AS (SELECT layer_id, road_id, i, (i * 15)::DOUBLE % 2000.0 AS arc FROM streets, range(133) r(i))

@@ -68,6 +68,13 @@ def waves(spark, sf_dir) -> DataFrame:
     return skeleton(spark, sf_dir).where("road_id < 100").withColumn("y", F.col("y") + 50 * F.sin(F.col("x") / 50))
 
 
+def bends(spark, sf_dir) -> DataFrame:
+    """Winding roads of both directions: every street bent to a sine of 50 m across its run."""
+    flat, s = F.col("road_id") < 100, skeleton(spark, sf_dir)
+    return s.select("layer_id", "ord", "road_id", (F.col("x") + F.when(flat, 0.0).otherwise(50 * F.sin(F.col("y") / 50))).alias("x"),
+                    (F.col("y") + F.when(flat, 50 * F.sin(F.col("x") / 50)).otherwise(0.0)).alias("y"))
+
+
 def districts(spark, sf_dir) -> DataFrame:
     return layers(spark, sf_dir).select("layer_id", F.lit(100.0).alias("minx"), F.lit(100.0).alias("miny"),
                                         F.lit(1900.0).alias("maxx"), F.lit(1900.0).alias("maxy"))
@@ -166,6 +173,8 @@ SQL = {
     "skeleton": """SELECT layer_id, road_id * 1000 + j AS ord, road_id, CASE WHEN road_id < 100 THEN (j * 10)::DOUBLE ELSE x1 END AS x,
         CASE WHEN road_id < 100 THEN y1 ELSE (j * 10)::DOUBLE END AS y FROM streets, range(201) r(j)""",
     "waves": "SELECT layer_id, ord, road_id, x, y + 50 * sin(x / 50) AS y FROM skeleton WHERE road_id < 100",
+    "bends": """SELECT k.layer_id, k.ord, k.road_id, k.x + CASE WHEN k.road_id < 100 THEN 0 ELSE 50 * sin(k.y / 50) END AS x,
+        k.y + CASE WHEN k.road_id < 100 THEN 50 * sin(k.x / 50) ELSE 0 END AS y FROM skeleton k""",
     "districts": "SELECT layer_id, 100.0::DOUBLE AS minx, 100.0::DOUBLE AS miny, 1900.0::DOUBLE AS maxx, 1900.0::DOUBLE AS maxy FROM layers",
     "reference_points": "SELECT layer_id, ord, x + 3 AS x, y + 4 AS y FROM points WHERE kind = 'purchase'",
     "labels_before": "SELECT * FROM points WHERE kind <> 'view'",
@@ -184,7 +193,7 @@ SQL = {
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 }
 
-_NEEDS = {"streets": ["layers"], "skeleton": ["layers", "streets"], "waves": ["skeleton"], "districts": ["layers"], "reference_points": ["points"],
+_NEEDS = {"streets": ["layers"], "skeleton": ["layers", "streets"], "waves": ["skeleton"], "bends": ["skeleton"], "districts": ["layers"], "reference_points": ["points"],
           "labels_before": ["points"], "labels_after": ["points"]}
 
 

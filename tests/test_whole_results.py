@@ -64,3 +64,20 @@ def test_direct_connections_list_connected_lines(spark, monkeypatch):
     street_tables(monkeypatch, spark, {1: (150.0, 400.0), 2: (600.0, 990.0), 3: (610.0, 1400.0), 4: (690.0, 1400.0)})
     got = sorted((r["ord1"], r["ord2"], round(r["distance"], 3), r["type"]) for r in Q.g26(spark, "").collect())
     assert got == [(1, 2, round(math.hypot(450, 590), 3), "connected_lines"), (3, 4, 80.0, "same_line")]
+
+
+def test_sites_without_coordinates_are_near_nothing(spark):
+    """Null, NaN and infinite coordinates end the search for the nearest rows; all other sites are served."""
+    from roadpoints.operators import celljoin as C, links as L
+    nan, inf = float("nan"), float("inf")
+    at = [(1, 1, 0.0, 0.0), (1, 2, 3000.0, 0.0), (1, 3, None, 0.0), (1, 4, 0.0, nan), (1, 5, inf, 0.0), (2, 1, 5.0, 5.0), (2, 2, None, None), (3, 1, nan, nan)]
+    sites = spark.createDataFrame(at, "layer_id long, ord long, x double, y double")
+    data = spark.createDataFrame([(1, 7, 1.0, 0.0), (1, 8, None, 0.0), (2, 7, nan, 1.0), (3, 7, 0.0, 0.0)], "layer_id long, ord long, x double, y double")
+    want = {(1, 1): 1.0, (1, 2): 2999.0}
+    got = C.nearest(sites, data).collect()
+    assert len(got) == len(at) and {(r["layer_id"], r["ord"]): r["near_d"] for r in got if r["near_d"] is not None} == want
+    got = C.k_nearest(sites, data, 2).collect()
+    assert len(got) == len(at) and {(r["layer_id"], r["ord"]): r["near_d"][0] for r in got if r["near_d"] != [1000.0, 1000.0]} == want
+    segs = spark.createDataFrame([(1, 1, 1.0, -5.0, 1.0, 5.0), (1, 2, None, 0.0, 1.0, 1.0), (2, 1, nan, 0.0, 1.0, 1.0)], "layer_id long, road_id long, x1 double, y1 double, x2 double, y2 double")
+    got = L.nearest_segment(sites, segs).collect()
+    assert len(got) == len(at) and {(r["layer_id"], r["ord"]): r["near_d"] for r in got if r["near_d"] is not None} == want
