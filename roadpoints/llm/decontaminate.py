@@ -61,7 +61,7 @@ _FP = "array<struct<fp:long,size:int,pos:int,left:string,mid:string,right:string
 
 
 def _fingerprints(keep, sizes):
-    """Rows (id, n_words, fps) of texts; ``keep`` is the filter (None: all), ``sizes`` the lengths of short test items, None for the
+    """Rows of texts: their other columns, n_words, fps; ``keep`` is the filter (None: all), ``sizes`` the lengths of short test items, None for the
     test side itself, where an item of fewer than WINDOW words is one fingerprint."""
 
     def passed(h: np.ndarray) -> np.ndarray:
@@ -71,7 +71,7 @@ def _fingerprints(keep, sizes):
 
     def run(batches):
         for batch in batches:
-            data, offsets = texts(batch.column(1))
+            data, offsets = texts(batch.column(batch.num_columns - 1))
             for i, j in slices(offsets):
                 w = Words(data, offsets, i, j, ALNUM)
                 count = np.diff(w.first)
@@ -89,8 +89,8 @@ def _fingerprints(keep, sizes):
                         lo, hi = max(int(w.first[d]), b - reach), min(int(w.first[d + 1]), b + size + reach)
                         found[d].append({"fp": int(h[p].view(np.int64)), "size": size if gap == 1 else 0, "pos": b - int(w.first[d]),
                                          "left": w.text(lo, b), "mid": w.text(b, b + size), "right": w.text(b + size, hi)})
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(count, pa.int64()), pa.array(found, _ROW)],
-                                                 names=["id", "n_words", "fps"])
+                own = [c.slice(i, j - i) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(count, pa.int64()), pa.array(found, _ROW)], names=[*batch.schema.names[:-1], "n_words", "fps"])
     return run
 
 
@@ -119,25 +119,26 @@ def contamination(docs: DataFrame, tests: DataFrame) -> DataFrame:
 
     Words are runs of letters a-z (A-Z lower-cased), digits and bytes above 0x7F. A window is 13 words in a row of an item, or the
     whole item if it has 1 to 12. A word of a document is hit if it lies in an occurrence of a window; the document is contaminated
-    if at least a twentieth of its words are hit. Null, empty and word-less texts have no windows and no hits. Rows with equal doc_id
-    and text count as one; of equal item texts every item_id is listed. Empty tables give no rows or no hits; other columns are ignored.
+    if at least a twentieth of its words are hit. Null, empty and word-less texts have no windows and no hits. Every row
+    is judged and returned by itself, also rows without a doc_id and repeated ones; of equal item texts every item_id is listed, items without an item_id are left out. Empty tables give no rows or no hits; other columns are ignored.
 
     One pass over the documents: only fingerprints that pass the fixed-size filter leave it, with five words of context on either
     side, and the join with the test fingerprints compares the words themselves.
     """
     spark = docs.sparkSession
     item = (tests.select(F.col("item_id").cast("long"), "text").where("item_id is not null")
-            .mapInArrow(_fingerprints(None, None), f"id long, n_words long, fps {_FP}")
-            .select(F.col("id").alias("item_id"), F.inline("fps")).distinct())
+            .mapInArrow(_fingerprints(None, None), f"item_id long, n_words long, fps {_FP}")
+            .select("item_id", F.inline("fps")).distinct())
     item = cut(item)
     keep, sizes = _filter(spark, item)
-    rows = (docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-            .mapInArrow(_fingerprints(keep, sizes), f"id long, n_words long, fps {_FP}")
-            .select(F.col("id").alias("doc_id"), "n_words", F.explode_outer("fps").alias("f")))
+    # the numbers of the rows hold from here on, as they are written
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+               .mapInArrow(_fingerprints(keep, sizes), f"row long, doc_id long, n_words long, fps {_FP}"))
+    rows = rows.select("row", "doc_id", "n_words", F.explode_outer("fps").alias("f"))
     # documents without a candidate go along under a key of their own, spread over all partitions
-    rows = rows.select("doc_id", "n_words", F.coalesce("f.fp", F.xxhash64("doc_id")).alias("fp"), F.coalesce("f.size", F.lit(-1)).alias("size"), "f.pos",
+    rows = rows.select("row", "doc_id", "n_words", F.coalesce("f.fp", F.xxhash64("row")).alias("fp"), F.coalesce("f.size", F.lit(-1)).alias("size"), "f.pos",
                        F.col("f.left").alias("l1"), F.col("f.mid").alias("m1"), F.col("f.right").alias("r1"),
-                       F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)).alias("share"))
+                       F.pmod(F.xxhash64("row"), F.lit(SHARES)).alias("share"))
     known = item.select("item_id", "fp", "size", F.col("left").alias("l2"), F.col("mid").alias("m2"), F.col("right").alias("r2"),
                         F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<long>")).alias("share"))
     joined = rows.join(known, ["fp", "size", "share"], "left")
@@ -147,7 +148,7 @@ def contamination(docs: DataFrame, tests: DataFrame) -> DataFrame:
            .withColumn("whole", (F.col("m1") == F.col("m2")) & ((F.col("size") > 0) | (F.col("before") + F.col("after") + K >= WINDOW)))
            .withColumn("span", F.when(F.col("whole"), F.struct((F.col("pos") - F.col("before")).alias("b"), (F.col("pos") + length + F.col("after")).alias("e"))))
            .withColumn("item", F.when(F.col("whole"), F.col("item_id").cast("string"))))
-    per = hit.groupBy("doc_id", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    per = hit.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("e"))
     covered = F.aggregate("spans", zero, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["b"], s["e"]))).alias("n"),
                                                                F.greatest(s["e"], x["e"]).alias("e")), lambda s: s["n"])

@@ -22,6 +22,8 @@ from roadpoints.session import cut, cut_counting, shared_dir
 
 #: payloads from this size on are stored once; an archive is closed when it has reached this many bytes
 REVISIT_BYTES, ARCHIVE_BYTES = 1000, 64 << 20
+#: index rows that a task of the merge holds, on average
+RANGE_ROWS = 500_000
 #: shares into which captures of one payload are dealt when they look up their response
 SHARES = 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,24 +39,26 @@ def url_key(url: Column) -> Column:
 
 
 def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, refers_to): captures whose payload of at least ``least`` bytes is that of a capture with a larger page_id, the largest."""
-    light = pages.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n"), F.pmod("page_id", F.lit(SHARES)).alias("share"))
+    """(page_id, digest, refers_to): captures whose payload of at least ``least`` bytes is that of a capture with a larger page_id, the largest; any is larger than none."""
+    light = pages.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("n"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SHARES)).alias("share"))
     light = light.where(F.col("n") >= least).drop("n")
     many = light.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").drop("k")
     many = many.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<long>")))
-    return light.join(many, ["digest", "share"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return light.join(many, ["digest", "share"]).where("refers_to > page_id or page_id is null and refers_to is not null").select("page_id", "digest", "refers_to").distinct()
 
 
-def _uri(page: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(int=page & (1 << 64) - 1)}>"
+def _uri(page: int | None) -> str:
+    return f"<urn:uuid:{uuid.UUID(int=1 << 64 if page is None else page & (1 << 64) - 1)}>"
 
 
-def _page(uri: str) -> int:
+def _page(uri: str) -> int | None:
     n = uuid.UUID(uri[10:-1]).int
+    if n >> 64:
+        return None
     return n - (1 << 64) if n >> 63 else n
 
 
-def record(page: int, url: str | None, time: str, payload: bytes, refers_to: int | None) -> bytes:
+def record(page: int | None, url: str | None, time: str, payload: bytes, refers_to: int | None) -> bytes:
     """One record as a gzip member; the extra header tells the length of a payload that is not stored."""
     digest = hashlib.sha1(payload).digest()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_uri(page)}",
@@ -146,7 +150,8 @@ def _reader(folder: str):
 
 def write_archives(pages: DataFrame, folder: str, limit: int = ARCHIVE_BYTES) -> tuple[DataFrame, int]:
     """Archives of ``pages`` (page_id, url, captured, html) in ``folder``, a URI that all executors reach: (archive) rows and their number."""
-    rows = pages.join(revisits(pages.select("page_id", "html")), "page_id", "left")
+    known = revisits(pages.select("page_id", "url", "html")).withColumnRenamed("page_id", "page")
+    rows = pages.withColumn("digest", F.sha1("html")).alias("p").join(known.alias("k"), F.expr("p.page_id <=> k.page and p.digest = k.digest"), "left").select("p.*", "refers_to")
     runs = rows.select("page_id", "url", "captured", "html", "refers_to", url_key(F.col("url")).alias("k")).sortWithinPartitions("k", "captured", "page_id").drop("k")
     return cut_counting(runs.mapInArrow(_writer(folder, limit), "archive string"))
 
@@ -210,16 +215,16 @@ def _merged(columns: list[str]):
         for i, a in enumerate(archive):
             runs.setdefault(a, []).append(i)
         parts = [sorted(runs[a], key=seq.__getitem__) for a in sorted(runs)]  # the order in the archive, whatever order the shuffle gave
-        order = list(LoserTree(parts, lambda i: (key[i].encode("utf-8"), time[i], page[i])))
+        order = list(LoserTree(parts, lambda i: (key[i].encode("utf-8"), time[i], page[i] is not None, page[i] or 0)))
         for batch in whole.take(pa.array(order, pa.int64())).combine_chunks().to_batches():
             yield batch
     return run
 
 
 def merged_index(index: DataFrame) -> DataFrame:
-    """``index`` in order of URL key, time and page_id over all partitions. A task holds the index rows of one range of keys, which
-    does not grow with the table, as a URL of many captures is divided by their times."""
-    n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``index`` in order of URL key, time and page_id over all partitions. A task holds the index rows of one range of keys, about
+    RANGE_ROWS of them whatever the table's size, as a URL of many captures is divided by their times."""
+    n = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // RANGE_ROWS))
     ranges = index.repartitionByRange(n, "urlkey", "captured", "page_id")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
     return ranges.mapInArrow(_merged(index.columns), fields)
@@ -229,13 +234,13 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """The index of archives written for ``pages`` (page_id, url, html; other columns are ignored) and read back, one row per row.
 
     Of captures with equal payloads of at least 1000 bytes the one with the largest page_id is stored as response, the others as revisits
-    of it; smaller payloads are stored each time. A null html is an empty payload, a null url has no target and the key ")". Rows of
+    of it; smaller payloads are stored each time. Captures without a page_id have a record too and are never referred to. A null html is an empty payload, a null url has no target and the key ")". Rows of
     equal page_id and payload are stored each. Time of capture is the column captured (ISO), if there is one, else page_id seconds after 2020.
     ``folder`` is a URI that all executors can write to, by default a new one in the shared folder.
     """
     spark = pages.sparkSession
     time = F.col("captured") if "captured" in pages.columns else F.date_format(F.timestamp_seconds(F.lit(1577836800) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(time, F.lit("1970-01-01T00:00:00Z")).alias("captured"),
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(time, F.lit("1970-01-01T00:00:00Z")).alias("captured"),
                                                      F.coalesce("html", F.lit("")).alias("html"))
     folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     manifest, n = write_archives(rows, folder)

@@ -106,24 +106,6 @@ def test_quality_outliers(spark):
     assert all(got[k] == (True,) for k in range(1, 301)) and not any(got[k][0] for k in range(1000, 1010))
 
 
-def line_windows(text, least):
-    parts = [p for p in re.split(r"(?<=\n)|(?<=[.!?] )", text or "") if WORD.search(p)]
-    words = [WORD.findall(p) for p in parts]
-    out = set()
-    for a in range(len(parts)):
-        n, e = 0, a
-        while e < len(parts) and n < least:
-            n, e = n + len(words[e]), e + 1
-        if n >= least:
-            out.add((a, e))
-        n, b = 0, a + 1
-        while b > 0 and n < least:
-            b, n = b - 1, n + len(words[b - 1])
-        if n >= least:
-            out.add((b, a + 1))
-    return parts, words, out
-
-
 def test_fingerprints_are_guaranteed():
     import numpy as np
     assert np.array_equal(decontaminate.minima(np.array([5, 3, 4, 3, 9, 1, 2], np.uint64), np.array([0]), 3), [1, 3, 5])
@@ -240,10 +222,19 @@ def test_pii_terms(spark):
     assert clean[0] == rows[0][1] and clean[2001] is None
 
 
+def test_decontamination_of_rows(spark):
+    """One row per row: equal ids with different texts, repeated rows and rows without an id are judged each by itself."""
+    items = [(1, "one two three four"), (2, "five six seven eight")]
+    rows = [(1, "one two three four"), (1, "five six seven eight"), (2, "x one two three four"), (2, "x one two three four"), (None, "five six seven eight"), (None, "clean"), (3, None)]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = [(i, *contaminated([(i, t)], items)[i]) for i, t in rows]
+    assert sorted(((r["doc_id"], *(r[c] for c in COLS5)) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     tests = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
-    for df in (minmax_dedup.near_duplicates(none), quality_rules.quality(none), line_dedup.dedup_lines(none), decontaminate.contamination(none, tests),
+    for df in (minmax_dedup.near_duplicates(none), quality_rules.quality(none), line_dedup.dedup_passages(none), decontaminate.contamination(none, tests),
                token_counts.token_counts(none), bpe_codec.digests(none), pii.personal_data(none)):
         assert df.collect() == []
 

@@ -152,3 +152,14 @@ def test_loser_tree(k):
     rng = random.Random(k)
     runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(30))) for _ in range(k)]
     assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
+
+
+def test_warc_of_equal_and_missing_ids(spark):
+    """Every row has a record with its own payload, whatever its page_id."""
+    x, y = "x" * 1000, "y" * 1000
+    rows = [(5, "u", x), (5, "u", y), (9, "u", x), (None, "u", x), (None, "v", "z" * 1000), (None, None, None), (None, "v", "z" * 1000)]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    digest = {t: hashlib.sha1(t.encode()).hexdigest() for t in (x, y, "z" * 1000, "")}
+    want = [(5, digest[x], "revisit", 9), (5, digest[y], "response", None), (9, digest[x], "response", None), (None, digest[x], "revisit", 9),
+            (None, digest["z" * 1000], "response", None), (None, digest[""], "response", None), (None, digest["z" * 1000], "response", None)]
+    assert sorted(((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted(want, key=str)
