@@ -66,6 +66,19 @@ def combined_importance(basic: float, curvature, connectivity, flow):
     return basic * 0.3 + curvature * 0.2 + connectivity * 0.3 + flow * 0.2
 
 
+def site_importance(basic: DataFrame, sites: DataFrame, segs: DataFrame, shape: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Every site with basic (``importance`` of ``basic``), curvature of lines within 30 m, connectivity within 50 m, flow within 40 m, and their weighted sum ``importance``.
+
+    A site without lines in reach has 0 for the measure.
+    """
+    on = [*keys, "ord"]
+    curved = site_line_scores(sites, segs, shape, 30.0, keys).select(*on, "curvature")
+    flowing = site_line_scores(sites, segs, shape, 40.0, keys).select(*on, "flow")
+    linked = connectivity_score(sites, segs, 50.0, keys).select(*on, F.col("score").alias("connectivity"))
+    all_ = basic.select(*on, F.col("importance").alias("basic")).join(curved, on, "left").join(linked, on, "left").join(flowing, on, "left").fillna(0.0)
+    return all_.withColumn("importance", combined_importance(F.col("basic"), F.col("curvature"), F.col("connectivity"), F.col("flow")))
+
+
 def place_sites(candidates: DataFrame, bounds: DataFrame, radius: float = 50.0, target: float = 0.95, grid: float = 10.0,
                 keys: Sequence[str] = KEYS) -> DataFrame:
     """Greedy placement per layer: ``round`` numbers the sites in the order in which each adds most new area, ties by ``ord``, until the

@@ -75,6 +75,44 @@ def bends(spark, sf_dir) -> DataFrame:
                     (F.col("y") + F.when(flat, 50 * F.sin(F.col("x") / 50)).otherwise(0.0)).alias("y"))
 
 
+# The dissolved road area of a layer: one outer ring with cut corners, counter-clockwise, and 100 holes, clockwise, whose corners lie
+# 6 m to 40 m off the street lines, each by its own amount, so roads are slanted and of changing width.
+RIM = ((0, -6), (2001, -6), (2001, 0), (2006, 0), (2006, 2001), (2001, 2001), (2001, 2006), (0, 2006), (0, 2001), (-6, 2001), (-6, 0), (0, 0))
+
+
+def outline(spark, sf_dir) -> DataFrame:
+    """Vertices of the rings of the road area, unclosed; ``ord`` runs through the layer."""
+    g = layers(spark, sf_dir)
+    rim = g.select("layer_id", F.posexplode(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in RIM])).alias("ord", "v"))
+    rim = rim.select("layer_id", F.lit(0).cast("long").alias("ring"), F.col("ord").cast("long").alias("ord"), "v.x", "v.y")
+    hole = g.select("layer_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(100).cast("long"))).alias("ring")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    off = lambda a, b, c: 6.0 + F.pmod(F.col("layer_id") * a + F.col("ring") * b + F.col("c") * c, F.lit(35))
+    left, low = F.expr("(ring - 1) div 10") * 200, F.expr("(ring - 1) % 10") * 200
+    return rim.unionByName(hole.select("layer_id", "ring", (F.col("ring") * 100 + F.col("c")).alias("ord"),
+                                       F.when(F.col("c") < 2, left + off(31, 17, 7)).otherwise(left + 200 - off(31, 17, 7)).alias("x"),
+                                       F.when(F.col("c").isin(0, 3), low + off(13, 29, 11)).otherwise(low + 200 - off(13, 29, 11)).alias("y")))
+
+
+def outline_edges(spark, sf_dir) -> DataFrame:
+    """The edges of ``outline``, road on the left."""
+    ends = F.struct("ord", "x", "y")
+    v = outline(spark, sf_dir).groupBy("layer_id", "ring").agg(F.sort_array(F.collect_list(ends)).alias("v"))
+    e = v.select("layer_id", "ring", F.posexplode(F.arrays_zip(F.col("v").alias("a"), F.expr("concat(slice(v, 2, size(v)), slice(v, 1, 1))").alias("b"))).alias("k", "e"))
+    return e.select("layer_id", "ring", F.col("e.a.ord").alias("edge_id"), F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+
+
+def street_edges(spark, sf_dir) -> DataFrame:
+    """The four edges of each street's band, counter-clockwise; bands overlap at crossings."""
+    s = streets(spark, sf_dir)
+    flat, w = F.col("road_id") < 100, F.col("half_width")
+    lo_x, hi_x = F.when(flat, F.col("x1")).otherwise(F.col("x1") - w), F.when(flat, F.col("x2")).otherwise(F.col("x2") + w)
+    lo_y, hi_y = F.when(flat, F.col("y1") - w).otherwise(F.col("y1")), F.when(flat, F.col("y2") + w).otherwise(F.col("y2"))
+    side = lambda k, *p: F.struct(F.lit(k).alias("k"), *[c.alias(n) for c, n in zip(p, ("x1", "y1", "x2", "y2"))])
+    e = s.select("layer_id", F.col("road_id").alias("ring"), F.explode(F.array(side(0, lo_x, lo_y, hi_x, lo_y), side(1, hi_x, lo_y, hi_x, hi_y),
+                                                                               side(2, hi_x, hi_y, lo_x, hi_y), side(3, lo_x, hi_y, lo_x, lo_y))).alias("e"))
+    return e.select("layer_id", "ring", (F.col("ring") * 4 + F.col("e.k")).alias("edge_id"), "e.x1", "e.y1", "e.x2", "e.y2")
+
+
 def districts(spark, sf_dir) -> DataFrame:
     return layers(spark, sf_dir).select("layer_id", F.lit(100.0).alias("minx"), F.lit(100.0).alias("miny"),
                                         F.lit(1900.0).alias("maxx"), F.lit(1900.0).alias("maxy"))
@@ -175,6 +213,13 @@ SQL = {
     "waves": "SELECT layer_id, ord, road_id, x, y + 50 * sin(x / 50) AS y FROM skeleton WHERE road_id < 100",
     "bends": """SELECT k.layer_id, k.ord, k.road_id, k.x + CASE WHEN k.road_id < 100 THEN 0 ELSE 50 * sin(k.y / 50) END AS x,
         k.y + CASE WHEN k.road_id < 100 THEN 50 * sin(k.x / 50) ELSE 0 END AS y FROM skeleton k""",
+    "outline": f"""SELECT layer_id, 0 AS ring, i AS ord, [{', '.join(str(x) for x, _ in RIM)}][i + 1]::DOUBLE AS x, [{', '.join(str(y) for _, y in RIM)}][i + 1]::DOUBLE AS y
+        FROM layers, range({len(RIM)}) r(i) UNION ALL
+        SELECT layer_id, b, b * 100 + c, ((b - 1) // 10 * 200 + CASE WHEN c < 2 THEN 6 + (layer_id * 31 + b * 17 + c * 7) % 35 ELSE 194 - (layer_id * 31 + b * 17 + c * 7) % 35 END)::DOUBLE,
+          ((b - 1) % 10 * 200 + CASE WHEN c IN (0, 3) THEN 6 + (layer_id * 13 + b * 29 + c * 11) % 35 ELSE 194 - (layer_id * 13 + b * 29 + c * 11) % 35 END)::DOUBLE
+        FROM layers, range(1, 101) s(b), range(4) t(c)""",
+    "outline_edges": """SELECT layer_id, ring, ord AS edge_id, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
+        FROM outline WINDOW w AS (PARTITION BY layer_id, ring ORDER BY ord)""",
     "districts": "SELECT layer_id, 100.0::DOUBLE AS minx, 100.0::DOUBLE AS miny, 1900.0::DOUBLE AS maxx, 1900.0::DOUBLE AS maxy FROM layers",
     "reference_points": "SELECT layer_id, ord, x + 3 AS x, y + 4 AS y FROM points WHERE kind = 'purchase'",
     "labels_before": "SELECT * FROM points WHERE kind <> 'view'",
@@ -193,7 +238,7 @@ SQL = {
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 }
 
-_NEEDS = {"streets": ["layers"], "skeleton": ["layers", "streets"], "waves": ["skeleton"], "bends": ["skeleton"], "districts": ["layers"], "reference_points": ["points"],
+_NEEDS = {"streets": ["layers"], "skeleton": ["layers", "streets"], "waves": ["skeleton"], "bends": ["skeleton"], "outline": ["layers"], "outline_edges": ["outline"], "districts": ["layers"], "reference_points": ["points"],
           "labels_before": ["points"], "labels_after": ["points"]}
 
 
