@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("neighbour_queries", "link_queries", "sequence_queries", "select_queries", "graph_queries", "route_queries", "feature_queries", "report_queries", "job_queries", "disc_queries")
+MODULES = ("neighbour_queries", "link_queries", "sequence_queries", "select_queries", "graph_queries", "route_queries", "feature_queries", "report_queries", "job_queries", "disc_queries", "chain_queries")
 
 
 def all_queries():
