@@ -14,7 +14,7 @@ QUERIES, ORACLES = all_queries()
 # a cross-section by kind of plan; the whole registry is checked at sf0.01 by the same comparison
 CHECKED = sorted(n for n in ORACLES if n.split("_")[0] in {
     "flagship", "j02", "j03", "j04", "j05", "j06", "j07", "j08", "j14", "j18", "j20", "j21", "j22", "j25", "j34", "e01", "e02", "e14", "e16", "e21", "e24", "w01", "w03", "w05", "w07",
-    "w16", "w17", "p02", "p08", "p09", "p10", "p15", "d01", "d02", "d03", "d06", "d10", "d11", "g02", "g09", "g17", "u01", "e29", "e33", "e37", "m05", "m12", "m13", "t01", "t03", "t06", "s03", "r10"})
+    "w16", "w17", "p02", "p08", "p09", "p10", "p15", "d01", "d02", "d03", "d06", "d10", "d11", "g02", "g09", "g17", "u01", "e29", "e33", "e37", "m05", "m12", "m13", "t01", "t03", "t06", "s03", "r10", "e09", "w08", "d22"})
 
 
 def norm(v):
