@@ -28,7 +28,8 @@ def with_position(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "ord",
     if total:
         starts = starts.withColumn(total, F.sum("_n").over(Window.partitionBy(*k)))
     w = Window.partitionBy(*k, "_b").orderBy(order)
-    return (tagged.join(starts.drop("_n"), [*k, "_b"])
+    # dealt by block here, as rows that come dealt by layer alone would stay so
+    return (tagged.repartition(*k, "_b").join(starts.drop("_n"), [*k, "_b"])
             .withColumn(name, F.row_number().over(w) - 1 + F.col("_s")).drop("_b", "_s"))
 
 
@@ -41,7 +42,7 @@ def framed(df: DataFrame, build: Callable[[WindowSpec], dict[str, Column]], befo
     p = F.col(pos)
     lent = df.withColumn("_b", F.explode(F.sequence(F.floor((p - after) / block), F.floor((p + before) / block))))
     w = Window.partitionBy(*keys, "_b").orderBy(pos)
-    return lent.withColumns(build(w)).where(F.col("_b") == F.floor(p / block)).drop("_b")
+    return lent.repartition(*keys, "_b").withColumns(build(w)).where(F.col("_b") == F.floor(p / block)).drop("_b")
 
 
 def neighbours(df: DataFrame, cols: Sequence[str] = ("x", "y"), reach: int = 1, keys: Sequence[str] = KEYS,
