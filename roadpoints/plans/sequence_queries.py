@@ -166,10 +166,9 @@ def w17(spark, sf):
 def w18(spark, sf):
     def build(w):
         f = w.rowsBetween(-50, 50)
-        return {"window": F.collect_list(F.struct("x", "y")).over(f)}
+        return {"members": F.count(F.lit(1)).over(f), "mean_x": F.avg("x").over(f), "mean_y": F.avg("y").over(f)}
     s = framed(with_position(T.skeleton(spark, sf)), build, 50, 50)
-    mean = lambda c: R6(F.aggregate("window", F.lit(0.0), lambda a, v: a + v[c]) / F.size("window"))
-    return s.select("layer_id", "ord", F.size("window").cast("long").alias("members"), mean("x").alias("mean_x"), mean("y").alias("mean_y"))
+    return s.select("layer_id", "ord", "members", R6("mean_x").alias("mean_x"), R6("mean_y").alias("mean_y"))
 
 
 @query("w15_index_ends", sql("skeleton", f"{POS} SELECT layer_id, ord, pos FROM s WHERE pos < 20 OR pos >= n - 20"))
