@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from roadpoints.functions.geom import dist
-from roadpoints.operators.celljoin import KEYS, cell, near_join, spread
+from roadpoints.operators.celljoin import KEYS, cell, near_join, spread, unfolded
 from roadpoints.session import cut, cut_counting
 
 
@@ -83,9 +83,9 @@ def cluster(points: DataFrame, eps: float, keys: Sequence[str] = KEYS, min_size:
     cells = cut(cells)
     half = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _half(2)])
     left = cells.select(*k, "mx", "my", F.col("node").alias("u"), F.col("rim").alias("a"))
-    right = (cells.withColumn("o", F.explode(half))
-             .select(*k, (F.col("mx") - F.col("o.i")).alias("mx"), (F.col("my") - F.col("o.j")).alias("my"),
-                     F.col("node").alias("v"), F.col("rim").alias("b"), F.col("mx").alias("vx"), F.col("my").alias("vy")))
+    right = unfolded(cells.withColumn("o", F.explode(half))
+                     .select(*k, (F.col("mx") - F.col("o.i")).alias("mx"), (F.col("my") - F.col("o.j")).alias("my"),
+                             F.col("node").alias("v"), F.col("rim").alias("b"), F.col("mx").alias("vx"), F.col("my").alias("vy")))
     close = F.exists("a", lambda p: F.exists("b", lambda q: dist(p["x"], p["y"], q["x"], q["y"]) <= eps))
     pair = cut(left.join(right, [*k, "mx", "my"])
                .withColumn("close", close)
@@ -125,9 +125,9 @@ def spaced(points: DataFrame, gap: float, keys: Sequence[str] = KEYS, order: Seq
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])
 
     def fan(df: DataFrame) -> DataFrame:
-        return (df.withColumn("o", F.explode(offsets))
-                .select(*k, (F.col("mx") + F.col("o.i")).alias("mx"), (F.col("my") + F.col("o.j")).alias("my"),
-                        F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("r").alias("fr")))
+        return unfolded(df.withColumn("o", F.explode(offsets))
+                        .select(*k, (F.col("mx") + F.col("o.i")).alias("mx"), (F.col("my") + F.col("o.j")).alias("my"),
+                                F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("r").alias("fr")))
 
     for _ in range(limit):
         first = live.groupBy(*k, "mx", "my").agg(F.min(F.struct("r", "x", "y")).alias("f")).select(

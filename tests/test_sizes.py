@@ -1,8 +1,10 @@
-"""Rows made by an explode are dealt out over tasks."""
+"""Rows made by an explode: dealt out over tasks, never broadcast by their size before it."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from roadpoints.operators.celljoin import near_join, pairs_within
+from roadpoints.operators.links import lines_near
 from roadpoints.operators.sequence import framed, with_position
 from roadpoints.plans import tables as T
 
@@ -33,3 +35,13 @@ def test_a_layer_that_comes_in_one_task_is_dealt_by_block(spark, uncoalesced):
     near = framed(dense, lambda w: {"p": F.lag("x").over(w), "n": F.lead("x").over(w)}, 1, 1)
     assert most(near) < 200_000
     assert near.where("p = x - 1 and n = x + 1").count() == 199_998
+
+
+@pytest.mark.parametrize("join", [
+    lambda p, r: near_join(p, p, 30.0),
+    lambda p, r: pairs_within(p, 0.0, 30.0),
+    lambda p, r: lines_near(p, r, 30.0),
+])
+def test_spread_rows_are_not_broadcast(spark, join):
+    plan = join(T.points(spark, SF), T.streets(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
