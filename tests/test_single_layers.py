@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
+from roadpoints.operators.links import network_links
 from roadpoints.plans import all_queries
+from roadpoints.plans import tables as T
 
 QUERIES, ORACLES = all_queries()
 
@@ -24,3 +26,9 @@ def test_layer_matches_sql(spark, tmp_path, name, layer):
     got = sorted(tuple(r[c] for c in cols) for r in QUERIES[name](spark, str(tmp_path)).collect())
     assert want and [r[:3] for r in got] == [r[:3] for r in want]
     assert all(a == pytest.approx(b) if isinstance(b, float) else a == b for r, s in zip(got, want) for a, b in zip(r, s))
+
+
+def test_sample_on_the_border_at_the_end_of_a_link(spark):
+    # the last of the samples lies 21 m from a street's centre, which is the band's border
+    p = spark.createDataFrame([(0, 1, 1612.2, 131.4, "curve"), (0, 2, 1445.3, 379.0, "curve")], "layer_id long, ord long, x double, y double, category string")
+    assert [(r.ord1, r.ord2) for r in network_links(p, T.streets(spark, "/root/testdata/sf0.001")).collect()] == [(1, 2)]
