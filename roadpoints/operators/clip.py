@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from roadpoints.functions.geom import dist
 from roadpoints.operators.celljoin import KEYS, segment_cells
-from roadpoints.session import cut
+from roadpoints.operators.cuts import cut
 
 
 def match_catalogue(files: DataFrame, catalog: DataFrame, file_id: str = "file_id") -> DataFrame:

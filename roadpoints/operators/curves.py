@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from roadpoints.functions.geom import bearing, dist, fold, heron_curvature, interior_angle, turn_angle, vector_angle
 from roadpoints.operators.celljoin import KEYS, near_join
 from roadpoints.operators.sequence import framed, islands, neighbours, representatives, top_n, with_position
-from roadpoints.session import cut
+from roadpoints.operators.cuts import cut
 
 
 def steps(skel: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from roadpoints.functions.geom import bearing, dist
 from roadpoints.operators import curves as K, stats as S
 from roadpoints.operators.celljoin import KEYS, around, k_nearest, near_join, nearest
-from roadpoints.session import cut
+from roadpoints.operators.cuts import cut
 
 # Confidence by mark class, reward by outcome.
 CLASS_CONFIDENCE = {1: 0.9, 2: 0.7, 3: 0.8}

@@ -13,7 +13,7 @@ from roadpoints.operators.celljoin import KEYS, near_join, segment_cells
 from roadpoints.operators.graph import line_crossings
 from roadpoints.operators.links import lines_near
 from roadpoints.operators.sequence import ranked
-from roadpoints.session import cut, cut_counting
+from roadpoints.operators.cuts import cut, cut_counting
 
 
 def line_shape(vertices: DataFrame, keys: Sequence[str] = KEYS, line_id: str = "road_id") -> DataFrame:

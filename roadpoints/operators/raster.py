@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from roadpoints.functions.geom import seg_dist
 from roadpoints.operators.celljoin import KEYS, segment_cells
-from roadpoints.session import cut, cut_counting
+from roadpoints.operators.cuts import cut, cut_counting, united
 
 # neighbours in circular order from north, as (row, col) steps; bit i of a mask is neighbour i
 AROUND = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
@@ -103,7 +103,7 @@ def skeleton_lines(skel: DataFrame, px: float = 1.0, keys: Sequence[str] = KEYS,
     segs = segments(nodes, cut(skeleton_edges(skel, px, keys)), keys)
     low = segs.groupBy(*k).agg(F.min("u").alias("_u"))
     tips = cut(segment_table(nodes, segs, keys).join(low, k).select(*k, "edges", F.coalesce("start", "_u").alias("start"), F.coalesce("end", "_u").alias("end")))
-    arcs = segs.select(*k, "u", "v").unionByName(segs.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
+    arcs = united([segs.select(*k, "u", "v"), segs.select(*k, F.col("v").alias("u"), F.col("u").alias("v"))])
     on = arcs.join(tips, k).where("v <> start and v <> end").select(*k, "u", "v")
     nxt = on.join(arcs.select(*k, F.col("u").alias("v"), F.col("v").alias("w")), [*k, "v"]).where("w <> u").select(*k, "u", "v", F.col("v").alias("nu"), F.col("w").alias("nv"))
     # an edge without a next one is its line's last; it points at itself

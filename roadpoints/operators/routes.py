@@ -15,7 +15,7 @@ from roadpoints.operators.celljoin import KEYS, near_join, nearest, pairs_within
 from roadpoints.operators.graph import radius_edges
 from roadpoints.operators.links import EDGE, PAIR, link_intervals, union_share, with_share
 from roadpoints.operators.sequence import BLOCK, neighbours, with_position
-from roadpoints.session import cut, cut_counting
+from roadpoints.operators.cuts import cut, cut_counting
 
 #: lengths are summed in whole micrometres, so that sums do not depend on their order
 MICRO = 1_000_000

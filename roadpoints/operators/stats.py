@@ -232,7 +232,7 @@ def coverage_gaps(points: DataFrame, bounds: DataFrame, radius: float = 50.0, gr
     wide = 1 << 20
     free = covered(coverage_cells(bounds, grid, keys), points, radius, keys, "left_anti").withColumn(
         "node", F.col("gi").cast("long") * wide + F.col("gj"))
-    from roadpoints.session import cut
+    from roadpoints.operators.cuts import cut
     free = cut(free)
     base = free.select(*k, "node")
     step = base.withColumn("v", F.explode(F.array(F.col("node") + 1, F.col("node") + wide)))

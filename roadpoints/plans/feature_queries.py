@@ -115,7 +115,7 @@ def m13(spark, sf):
 @query("m10_junction_classifier", sql("points", "SELECT CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END AS label, count(*) AS n, count(*) AS decided FROM points WHERE category = 'intersection' GROUP BY ALL"))
 def m10(spark, sf):
     """Every junction is scored; the SQL checks that, by label, and leaves the learned decisions to the tests."""
-    from roadpoints.session import cut
+    from roadpoints.operators.cuts import cut
     j = M.junction_features(T.points(spark, sf).where("category = 'intersection'"), T.skeleton(spark, sf))
     rows = cut(M.split_rows(j.withColumn("label", F.when(F.col("kind") == "purchase", 1).otherwise(0))))
     out = M.fit_forest(M.fit_rows(rows), ["skeleton_20", "nearest_site", "sites_100", "bearing_spread"]).transform(rows)
@@ -133,7 +133,7 @@ def m14(spark, sf):
 def m11(spark, sf):
     """Every row is scored by a model fitted on a bounded number of train rows; the SQL checks all-row counts and label totals."""
     from pyspark.ml.functions import array_to_vector
-    from roadpoints.session import cut
+    from roadpoints.operators.cuts import cut
     p = T.points(spark, sf)
     s = M.three_class_labels(M.state_vectors(T.skeleton(spark, sf), p), p.where("category = 'curve'"), p.where("kind = 'error'"))
     rows = cut(M.split_rows(s.select("layer_id", "ord", "state", "label")))

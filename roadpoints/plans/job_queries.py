@@ -210,7 +210,7 @@ FEET = """f AS MATERIALIZED (SELECT layer_id, ord, CASE WHEN dh <= dv THEN x ELS
 
 def feet(spark, sf):
     n = L.nearest_segment(T.points(spark, sf), T.streets(spark, sf))
-    from roadpoints.session import cut
+    from roadpoints.operators.cuts import cut
     return cut(n.select("layer_id", "ord", R6("foot_x").alias("x"), R6("foot_y").alias("y"), "category"))
 
 

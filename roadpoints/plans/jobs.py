@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from roadpoints.operators import curves as K, links as L, raster as R, select as D, stats as S
 from roadpoints.operators.celljoin import KEYS, near_join
 from roadpoints.operators.sequence import top_n
-from roadpoints.session import cut
+from roadpoints.operators.cuts import cut
 
 
 def optimal_connections(points: DataFrame, skel: DataFrame, roads: DataFrame, lo: float = 15.0, hi: float = 300.0, top: int = 20,

@@ -13,7 +13,7 @@ from roadpoints.plans.link_queries import interval_sql, pair_sql, segd, union_sq
 from roadpoints.plans.neighbour_queries import COUNTS
 from roadpoints.plans.registry import query
 from roadpoints.plans.tables import sql
-from roadpoints.session import cut
+from roadpoints.operators.cuts import cut
 
 R6 = lambda c: F.round(c, 6)
 Q = lambda a, b: f"sqrt(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y))"

@@ -45,3 +45,22 @@ def test_a_layer_that_comes_in_one_task_is_dealt_by_block(spark, uncoalesced):
 def test_spread_rows_are_not_broadcast(spark, join):
     plan = join(T.points(spark, SF), T.streets(spark, SF))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def joins(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_rows_that_compress_well_are_not_broadcast(spark):
+    from roadpoints.operators.cuts import cut, united
+    rows = spark.range(200_000).select(F.lit(7).cast("long").alias("layer_id"), F.floor(F.col("id") / 1000).alias("ord"))
+    many, few = cut(rows), cut(rows.limit(10))
+    assert "SortMergeJoin" in joins(rows.join(many, ["layer_id", "ord"], "left_semi"))
+    assert "SortMergeJoin" in joins(rows.join(united([many, few]), ["layer_id", "ord"], "left_semi"))
+    assert "BroadcastHashJoin" in joins(rows.join(few, ["layer_id", "ord"], "left_semi"))
+
+
+@pytest.mark.parametrize("table", [T.streets, T.skeleton, T.bends, T.outline, T.outline_edges, T.street_edges])
+def test_tables_made_by_an_explode_are_not_broadcast(spark, table):
+    plan = joins(T.points(spark, SF).join(table(spark, SF).select("layer_id"), "layer_id"))
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
