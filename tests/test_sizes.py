@@ -64,3 +64,10 @@ def test_written_rows_that_compress_well_are_not_broadcast(spark):
 def test_tables_made_by_an_explode_are_not_broadcast(spark, table):
     plan = joins(T.points(spark, SF).join(table(spark, SF).select("layer_id"), "layer_id"))
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("table", [T.points, T.actions, T.reference_points, T.labels_after])
+def test_points_are_not_broadcast_by_the_size_of_their_file(spark, table):
+    many = spark.range(10_000_000).withColumnRenamed("id", "ord")
+    plan = joins(many.join(table(spark, SF).select("ord", "x", "y"), "ord"))
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
