@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from roadpoints.functions.geom import dist
 from roadpoints.operators.celljoin import KEYS, cell, near_join, spread
-from roadpoints.operators.cuts import cut, cut_counting, unfolded, united
+from roadpoints.operators.cuts import cut, cut_counting, sieved, unfolded, united
 
 
 def _stop(name: str, limit: int):
@@ -148,7 +148,7 @@ def spaced(points: DataFrame, gap: float, keys: Sequence[str] = KEYS, order: Seq
     else:
         _stop("spaced", limit)
     chosen = united(kept).select(*k, F.col(f"r.o{len(order or [])}").alias("ord"))
-    return points.join(chosen, [*k, "ord"], "left_semi")
+    return sieved(points, chosen, [*k, "ord"], "left_semi")
 
 
 def leaders(points: DataFrame, radius: float, keys: Sequence[str] = KEYS,
@@ -200,7 +200,7 @@ def thin_pairs(points: DataFrame, radius: float, keys: Sequence[str] = KEYS, lat
         _stop("thin_pairs", limit)
     if not gone:
         return points
-    return points.join(united(gone), [*k, "ord"], "left_anti")
+    return sieved(points, united(gone), [*k, "ord"], "left_anti")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, bound: float | None = None, weight: str = "w",

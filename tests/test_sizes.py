@@ -1,8 +1,11 @@
 """Rows made by an explode: dealt out over tasks, never broadcast by their size before it."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from roadpoints.operators import fixpoint, select
 from roadpoints.operators.celljoin import near_join, pairs_within
 from roadpoints.operators.links import lines_near
 from roadpoints.operators.sequence import framed, with_position
@@ -71,3 +74,24 @@ def test_points_are_not_broadcast_by_the_size_of_their_file(spark, table):
     many = spark.range(10_000_000).withColumnRenamed("id", "ord")
     plan = joins(many.join(table(spark, SF).select("ord", "x", "y"), "ord"))
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("left", [
+    lambda p, r: near_join(p, p.where("category = 'endpoint'"), 5.0, how="left_anti"),
+    lambda p, r: select.skeleton_degree_filter(p, r),
+    lambda p, r: select.best_of_group(p),
+    lambda p, r: fixpoint.spaced(p, 30.0),
+    lambda p, r: fixpoint.thin_pairs(p, 15.0),
+])
+def test_rows_that_a_semi_join_left_are_not_broadcast(spark, left):
+    many = spark.range(10_000_000).withColumnRenamed("id", "ord")
+    plan = joins(many.join(left(T.points(spark, SF), T.streets(spark, SF)).select("ord", "x", "y"), "ord"))
+    assert re.search(r"\w+Join", plan).group() == "SortMergeJoin"
+
+
+def test_the_open_layers_of_collinear_curves_are_not_broadcast(spark, monkeypatch):
+    seen, near = [], select.rows_near_links
+    monkeypatch.setattr(select, "rows_near_links", lambda links, rows, *a: [seen.append(rows), near(links, rows, *a)][1])
+    select.collinear_curve(T.points(spark, SF), T.streets(spark, SF))
+    many = spark.range(10_000_000).withColumnRenamed("id", "ord")
+    assert seen and all(re.search(r"\w+Join", joins(many.join(rows.select("ord", "x", "y"), "ord"))).group() == "SortMergeJoin" for rows in seen)
